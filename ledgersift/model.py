@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgersift.functions.labels import ENGLISH, Labels
-from ledgersift.operators.skew import SkewPolicy
+from ledgersift.operators.skew import SkewPolicy, hot_keys
 
 MONEY = T.DecimalType(12, 2)
 
@@ -86,6 +86,11 @@ class Ledger:
         return cls(conform(customers, "customers"), conform(products, "products"),
                    conform(orders, "orders"), conform(payments, "payments"), **options)
 
+    def hot(self, role: str, key: str) -> DataFrame:
+        """Hot values of a foreign key, counted on its own table: one narrow scan, however large
+        the plan that looks the key up."""
+        return hot_keys(getattr(self, role), key, self.skew)
+
     def worded(self, labels: Labels) -> Ledger:
         return replace(self, labels=labels)
 

@@ -113,9 +113,11 @@ def order_facts(ledger: Ledger) -> DataFrame:
     totals = payments_per_order(ledger.payments)
     paid = ledger.orders.join(totals, F.col("order_id") == F.col("_paid_order"), "left").drop("_paid_order")
     with_customer = resolve(paid, ledger.customers, "customer_id", "customer_id", found="customer_found",
-                            spread_by=["order_id"], policy=ledger.skew)
+                            spread_by=["order_id"], policy=ledger.skew,
+                            hot=ledger.hot("orders", "customer_id"))
     with_product = resolve(with_customer, ledger.products, "product_id", "product_id", found="product_found",
-                           values={"active": "product_active"}, spread_by=["order_id"], policy=ledger.skew)
+                           values={"active": "product_active"}, spread_by=["order_id"], policy=ledger.skew,
+                           hot=ledger.hot("orders", "product_id"))
     mismatched = (F.col("paid_min") != F.col("total_amount")) | (F.col("paid_max") != F.col("total_amount"))
     return (with_product.withColumn("any_n", F.coalesce("any_n", F.lit(0).cast("long")))
             .withColumn("mismatched", F.coalesce(mismatched, F.lit(False))))

@@ -15,10 +15,20 @@ from ledgersift.operators import amounts, duplicates, nulls, references
 from ledgersift.operators.skew import key_set, resolve
 
 
-def with_customer_name(ledger: Ledger, df: DataFrame) -> DataFrame:
+def with_customer_name(ledger: Ledger, df: DataFrame, hot: DataFrame | None = None) -> DataFrame:
+    """Add customer_name to rows with customer_id and order_id."""
     return resolve(df, ledger.customers, "customer_id", "customer_id", found="_customer_found",
-                   values={"name": "customer_name"}, spread_by=["order_id"],
-                   policy=ledger.skew).drop("_customer_found")
+                   values={"name": "customer_name"}, spread_by=["order_id"], policy=ledger.skew,
+                   hot=ledger.hot("orders", "customer_id") if hot is None else hot).drop("_customer_found")
+
+
+def _hot_payers(ledger: Ledger) -> DataFrame:
+    """Customers that may be hot among payment rows: those with many orders, or with an order
+    that has many payments."""
+    hot_orders = ledger.hot("payments", "order_id").select("hot_key")
+    payers = (ledger.orders.join(F.broadcast(hot_orders), F.col("order_id") == F.col("hot_key"), "left_semi")
+              .where(F.col("customer_id").isNotNull()).select(F.col("customer_id").alias("hot_key")))
+    return ledger.hot("orders", "customer_id").select("hot_key").union(payers).distinct()
 
 
 def duplicate_emails(ledger: Ledger, **options) -> DataFrame:
@@ -80,7 +90,7 @@ def _mismatches(ledger: Ledger, *columns: str) -> DataFrame:
 
 
 def amount_mismatches(ledger: Ledger) -> DataFrame:
-    named = with_customer_name(ledger, _mismatches(ledger, "customer_id", "order_date"))
+    named = with_customer_name(ledger, _mismatches(ledger, "customer_id", "order_date"), _hot_payers(ledger))
     return named.select("order_id", "customer_id", "customer_name", "order_date",
                         F.col("total_amount").alias("order_amount"), F.col("payment_amount").alias("paid_amount"),
                         "diff", "diff_type", "diff_pct")

@@ -14,7 +14,7 @@ from ledgersift.operators.skew import expand, resolve
 FLAGS = ("no_customer", "no_payment", "amount_mismatch", "null_total", "inactive_product")
 
 
-def paid_orders(ledger: Ledger) -> DataFrame:
+def paid_orders(ledger: Ledger, orders: DataFrame) -> DataFrame:
     """Orders left-joined to their confirmed payments, plus ``paid`` and ``has_payment``.
 
     Orders whose payments all failed or wait get one marker row instead of a payment, so a
@@ -29,7 +29,7 @@ def paid_orders(ledger: Ledger) -> DataFrame:
                   .where(F.col("confirmed_n") == 0)
                   .select("paid_order_id", F.lit(False).alias("paid")))
     attempts = confirmed.unionByName(only_tried, allowMissingColumns=True)
-    pairs = expand(ledger.orders, attempts, "order_id", "paid_order_id", how="left",
+    pairs = expand(orders, attempts, "order_id", "paid_order_id", how="left",
                    spread_by=["payment_id", "paid_order_id"], policy=ledger.skew)
     return (pairs.drop("parent_found", "paid_order_id", "payment_id")
             .withColumnRenamed("child_found", "has_payment")
@@ -46,14 +46,17 @@ def _paid_amount():
 
 
 def consolidated_view(ledger: Ledger) -> DataFrame:
-    """Order, customer name, paid amount, product, five 0/1 flags and the difference."""
-    named = resolve(paid_orders(ledger), ledger.customers, "customer_id", "customer_id",
+    """Order, customer name, paid amount, product, five 0/1 flags and the difference.
+
+    Names are looked up per order, before payments multiply the rows.
+    """
+    named = resolve(ledger.orders, ledger.customers, "customer_id", "customer_id",
                     found="customer_found", values={"name": "customer_name"},
                     spread_by=["order_id"], policy=ledger.skew)
-    wide = resolve(named, ledger.products, "product_id", "product_id", found="product_found",
-                   values={"product_name": "product_name", "active": "product_active"},
-                   spread_by=["order_id"], policy=ledger.skew)
-    return wide.select(
+    described = resolve(named, ledger.products, "product_id", "product_id", found="product_found",
+                        values={"product_name": "product_name", "active": "product_active"},
+                        spread_by=["order_id"], policy=ledger.skew, hot=ledger.hot("orders", "product_id"))
+    return paid_orders(ledger, described).select(
         "order_id", "customer_id", "customer_name", "order_date", "status", "total_amount",
         _paid_amount().alias("paid_amount"), "product_name", "product_active",
         flag(~F.col("customer_found")).alias("no_customer"),
@@ -66,7 +69,7 @@ def consolidated_view(ledger: Ledger) -> DataFrame:
 
 def order_vs_paid(ledger: Ledger) -> DataFrame:
     """Order amount beside paid amount; needs neither customers nor products."""
-    return paid_orders(ledger).select("order_id", "total_amount", _paid_amount().alias("paid_amount"),
+    return paid_orders(ledger, ledger.orders).select("order_id", "total_amount", _paid_amount().alias("paid_amount"),
                                       _diff().alias("diff"))
 
 

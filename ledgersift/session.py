@@ -19,6 +19,7 @@ def local_session(cpus: int | str = "*", name: str = "ledgersift", **confs: str)
                .config("spark.sql.adaptive.enabled", "true")
                .config("spark.sql.adaptive.skewJoin.enabled", "true")
                .config("spark.sql.session.timeZone", "UTC")
+               .config("spark.python.sql.dataFrameDebugging.enabled", "false")
                .config("spark.driver.memory", "8g"))
     for key, value in confs.items():
         builder = builder.config(key, value)
