@@ -20,8 +20,15 @@ from ledgersift.operators.facts import order_facts  # noqa: E402
 from ledgersift.plans import checks, consolidated, feeds, history, impact, report, scorecard  # noqa: E402
 from ledgersift.session import shared_dir  # noqa: E402
 from ledgersift.sinks.runner import run_all  # noqa: E402
-from ledgersift.sources.binding import bound_ledger, table  # noqa: E402
+from ledgersift.sources.binding import (  # noqa: E402
+    bound_ledger,
+    bound_orders,
+    bound_payments,
+    table,
+    table_stream,
+)
 from ledgersift.streaming.daily import scorecard_job  # noqa: E402
+from ledgersift.streaming.unmatched import unpaid_orders, write_unpaid  # noqa: E402
 from oracle_queries import oracles  # noqa: E402
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -89,13 +96,21 @@ def _export_run(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _daily_scorecard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Runs the incremental job over the order files and reads back what it wrote."""
     folder = _run_folder(spark, "scorecard")
-    arrivals = (spark.readStream.schema(table(spark, sf_dir, "orders").schema)
-                .option("pathGlobFilter", "orders.parquet").parquet(sf_dir).select("o_orderkey"))
+    arrivals = table_stream(spark, sf_dir, "orders").select("o_orderkey")
     scorecard_job(arrivals, lambda: bound_ledger(spark, sf_dir), f"{folder}/out", f"{folder}/state",
                   AUDIT_DAY.isoformat()).awaitTermination()
     return spark.read.parquet(f"{folder}/out").drop("batch")
 
 
+def _stream_unpaid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Completed orders whose 30 days passed without payment, from both tables as streams."""
+    folder = _run_folder(spark, "unpaid")
+    orders = bound_orders(table_stream(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem"))
+    payments = bound_payments(table_stream(spark, sf_dir, "orders"))
+    write_unpaid(unpaid_orders(orders, payments), f"{folder}/out", f"{folder}/state").awaitTermination()
+    return spark.read.parquet(f"{folder}/out")
+
+
 def _score_change(ledger: Ledger) -> DataFrame:
     return history.score_change(scorecard.quality_score(history.as_of(ledger, "1998-07-01 00:00:00")),
                                 scorecard.quality_score(ledger))
@@ -194,6 +209,7 @@ def queries() -> dict[str, Query]:
         "f06_clean": _on(_clean),
         "f08_daily_scorecard": _daily_scorecard,
         "f09_score_change": _on(_score_change),
+        "f10_stream_unpaid": _stream_unpaid,
         "n01_document_duplicates": _document_duplicates,
         "n03_documents_without_labels": _documents_without_labels,
         "n05_orders_without_lines": _orders_without_lines,

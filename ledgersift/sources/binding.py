@@ -33,6 +33,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.schema(SOURCE_SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
+def table_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """The same table as a file stream."""
+    return (spark.readStream.schema(SOURCE_SCHEMAS[name]).option("pathGlobFilter", f"{name}.parquet")
+            .parquet(sf_dir))
+
+
 def bound_customers(customer: DataFrame, orders: DataFrame) -> DataFrame:
     first_order = orders.groupBy("o_custkey").agg(F.min("o_orderdate").alias("created_at"))
     owner = F.expr("CASE WHEN c_custkey % 10 = 9 THEN c_custkey - 9 ELSE c_custkey END")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from ledgersift.model import COMPLETED
 
@@ -14,17 +15,27 @@ def unpaid_orders(orders: DataFrame, payments: DataFrame, *, within: str = "30 d
 
     Absence is only known once the watermark has passed an order's deadline, so an order shows
     up then and not before; the batch check instead answers for the tables as they stand. State
-    is kept for open orders and for payments no older than the watermark.
+    is kept for open orders and for payments no older than the watermark. Watermarks need zoned
+    timestamps, so event times pass through the session's time zone and back.
     """
     open_orders = (orders.where(F.col("status") == COMPLETED)
-                   .select("order_id", "customer_id", "order_date", "total_amount")
-                   .withWatermark("order_date", lateness))
+                   .select("order_id", "customer_id", "total_amount",
+                           F.col("order_date").cast("timestamp").alias("ordered_at"))
+                   .withWatermark("ordered_at", lateness))
     receipts = (payments.where(F.col("order_id").isNotNull())
-                .select(F.col("order_id").alias("paid_order_id"), "payment_date")
-                .withWatermark("payment_date", lateness))
+                .select(F.col("order_id").alias("paid_order_id"),
+                        F.col("payment_date").cast("timestamp").alias("paid_at"))
+                .withWatermark("paid_at", lateness))
     in_time = ((F.col("order_id") == F.col("paid_order_id"))
-               & (F.col("payment_date") >= F.col("order_date"))
-               & (F.col("payment_date") <= F.col("order_date") + F.expr(f"INTERVAL {within}")))
+               & (F.col("paid_at") >= F.col("ordered_at"))
+               & (F.col("paid_at") <= F.col("ordered_at") + F.expr(f"INTERVAL {within}")))
     return (open_orders.join(receipts, in_time, "left_outer")
             .where(F.col("paid_order_id").isNull())
-            .select("order_id", "customer_id", "order_date", "total_amount"))
+            .select("order_id", "customer_id", F.col("ordered_at").cast("timestamp_ntz").alias("order_date"),
+                    "total_amount"))
+
+
+def write_unpaid(unpaid: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Append what is known so far as Parquet, exactly once, then stop until the next run."""
+    return (unpaid.writeStream.format("parquet").option("path", path)
+            .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())

@@ -376,6 +376,13 @@ def oracles() -> dict[str, str]:
             b.bad AS bad_before, a.bad AS bad_after
             FROM old_scores b FULL JOIN now_scores a ON a.table_name = b.table_name""",
                                   _as_of("old", CUT), _as_of("now", None)),
+        "f10_stream_unpaid": audit("""SELECT order_id, customer_id, order_date, total_amount FROM a_orders o
+            WHERE status = 'Completed'
+              AND order_date + INTERVAL 30 DAY < (SELECT least(
+                (SELECT max(order_date) FROM a_orders WHERE status = 'Completed'),
+                (SELECT max(payment_date) FROM a_payments WHERE order_id IS NOT NULL)) - INTERVAL 1 DAY)
+              AND NOT EXISTS (SELECT 1 FROM a_payments p WHERE p.order_id = o.order_id
+                AND p.payment_date >= o.order_date AND p.payment_date <= o.order_date + INTERVAL 30 DAY)"""),
         "n01_document_duplicates": f"""SELECT sha256(text) AS text_key, {n('count(*)')} AS n,
             {n('count(*) - 1')} AS n_extra, string_agg(CAST(doc_id AS VARCHAR), ', ' ORDER BY doc_id) AS ids,
             CAST(0 AS BIGINT) AS part FROM documents GROUP BY text HAVING count(*) > 1""",
