@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgersift.functions.expressions import percent, rows
-from ledgersift.operators.skew import SkewPolicy, largest, resolve
+from ledgersift.operators.skew import SkewPolicy, largest, match
 
 PART_SIZE = 10_000
 
@@ -38,9 +38,8 @@ def duplicate_groups(df: DataFrame, key: str, id: str, label: str | None = None,
               .where(F.col("group_n") > 1))
     hot = largest(groups.select(F.col("group_key").alias("hot_key"), F.col("group_n").alias("key_rows")), policy)
     carried = list(dict.fromkeys([key, id] + ([label] if label else [])))
-    members = resolve(df.where(F.col(key).isNotNull()).select(*carried), groups, key, "group_key",
-                      found="_shared", values={t: f"_{t}" for t in totals}, spread_by=[id],
-                      policy=policy, hot=hot, unique_parent=True).where("_shared")
+    members = match(df.where(F.col(key).isNotNull()).select(*carried), groups, key, "group_key",
+                    values={t: f"_{t}" for t in totals}, policy=policy, hot=hot, unique_parent=True)
     listed = (members.withColumn("part", _part(df, id, part_size))
               .groupBy(key, "part")
               .agg(F.first("_group_n").alias("n"),

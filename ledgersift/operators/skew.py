@@ -101,19 +101,14 @@ def resolve(child: DataFrame, parent: DataFrame, fk: str, pk: str, *, found: str
     hot = hot_keys(child, fk, policy) if hot is None else hot
     parents = one_row_per_key(parent, F.col(pk), list(values), unique_parent)
 
-    # Parent rows of the hot keys: bounded by max_hot_keys, so the broadcast is bounded too.
-    hot_parents = one_row_per_key(
-        parent.join(F.broadcast(hot.select("hot_key")), F.col(pk) == F.col("hot_key"), "left_semi"),
-        F.col(pk), list(values), unique_parent)
-    near = (hot.select("hot_key")
-            .join(hot_parents, F.col("hot_key") == F.col("_pk"), "left")
-            .select("hot_key", F.col("_hit").alias("_near_hit"),
-                    *[F.col(f"_v_{v}").alias(f"_near_{v}") for v in values]))
-
-    staged = (child.join(F.broadcast(near), F.col(fk) == F.col("hot_key"), "left")
-              .withColumn("_cold", F.when(F.col("hot_key").isNull(), F.col(fk)))
-              .withColumn("_spread", F.when(F.col("_cold").isNull(), scatter(spread_by))
-                          .otherwise(F.lit(0).cast("long"))))
+    # At most max_hot_keys rows each, so both broadcasts have a fixed bound.
+    hot = F.broadcast(hot.select("hot_key"))
+    near = F.broadcast(_hot_parents(parent, pk, list(values), hot, unique_parent))
+    cold = F.when(F.col("hot_key").isNull(), F.col(fk))
+    staged = (child.join(hot, F.col(fk) == F.col("hot_key"), "left")
+              .join(near, F.col(fk) == F.col("_near_pk"), "left")
+              .select(*columns, "hot_key", "_near_hit", *[f"_near_{v}" for v in values], cold.alias("_cold"),
+                      F.when(cold.isNull(), scatter(spread_by)).otherwise(F.lit(0).cast("long")).alias("_spread")))
     joined = staged.join(
         parents, (F.col("_cold") == F.col("_pk")) & (F.col("_spread") == F.col("_zero")), "left")
     answered = F.col("hot_key").isNotNull()
@@ -124,6 +119,35 @@ def resolve(child: DataFrame, parent: DataFrame, fk: str, pk: str, *, found: str
           for v, name in values.items()])
 
 
+def _hot_parents(parent: DataFrame, pk: str, values: list[str], hot: DataFrame, unique: bool) -> DataFrame:
+    """(_near_pk, _near_hit, _near_values...): the parents of hot keys, one row each."""
+    rows = one_row_per_key(parent.join(hot, F.col(pk) == F.col("hot_key"), "left_semi"), F.col(pk), values, unique)
+    return rows.select(F.col("_pk").alias("_near_pk"), F.col("_hit").alias("_near_hit"),
+                       *[F.col(f"_v_{v}").alias(f"_near_{v}") for v in values])
+
+
+def match(child: DataFrame, parent: DataFrame, fk: str, pk: str, *, values: dict[str, str],
+          policy: SkewPolicy | None = None, hot: DataFrame | None = None,
+          unique_parent: bool = False) -> DataFrame:
+    """Child rows that have a parent, plus parent columns; one row per child row.
+
+    Rows of hot keys meet their parents in a broadcast join and are never shuffled; the others
+    take an inner join, which Spark may narrow with a runtime filter. For a child that is cheap
+    to read twice; without hot keys the first branch is empty and is not run.
+    """
+    policy = policy or SkewPolicy()
+    columns = child.columns
+    hot = F.broadcast((hot_keys(child, fk, policy) if hot is None else hot).select("hot_key"))
+    near = F.broadcast(_hot_parents(parent, pk, list(values), hot, unique_parent))
+    answered = (child.join(near, F.col(fk) == F.col("_near_pk"), "inner")
+                .select(*columns, *[F.col(f"_near_{v}").alias(name) for v, name in values.items()]))
+    parents = one_row_per_key(parent, F.col(pk), list(values), unique_parent)
+    others = (child.join(hot, F.col(fk) == F.col("hot_key"), "left_anti")
+              .join(parents, F.col(fk) == F.col("_pk"), "inner")
+              .select(*columns, *[F.col(f"_v_{v}").alias(name) for v, name in values.items()]))
+    return others.unionByName(answered)
+
+
 def expand(parent: DataFrame, child: DataFrame, pk: str, fk: str, *, how: str,
            spread_by: Sequence[str], policy: SkewPolicy | None = None) -> DataFrame:
     """Parent joined to its children (``inner``, ``left`` or ``full``), keeping every pair.

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ledgersift.functions.expressions import money, rows
 from ledgersift.model import COMPLETED, PAID, Ledger
 from ledgersift.operators import amounts, duplicates, nulls, references
-from ledgersift.operators.skew import key_set, resolve
+from ledgersift.operators.skew import key_set, match, resolve
 
 
 def with_customer_name(ledger: Ledger, df: DataFrame, hot: DataFrame | None = None) -> DataFrame:
@@ -121,9 +121,9 @@ def null_census(ledger: Ledger, full: bool = True) -> DataFrame:
 
 def inactive_product_orders(ledger: Ledger) -> DataFrame:
     inactive = ledger.products.where(F.col("active") == F.lit(False))
-    sold = resolve(ledger.orders, inactive, "product_id", "product_id", found="_inactive",
-                   values={"product_name": "product_name", "price": "product_price", "active": "active"},
-                   spread_by=["order_id"], policy=ledger.skew).where("_inactive")
+    sold = match(ledger.orders, inactive, "product_id", "product_id",
+                 values={"product_name": "product_name", "price": "product_price", "active": "active"},
+                 policy=ledger.skew)
     return with_customer_name(ledger, sold).select(
         "order_id", "customer_id", "customer_name", "order_date", "status", "total_amount",
         "product_id", "product_name", "product_price", "active",
