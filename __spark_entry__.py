@@ -89,7 +89,7 @@ def _run_folder(spark: SparkSession, name: str) -> str:
 
 
 def _export_run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = run_all(spark, bound_ledger(spark, sf_dir), _run_folder(spark, "exports"), day=AUDIT_DAY)
+    done = run_all(spark, bound_ledger(spark, sf_dir), _run_folder(spark, "exports"), day=AUDIT_DAY, share=True)
     return done.select("name", "rows", "status")
 
 

@@ -70,7 +70,11 @@ def conform(df: DataFrame, role: str) -> DataFrame:
 
 @dataclass(frozen=True)
 class Ledger:
-    """Customers, products, orders and payments, plus how to word results and treat hot keys."""
+    """Customers, products, orders and payments, plus how to word results and treat hot keys.
+
+    ``settled`` optionally holds ``facts.settlements`` of this ledger, already written out; the
+    checks that reconcile orders with payments then filter it instead of joining again.
+    """
 
     customers: DataFrame
     products: DataFrame
@@ -78,6 +82,7 @@ class Ledger:
     payments: DataFrame
     labels: Labels = ENGLISH
     skew: SkewPolicy = field(default_factory=SkewPolicy)
+    settled: DataFrame | None = None
 
     @classmethod
     def of(cls, customers: DataFrame, products: DataFrame, orders: DataFrame, payments: DataFrame,

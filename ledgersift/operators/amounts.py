@@ -22,10 +22,14 @@ def amount_mismatch(parent: DataFrame, child: DataFrame, pk: str, fk: str, expec
     paid = paid.where(F.col(actual).isNotNull()).withColumnRenamed(fk, "_fk")
     priced = parent.where(F.col(expected).isNotNull())
     pairs = expand(priced, paid, pk, "_fk", how="inner", spread_by=[child_id], policy=policy)
+    return with_difference(pairs.drop("_fk", "parent_found", "child_found"), expected, actual, labels)
+
+
+def with_difference(pairs: DataFrame, expected: str, actual: str, labels: Labels = ENGLISH) -> DataFrame:
+    """Pairs whose amounts differ, plus diff, diff_type and diff_pct."""
     diff = F.col(actual) - F.col(expected)
     pct = F.round(F.try_divide(F.abs(F.col("diff")) * F.lit(100), F.col(expected)), 2).cast("double")
-    return (pairs.drop("_fk", "parent_found", "child_found")
-            .withColumn("diff", diff.cast("decimal(13,2)"))
+    return (pairs.withColumn("diff", diff.cast("decimal(13,2)"))
             .where(F.col("diff") != 0)
             .withColumn("diff_type", F.when(F.col("diff") > 0, labels.overpaid).otherwise(labels.underpaid))
             .withColumn("diff_pct", pct))

@@ -10,6 +10,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,6 +22,8 @@ from ledgersift.operators.skew import expand, key_set, resolve
 
 def settlements(ledger: Ledger) -> DataFrame:
     """Orders full-joined to payments of any status, plus ``order_found`` and ``payment_found``."""
+    if ledger.settled is not None:
+        return ledger.settled
     payments = ledger.payments.withColumnRenamed("order_id", "paid_order_id")
     pairs = expand(ledger.orders, payments, "order_id", "paid_order_id", how="full",
                    spread_by=["payment_id"], policy=ledger.skew)
@@ -27,6 +31,22 @@ def settlements(ledger: Ledger) -> DataFrame:
             .withColumnRenamed("child_found", "payment_found"))
 
 
+def share_settlements(ledger: Ledger, folder: str) -> Ledger:
+    """The ledger with its settlements written to a shared folder, for runs of many checks.
+
+    The table is partitioned by what was found, so orders without payment and payments without
+    order are read alone. Being a table, it also survives the loss of executors.
+    """
+    side = (F.when(~F.col("payment_found"), F.lit("order_only"))
+            .when(~F.col("order_found"), F.lit("payment_only")).otherwise(F.lit("pair")))
+    path = f"{folder}/settlements"
+    sided = settlements(ledger).withColumn("side", side).drop("order_found", "payment_found")
+    sided.write.mode("overwrite").partitionBy("side").parquet(path)
+    stored = sided.sparkSession.read.schema(sided.schema).parquet(path)
+    return replace(ledger, settled=stored.withColumns({
+        "order_found": F.col("side") != "payment_only", "payment_found": F.col("side") != "order_only"}).drop("side"))
+
+
 def _diff() -> Column:
     """payment - order amount of a confirmed payment; NULL when either amount is missing."""
     return keep(F.col("payment_status") == PAID, F.col("payment_amount") - F.col("total_amount"))

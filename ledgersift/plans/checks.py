@@ -52,8 +52,11 @@ def orders_without_customer_rate(ledger: Ledger) -> DataFrame:
 
 
 def completed_without_payment(ledger: Ledger) -> DataFrame:
-    unpaid = references.missing_children(ledger.orders, ledger.payments, "order_id", "order_id",
-                                         F.col("status") == COMPLETED)
+    if ledger.settled is not None:
+        unpaid = ledger.settled.where(~F.col("payment_found") & (F.col("status") == COMPLETED))
+    else:
+        unpaid = references.missing_children(ledger.orders, ledger.payments, "order_id", "order_id",
+                                             F.col("status") == COMPLETED)
     named = with_customer_name(ledger, unpaid.select("order_id", "customer_id", "order_date", "total_amount"))
     return named.select("order_id", "customer_id", "customer_name", "order_date", "total_amount",
                         F.lit(ledger.labels.completed_unpaid).alias("problem"))
@@ -65,6 +68,10 @@ def completed_without_payment_risk(ledger: Ledger) -> DataFrame:
 
 
 def orphan_payments(ledger: Ledger) -> DataFrame:
+    if ledger.settled is not None:
+        return ledger.settled.where(~F.col("order_found")).select(
+            "payment_id", F.col("paid_order_id").alias("referenced_order_id"), "payment_date", "payment_amount",
+            "payment_status", F.lit(ledger.labels.order_missing).alias("problem"))
     child = ledger.payments.select("payment_id", "order_id", "payment_date", "payment_amount", "payment_status")
     return references.orphans(child, ledger.orders, "order_id", "order_id",
                               reason=ledger.labels.order_missing, referenced_as="referenced_order_id",
@@ -82,6 +89,10 @@ def orphan_payments_by_status(ledger: Ledger) -> DataFrame:
 
 
 def _mismatches(ledger: Ledger, *columns: str) -> DataFrame:
+    if ledger.settled is not None:
+        confirmed = ledger.settled.where(F.col("order_found") & F.col("payment_found")
+                                         & (F.col("payment_status") == PAID))
+        return amounts.with_difference(confirmed, "total_amount", "payment_amount", ledger.labels)
     return amounts.amount_mismatch(
         ledger.orders.select("order_id", *columns, "total_amount"),
         ledger.payments.select("payment_id", "order_id", "payment_amount", "payment_status"),

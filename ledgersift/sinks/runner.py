@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import logging
+import uuid
 from collections.abc import Mapping
 from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
 
 from ledgersift.model import Ledger
+from ledgersift.operators.facts import share_settlements
 from ledgersift.plans.catalogue import EXPORTS, Check, Export
+from ledgersift.session import shared_dir
 from ledgersift.sinks.writers import dated_path, write_result
 
 logger = logging.getLogger(__name__)
@@ -18,9 +21,15 @@ RESULT_SCHEMA = "name string, rows long, path string, status string"
 
 
 def run_all(spark: SparkSession, ledger: Ledger, folder: str, *, day: date | None = None, kind: str = "csv",
-            exports: Mapping[str, Export | Check] = EXPORTS) -> DataFrame:
-    """Write every export; result: name, rows, path, status ("OK" or "ERROR: ...") per export."""
+            exports: Mapping[str, Export | Check] = EXPORTS, share: bool = False) -> DataFrame:
+    """Write every export; result: name, rows, path, status ("OK" or "ERROR: ...") per export.
+
+    ``share`` joins orders with payments once, into the shared folder, and lets the exports that
+    reconcile them read that table.
+    """
     day = day or date.today()
+    if share:
+        ledger = share_settlements(ledger, f"{shared_dir(spark)}/audit-{uuid.uuid4().hex}")
     results = []
     for name, export in exports.items():
         path = dated_path(folder, name, day, kind)
