@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
 from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame, SparkSession
@@ -47,6 +48,8 @@ ROLE_SCHEMAS: dict[str, T.StructType] = {
 ORDER_STATUSES = ("Pending", "Processing", "Completed", "Cancelled")
 PAYMENT_STATUSES = ("Paid", "Failed", "Pending")
 
+FOREIGN_KEYS = (("orders", "customer_id"), ("orders", "product_id"), ("payments", "order_id"))
+
 COMPLETED = "Completed"
 PAID = "Paid"
 
@@ -74,6 +77,7 @@ class Ledger:
 
     ``settled`` optionally holds ``facts.settlements`` of this ledger, already written out; the
     checks that reconcile orders with payments then filter it instead of joining again.
+    ``counted`` likewise holds hot keys already found (see ``facts.share_facts``).
     """
 
     customers: DataFrame
@@ -83,6 +87,7 @@ class Ledger:
     labels: Labels = ENGLISH
     skew: SkewPolicy = field(default_factory=SkewPolicy)
     settled: DataFrame | None = None
+    counted: Mapping[tuple[str, str], DataFrame] = field(default_factory=dict)
 
     @classmethod
     def of(cls, customers: DataFrame, products: DataFrame, orders: DataFrame, payments: DataFrame,
@@ -94,7 +99,8 @@ class Ledger:
     def hot(self, role: str, key: str) -> DataFrame:
         """Hot values of a foreign key, counted on its own table: one narrow scan, however large
         the plan that looks the key up."""
-        return hot_keys(getattr(self, role), key, self.skew)
+        known = self.counted.get((role, key))
+        return hot_keys(getattr(self, role), key, self.skew) if known is None else known
 
     def worded(self, labels: Labels) -> Ledger:
         return replace(self, labels=labels)

@@ -12,7 +12,7 @@ from ledgersift.operators.skew import SkewPolicy, expand
 
 def amount_mismatch(parent: DataFrame, child: DataFrame, pk: str, fk: str, expected: str, actual: str,
                     predicate: Column | None = None, *, child_id: str, labels: Labels = ENGLISH,
-                    policy: SkewPolicy | None = None) -> DataFrame:
+                    policy: SkewPolicy | None = None, hot: DataFrame | None = None) -> DataFrame:
     """Parent columns, child columns, diff (actual - expected), diff_type and diff_pct.
 
     One row per child row that disagrees; two part payments that sum to the total are two
@@ -21,7 +21,7 @@ def amount_mismatch(parent: DataFrame, child: DataFrame, pk: str, fk: str, expec
     paid = child if predicate is None else child.where(predicate)
     paid = paid.where(F.col(actual).isNotNull()).withColumnRenamed(fk, "_fk")
     priced = parent.where(F.col(expected).isNotNull())
-    pairs = expand(priced, paid, pk, "_fk", how="inner", spread_by=[child_id], policy=policy)
+    pairs = expand(priced, paid, pk, "_fk", how="inner", spread_by=[child_id], policy=policy, hot=hot)
     return with_difference(pairs.drop("_fk", "parent_found", "child_found"), expected, actual, labels)
 
 

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgersift.functions.expressions import keep, rows, tally
-from ledgersift.model import COMPLETED, PAID, Ledger
+from ledgersift.model import COMPLETED, FOREIGN_KEYS, PAID, Ledger
 from ledgersift.operators.skew import expand, key_set, resolve
 
 
@@ -26,17 +26,25 @@ def settlements(ledger: Ledger) -> DataFrame:
         return ledger.settled
     payments = ledger.payments.withColumnRenamed("order_id", "paid_order_id")
     pairs = expand(ledger.orders, payments, "order_id", "paid_order_id", how="full",
-                   spread_by=["payment_id"], policy=ledger.skew)
+                   spread_by=["payment_id"], hot=ledger.hot("payments", "order_id"))
     return (pairs.withColumnRenamed("parent_found", "order_found")
             .withColumnRenamed("child_found", "payment_found"))
 
 
-def share_settlements(ledger: Ledger, folder: str) -> Ledger:
-    """The ledger with its settlements written to a shared folder, for runs of many checks.
+def share_facts(ledger: Ledger, folder: str) -> Ledger:
+    """The ledger with its hot keys and settlements written to a shared folder, for many checks.
 
-    The table is partitioned by what was found, so orders without payment and payments without
-    order are read alone. Being a table, it also survives the loss of executors.
+    Hot keys are three tables of at most ``max_hot_keys`` rows, so later checks count nothing
+    again and know their size. Settlements are partitioned by what was found, so orders without
+    payment and payments without order are read alone. Being tables, both survive the loss of
+    executors.
     """
+    counted = {}
+    for role, key in FOREIGN_KEYS:
+        hot = ledger.hot(role, key)
+        hot.coalesce(1).write.mode("overwrite").parquet(f"{folder}/hot_{role}_{key}")
+        counted[role, key] = hot.sparkSession.read.schema(hot.schema).parquet(f"{folder}/hot_{role}_{key}")
+    ledger = replace(ledger, counted=counted)
     side = (F.when(~F.col("payment_found"), F.lit("order_only"))
             .when(~F.col("order_found"), F.lit("payment_only")).otherwise(F.lit("pair")))
     path = f"{folder}/settlements"
@@ -133,10 +141,10 @@ def order_facts(ledger: Ledger) -> DataFrame:
     totals = payments_per_order(ledger.payments)
     paid = ledger.orders.join(totals, F.col("order_id") == F.col("_paid_order"), "left").drop("_paid_order")
     with_customer = resolve(paid, ledger.customers, "customer_id", "customer_id", found="customer_found",
-                            spread_by=["order_id"], policy=ledger.skew,
+                            spread_by=["order_id"],
                             hot=ledger.hot("orders", "customer_id"))
     with_product = resolve(with_customer, ledger.products, "product_id", "product_id", found="product_found",
-                           values={"active": "product_active"}, spread_by=["order_id"], policy=ledger.skew,
+                           values={"active": "product_active"}, spread_by=["order_id"],
                            hot=ledger.hot("orders", "product_id"))
     mismatched = (F.col("paid_min") != F.col("total_amount")) | (F.col("paid_max") != F.col("total_amount"))
     return (with_product.withColumn("any_n", F.coalesce("any_n", F.lit(0).cast("long")))

@@ -149,15 +149,16 @@ def match(child: DataFrame, parent: DataFrame, fk: str, pk: str, *, values: dict
 
 
 def expand(parent: DataFrame, child: DataFrame, pk: str, fk: str, *, how: str,
-           spread_by: Sequence[str], policy: SkewPolicy | None = None) -> DataFrame:
+           spread_by: Sequence[str], policy: SkewPolicy | None = None,
+           hot: DataFrame | None = None) -> DataFrame:
     """Parent joined to its children (``inner``, ``left`` or ``full``), keeping every pair.
 
     Result: all parent columns, ``parent_found``, all child columns, ``child_found``. Column
     names of the two sides must differ. Copies of a hot parent that met no child in their salt
-    are removed; a hot parent always has children, so the pair rows stand for it.
+    are removed; a hot parent always has children, so the pair rows stand for it. A given ``hot``
+    must keep that promise for ``left`` and ``full``.
     """
-    policy = policy or SkewPolicy()
-    hot = hot_keys(child, fk, policy)
+    hot = hot_keys(child, fk, policy or SkewPolicy()) if hot is None else hot
     many = (child.join(F.broadcast(hot), F.col(fk) == F.col("hot_key"), "left")
             .withColumn("_salt", F.when(F.col(fk).isNull(), scatter(spread_by))
                         .otherwise(F.coalesce(F.pmod(scatter(spread_by), F.col("n_salts").cast("long")),

@@ -17,18 +17,20 @@ Order = Callable[[], list[Column]]
 
 @dataclass(frozen=True)
 class Check:
-    """A check and the order its report is read in.
-
-    Every order ends in a column that tells rows apart, so the range shuffle of a sort stays
-    balanced when many rows share the leading value.
-    """
+    """A check and the order its report is read in."""
 
     build: Callable[[Ledger], DataFrame]
     order: Order
     summary: bool = False
 
     def ordered(self, ledger: Ledger) -> DataFrame:
-        return self.build(ledger).orderBy(*self.order())
+        return ordered(self.build(ledger), self.order())
+
+
+def ordered(df: DataFrame, order: list[Column]) -> DataFrame:
+    """Sort for a report. Equal rows are told apart by where they come from, so the range shuffle
+    of the sort stays balanced when many rows share all sort values."""
+    return df.withColumn("_origin", F.spark_partition_id()).orderBy(*order, "_origin").drop("_origin")
 
 
 CHECKS: dict[str, Check] = {
@@ -75,7 +77,7 @@ class Export:
         """The check under the published wording and headers, in report order."""
         check = CHECKS[self.check]
         worded = ledger.worded(SPANISH_EXPORT)
-        return ((self.build or check.build)(worded).orderBy(*check.order())
+        return (ordered((self.build or check.build)(worded), check.order())
                 .select(*[F.col(c).alias(h) for c, h in zip(self.columns, self.headers, strict=True)]))
 
     @property

@@ -18,7 +18,7 @@ from ledgersift.operators.skew import key_set, match, resolve
 def with_customer_name(ledger: Ledger, df: DataFrame, hot: DataFrame | None = None) -> DataFrame:
     """Add customer_name to rows with customer_id and order_id."""
     return resolve(df, ledger.customers, "customer_id", "customer_id", found="_customer_found",
-                   values={"name": "customer_name"}, spread_by=["order_id"], policy=ledger.skew,
+                   values={"name": "customer_name"}, spread_by=["order_id"],
                    hot=ledger.hot("orders", "customer_id") if hot is None else hot).drop("_customer_found")
 
 
@@ -44,7 +44,7 @@ def orders_without_customer(ledger: Ledger) -> DataFrame:
     child = ledger.orders.select("order_id", "customer_id", "order_date", "status", "total_amount")
     return references.orphans(child, ledger.customers, "customer_id", "customer_id",
                               reason=ledger.labels.customer_missing, referenced_as="referenced_customer_id",
-                              spread_by=["order_id"], policy=ledger.skew)
+                              spread_by=["order_id"], hot=ledger.hot("orders", "customer_id"))
 
 
 def orders_without_customer_rate(ledger: Ledger) -> DataFrame:
@@ -75,7 +75,7 @@ def orphan_payments(ledger: Ledger) -> DataFrame:
     child = ledger.payments.select("payment_id", "order_id", "payment_date", "payment_amount", "payment_status")
     return references.orphans(child, ledger.orders, "order_id", "order_id",
                               reason=ledger.labels.order_missing, referenced_as="referenced_order_id",
-                              spread_by=["payment_id"], policy=ledger.skew)
+                              spread_by=["payment_id"], hot=ledger.hot("payments", "order_id"))
 
 
 def orphan_payment_amount(ledger: Ledger, coalesce_empty: bool = False) -> DataFrame:
@@ -97,7 +97,7 @@ def _mismatches(ledger: Ledger, *columns: str) -> DataFrame:
         ledger.orders.select("order_id", *columns, "total_amount"),
         ledger.payments.select("payment_id", "order_id", "payment_amount", "payment_status"),
         "order_id", "order_id", "total_amount", "payment_amount", F.col("payment_status") == PAID,
-        child_id="payment_id", labels=ledger.labels, policy=ledger.skew)
+        child_id="payment_id", labels=ledger.labels, hot=ledger.hot("payments", "order_id"))
 
 
 def amount_mismatches(ledger: Ledger) -> DataFrame:
@@ -134,7 +134,7 @@ def inactive_product_orders(ledger: Ledger) -> DataFrame:
     inactive = ledger.products.where(F.col("active") == F.lit(False))
     sold = match(ledger.orders, inactive, "product_id", "product_id",
                  values={"product_name": "product_name", "price": "product_price", "active": "active"},
-                 policy=ledger.skew)
+                 hot=ledger.hot("orders", "product_id"))
     return with_customer_name(ledger, sold).select(
         "order_id", "customer_id", "customer_name", "order_date", "status", "total_amount",
         "product_id", "product_name", "product_price", "active",

@@ -30,7 +30,7 @@ def paid_orders(ledger: Ledger, orders: DataFrame) -> DataFrame:
                   .select("paid_order_id", F.lit(False).alias("paid")))
     attempts = confirmed.unionByName(only_tried, allowMissingColumns=True)
     pairs = expand(orders, attempts, "order_id", "paid_order_id", how="left",
-                   spread_by=["payment_id", "paid_order_id"], policy=ledger.skew)
+                   spread_by=["payment_id", "paid_order_id"], hot=ledger.hot("payments", "order_id"))
     return (pairs.drop("parent_found", "paid_order_id", "payment_id")
             .withColumnRenamed("child_found", "has_payment")
             .withColumn("paid", F.coalesce("paid", F.lit(False))))
@@ -52,10 +52,10 @@ def consolidated_view(ledger: Ledger) -> DataFrame:
     """
     named = resolve(ledger.orders, ledger.customers, "customer_id", "customer_id",
                     found="customer_found", values={"name": "customer_name"},
-                    spread_by=["order_id"], policy=ledger.skew)
+                    spread_by=["order_id"], hot=ledger.hot("orders", "customer_id"))
     described = resolve(named, ledger.products, "product_id", "product_id", found="product_found",
                         values={"product_name": "product_name", "active": "product_active"},
-                        spread_by=["order_id"], policy=ledger.skew, hot=ledger.hot("orders", "product_id"))
+                        spread_by=["order_id"], hot=ledger.hot("orders", "product_id"))
     return paid_orders(ledger, described).select(
         "order_id", "customer_id", "customer_name", "order_date", "status", "total_amount",
         _paid_amount().alias("paid_amount"), "product_name", "product_active",

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
 from datetime import date
 
 from pyspark.sql import DataFrame
@@ -38,6 +39,6 @@ def score_change(before: DataFrame, after: DataFrame) -> DataFrame:
 def as_of(ledger: Ledger, moment: str) -> Ledger:
     """The ledger restricted to customers, orders and payments dated before ``moment``."""
     cut = F.lit(moment).cast("timestamp_ntz")
-    return Ledger(ledger.customers.where(F.col("created_at") < cut), ledger.products,
-                  ledger.orders.where(F.col("order_date") < cut),
-                  ledger.payments.where(F.col("payment_date") < cut), ledger.labels, ledger.skew)
+    return replace(ledger, customers=ledger.customers.where(F.col("created_at") < cut),
+                   orders=ledger.orders.where(F.col("order_date") < cut),
+                   payments=ledger.payments.where(F.col("payment_date") < cut), settled=None, counted={})

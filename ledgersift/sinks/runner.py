@@ -10,7 +10,7 @@ from datetime import date
 from pyspark.sql import DataFrame, SparkSession
 
 from ledgersift.model import Ledger
-from ledgersift.operators.facts import share_settlements
+from ledgersift.operators.facts import share_facts
 from ledgersift.plans.catalogue import EXPORTS, Check, Export
 from ledgersift.session import shared_dir
 from ledgersift.sinks.writers import dated_path, write_result
@@ -24,12 +24,12 @@ def run_all(spark: SparkSession, ledger: Ledger, folder: str, *, day: date | Non
             exports: Mapping[str, Export | Check] = EXPORTS, share: bool = False) -> DataFrame:
     """Write every export; result: name, rows, path, status ("OK" or "ERROR: ...") per export.
 
-    ``share`` joins orders with payments once, into the shared folder, and lets the exports that
-    reconcile them read that table.
+    ``share`` counts hot keys and joins orders with payments once, into the shared folder, and
+    lets the exports read those tables.
     """
     day = day or date.today()
     if share:
-        ledger = share_settlements(ledger, f"{shared_dir(spark)}/audit-{uuid.uuid4().hex}")
+        ledger = share_facts(ledger, f"{shared_dir(spark)}/audit-{uuid.uuid4().hex}")
     results = []
     for name, export in exports.items():
         path = dated_path(folder, name, day, kind)

@@ -52,7 +52,7 @@ class JdbcSource:
     def options(self, role: str) -> dict[str, str]:
         """Options of the jdbc source for one role."""
         chosen = {"url": self.url, "dbtable": self.tables.get(role, role), "fetchsize": str(self.fetch_size),
-                  **self.properties}
+                  "preferTimestampNTZ": "true", **self.properties}
         if role in self.key_ranges:
             low, high = self.key_ranges[role]
             chosen |= {"partitionColumn": PRIMARY_KEYS[role], "lowerBound": str(low), "upperBound": str(high + 1),

@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 
 from ledgersift.model import ROLE_SCHEMAS, empty_ledger
 from ledgersift.operators.controls import check_domain, check_fk, split_valid
-from ledgersift.operators.facts import share_settlements
+from ledgersift.operators.facts import share_facts
 from ledgersift.operators.nulls import check_not_null
+from ledgersift.operators.skew import SkewPolicy
 from ledgersift.plans import checks, history, impact, scorecard
-from ledgersift.plans.catalogue import EXPORTS, Check
+from ledgersift.plans.catalogue import CHECKS, EXPORTS, Check
 from ledgersift.session import cut_lineage, shared_dir
 from ledgersift.sinks.runner import failed, run_all
 from ledgersift.sinks.writers import dated_path, write_result, write_split
@@ -64,7 +65,7 @@ def test_a_failing_export_does_not_stop_the_rest(spark, ledger, tmp_path):
 
 
 def test_shared_settlements_give_the_same_checks(spark, ledger, tmp_path):
-    shared = share_settlements(ledger, str(tmp_path))
+    shared = share_facts(ledger, str(tmp_path))
     for check in (checks.completed_without_payment, checks.orphan_payments, checks.amount_mismatches,
                   scorecard.revenue_at_risk, scorecard.quality_score, checks.amount_mismatch_summary):
         assert sorted(map(repr, tuples(check(shared)))) == sorted(map(repr, tuples(check(ledger))))
@@ -91,7 +92,8 @@ def test_jdbc_options_split_by_primary_key():
     source = JdbcSource("jdbc:postgresql://db/ledger", {"user": "u"}, {"orders": "sales.orders"},
                         {"orders": (1, 1000)}, partitions=8)
     assert source.options("orders") == {
-        "url": "jdbc:postgresql://db/ledger", "dbtable": "sales.orders", "fetchsize": "10000", "user": "u",
+        "url": "jdbc:postgresql://db/ledger", "dbtable": "sales.orders", "fetchsize": "10000",
+        "preferTimestampNTZ": "true", "user": "u",
         "partitionColumn": "order_id", "lowerBound": "1", "upperBound": "1001", "numPartitions": "8"}
     assert "partitionColumn" not in source.options("payments")
 
@@ -188,3 +190,11 @@ def test_shared_folder_and_checkpoint(spark):
 def test_empty_ledger_exports(spark, tmp_path):
     done = run_all(spark, empty_ledger(spark), str(tmp_path), day=DAY)
     assert failed(done).count() == 0
+
+
+def test_shared_facts_hold_under_hot_keys(spark, tmp_path):
+    split = mini_ledger(spark, skew=SkewPolicy(rows_per_task=1, max_hot_keys=2))
+    shared = share_facts(split, str(tmp_path))
+    assert {k for (k,) in tuples(shared.hot("payments", "order_id"), "hot_key")} == {2}
+    for name, check in CHECKS.items():
+        assert list(map(repr, tuples(check.ordered(shared)))) == list(map(repr, tuples(check.ordered(split)))), name

@@ -107,3 +107,17 @@ def test_text_ids_split_by_hash(spark):
     parts = tuples(duplicate_groups(df, "k", "id", part_size=10), "ids")
     assert len(parts) > 1
     assert sorted(i for (ids,) in parts for i in ids.split(", ")) == sorted(f"id{i}" for i in range(50))
+
+
+@pytest.mark.parametrize("adaptive", ["true", "false"])
+def test_results_do_not_depend_on_adaptive_plans(spark, tables, adaptive):
+    child, parent = tables
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    try:
+        ours = tuples(resolve(child, parent, "fk", "pk", found="hit", spread_by=["id"], policy=SPLIT))
+        pairs = expand(parent, child, "pk", "fk", how="full", spread_by=["id"], policy=SPLIT).count()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
+    assert sum(1 for *_, hit in ours if hit) == plain(tables, "inner").count()
+    assert pairs == parent.join(child, F.col("fk") == F.col("pk"), "full").count()
