@@ -4,8 +4,8 @@
                      without order: the whole reconciliation from one join of the two tables;
 ``order_facts``      one row per order with its payment totals, customer and product;
 ``identity_facts``   one row per email;
-``customer_ledger``  one row per referenced customer id with every additive order and payment
-                     measure, so that customer existence is joined to combined rows.
+``customer_ledger``  every additive order and payment measure, kept apart by customer id only
+                     where the customer matters, so that existence is joined to combined rows.
 """
 
 from __future__ import annotations
@@ -98,10 +98,18 @@ def settlement_totals(ledger: Ledger) -> DataFrame:
 
 
 def customer_ledger(ledger: Ledger) -> DataFrame:
-    """One row per ``orders.customer_id`` (and one for none): all measures, ``customer_found``."""
+    """One row per ``orders.customer_id`` (and one for none): all measures, ``customer_found``.
+
+    Sums over all rows are the audit's totals. Sums over found or unknown customers hold for
+    ``orders``, ``total_null`` and ``unpaid_priced``, the measures that decide whether an order is
+    bad; other settlement rows carry no customer id here and are combined into one row per task
+    before the shuffle.
+    """
     static, settled = order_measures(), settlement_measures()
     order_rows = ledger.orders.select("customer_id", *[c.alias(n) for n, c in static.items()])
-    payment_rows = settlements(ledger).select("customer_id", *[c.alias(n) for n, c in settled.items()])
+    decides = settled["unpaid_priced"] == 1
+    payment_rows = settlements(ledger).select(F.when(decides, F.col("customer_id")).alias("customer_id"),
+                                              *[c.alias(n) for n, c in settled.items()])
     per_customer = (order_rows.unionByName(payment_rows, allowMissingColumns=True)
                     .groupBy("customer_id")
                     .agg(*[F.sum(n).alias(n) for n in [*static, *settled]]))
@@ -124,14 +132,23 @@ def identity_facts(ledger: Ledger) -> DataFrame:
 
 
 def payments_per_order(payments: DataFrame) -> DataFrame:
-    """One row per referenced order: any_n, paid_n, paid_sum, and the paid amounts' extremes."""
+    """One row per referenced order (and one for none): any_n, paid_n, paid_sum, and the paid
+    amounts' extremes. Payments are combined before the shuffle, so no order is hot."""
     paid = keep(F.col("payment_status") == PAID, F.col("payment_amount"))
-    return (payments.where(F.col("order_id").isNotNull())
-            .groupBy(F.col("order_id").alias("_paid_order"))
+    return (payments.groupBy(F.col("order_id").alias("_paid_order"))
             .agg(rows().alias("any_n"), F.count_if(F.col("payment_status") == PAID).alias("paid_n"),
                  F.sum(paid).alias("paid_sum"), F.min(paid).alias("paid_min"), F.max(paid).alias("paid_max")))
 
 
+def paid_order_rows(ledger: Ledger) -> DataFrame:
+    """Orders full-joined to their payment totals; ``order_found`` is false for totals whose
+    order does not exist, ``any_n`` is NULL for orders without payment."""
+    found = ledger.orders.withColumn("_found", F.lit(True))
+    totals = payments_per_order(ledger.payments)
+    return (found.join(totals, F.col("order_id") == F.col("_paid_order"), "full")
+            .withColumn("order_found", F.coalesce("_found", F.lit(False))).drop("_found", "_paid_order"))
+
+
 def order_facts(ledger: Ledger) -> DataFrame:
     """One row per order: order columns, payment totals, customer_found, product_active and
     ``mismatched`` (some confirmed payment differs from the total).
