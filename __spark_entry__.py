@@ -47,12 +47,17 @@ def _on(plan: Callable[[Ledger], DataFrame]) -> Query:
     return lambda spark, sf_dir: plan(bound_ledger(spark, sf_dir))
 
 
+def _on_measured(plan: Callable[[Ledger], DataFrame]) -> Query:
+    """A query with detail joins: table sizes are checked first, to plan without hot keys if small."""
+    return lambda spark, sf_dir: plan(bound_ledger(spark, sf_dir).measured())
+
+
 def _on_scores(plan: Callable[[DataFrame], DataFrame]) -> Query:
     return _on(lambda ledger: plan(scorecard.quality_score(ledger)))
 
 
 def _on_risk(plan: Callable[[DataFrame], DataFrame]) -> Query:
-    return _on(lambda ledger: plan(scorecard.revenue_at_risk(ledger)))
+    return _on_measured(lambda ledger: plan(scorecard.revenue_at_risk(ledger)))
 
 
 def _email_groups_export(ledger: Ledger) -> DataFrame:
@@ -89,7 +94,7 @@ def _run_folder(spark: SparkSession, name: str) -> str:
 
 
 def _export_run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = run_all(spark, bound_ledger(spark, sf_dir), _run_folder(spark, "exports"), day=AUDIT_DAY, share=True)
+    done = run_all(spark, bound_ledger(spark, sf_dir).measured(), _run_folder(spark, "exports"), day=AUDIT_DAY, share=True)
     return done.select("name", "rows", "status")
 
 
@@ -150,37 +155,37 @@ def queries() -> dict[str, Query]:
         "a01_duplicate_groups_export": _on(_email_groups_export),
         "a01_duplicate_names_report": _on(_email_names_report),
         "a02_duplicate_rate": _on(checks.duplicate_email_rate),
-        "a03_orders_without_customer": _on(checks.orders_without_customer),
+        "a03_orders_without_customer": _on_measured(checks.orders_without_customer),
         "a04_orders_without_customer_rate": _on(checks.orders_without_customer_rate),
-        "a05_completed_without_payment": _on(checks.completed_without_payment),
+        "a05_completed_without_payment": _on_measured(checks.completed_without_payment),
         "a06_completed_without_payment_risk": _on(checks.completed_without_payment_risk),
-        "a07_orphan_payments": _on(checks.orphan_payments),
+        "a07_orphan_payments": _on_measured(checks.orphan_payments),
         "a08_orphan_payment_amount": _on(checks.orphan_payment_amount),
-        "a09_amount_mismatch": _on(checks.amount_mismatches),
-        "a10_amount_mismatch_summary": _on(checks.amount_mismatch_summary),
-        "a11_revenue_at_risk": _on(scorecard.revenue_at_risk),
+        "a09_amount_mismatch": _on_measured(checks.amount_mismatches),
+        "a10_amount_mismatch_summary": _on_measured(checks.amount_mismatch_summary),
+        "a11_revenue_at_risk": _on_measured(scorecard.revenue_at_risk),
         "a12_quality_score": _on(scorecard.quality_score),
         "a13_customers_with_nulls": _on(checks.customers_with_nulls),
         "a14_orders_with_null_total": _on(checks.orders_with_null_total),
         "a15_null_census": _on(checks.null_census),
         "a15_null_census_export": _on(lambda ledger: checks.null_census(ledger, full=False)),
-        "a16_inactive_product_orders": _on(checks.inactive_product_orders),
+        "a16_inactive_product_orders": _on_measured(checks.inactive_product_orders),
         "a17_inactive_product_summary": _on(checks.inactive_product_summary),
-        "a18_consolidated_view": _on(consolidated.consolidated_view),
+        "a18_consolidated_view": _on_measured(consolidated.consolidated_view),
         "a19_ledger_kpis": _on(scorecard.ledger_kpis),
         "a20_global_score": _on_scores(scorecard.global_score),
         "a21_reconciliation": _on(checks.reconciliation),
         "b01_revenue_at_risk_total": _on_risk(scorecard.revenue_at_risk_total),
         "b02_quality_score_global": _on_scores(lambda s: scorecard.global_score(s).select("mean_score")),
         "b03_percent_with_problems": _on_scores(feeds.percent_with_problems),
-        "b04_kpi_cards": _on(lambda ledger: feeds.kpi_cards(scorecard.quality_score(ledger),
+        "b04_kpi_cards": _on_measured(lambda ledger: feeds.kpi_cards(scorecard.quality_score(ledger),
                                                             scorecard.revenue_at_risk(ledger))),
         "b05_risk_by_category": _on_risk(lambda risk: risk.select("category", "amount")),
-        "b06_problem_rows": _on(consolidated.problem_rows),
+        "b06_problem_rows": _on_measured(consolidated.problem_rows),
         "b07_error_distribution": _on_scores(feeds.error_distribution),
-        "b08_over_under_by_order": _on(feeds.over_under_by_order),
-        "b09_error_trend": _on(consolidated.error_trend),
-        "b10_order_vs_paid": _on(consolidated.order_vs_paid),
+        "b08_over_under_by_order": _on_measured(feeds.over_under_by_order),
+        "b09_error_trend": _on_measured(consolidated.error_trend),
+        "b10_order_vs_paid": _on_measured(consolidated.order_vs_paid),
         "b11_score_vs_target": _on_scores(feeds.score_vs_target),
         "b12_score_alerts": _on_scores(feeds.score_alerts),
         "c01_risk_shares": _on_risk(impact.risk_shares),
@@ -189,7 +194,7 @@ def queries() -> dict[str, Query]:
         "c04_fix_roi": _on_risk(lambda risk: impact.fix_roi(risk, FIX_COST)),
         "c05_orphan_payments_by_status": _on(checks.orphan_payments_by_status),
         "d04_export_run": _export_run,
-        "d06_sectioned_report": _on(report.sectioned_report),
+        "d06_sectioned_report": _on_measured(report.sectioned_report),
         "f01_unique_email": _on(lambda ledger: duplicates.check_unique(ledger.customers, ["email"])),
         "f01_unique_line_key": lambda spark, sf_dir: duplicates.check_unique(
             table(spark, sf_dir, "lineitem"), ["l_orderkey", "l_linenumber"]),
@@ -205,8 +210,8 @@ def queries() -> dict[str, Query]:
                                    .select("order_id", F.concat_ws(", ", "violations").alias("violations"))),
         "f04_status_domain": _on(lambda ledger: controls.check_domain(
             ledger.orders.select("order_id", "status"), "status", ["Pending", "Processing", "Completed"])),
-        "f05_quarantine": _on(_quarantine),
-        "f06_clean": _on(_clean),
+        "f05_quarantine": _on_measured(_quarantine),
+        "f06_clean": _on_measured(_clean),
         "f08_daily_scorecard": _daily_scorecard,
         "f09_score_change": _on(_score_change),
         "f10_stream_unpaid": _stream_unpaid,

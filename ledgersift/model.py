@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 from dataclasses import dataclass, field, replace
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgersift.functions.labels import ENGLISH, Labels
-from ledgersift.operators.skew import SkewPolicy, hot_keys
+from ledgersift.operators.skew import NO_HOT_KEYS, HotKeys, SkewPolicy, hot_keys
 
 MONEY = T.DecimalType(12, 2)
 
@@ -77,7 +78,8 @@ class Ledger:
 
     ``settled`` optionally holds ``facts.settlements`` of this ledger, already written out; the
     checks that reconcile orders with payments then filter it instead of joining again.
-    ``counted`` likewise holds hot keys already found (see ``facts.share_facts``).
+    ``counted`` likewise holds hot keys already found (see ``facts.share_facts``), and ``sizes``
+    the row counts of ``measured``.
     """
 
     customers: DataFrame
@@ -88,6 +90,7 @@ class Ledger:
     skew: SkewPolicy = field(default_factory=SkewPolicy)
     settled: DataFrame | None = None
     counted: Mapping[tuple[str, str], DataFrame] = field(default_factory=dict)
+    sizes: Mapping[str, int] = field(default_factory=dict)
 
     @classmethod
     def of(cls, customers: DataFrame, products: DataFrame, orders: DataFrame, payments: DataFrame,
@@ -96,11 +99,29 @@ class Ledger:
         return cls(conform(customers, "customers"), conform(products, "products"),
                    conform(orders, "orders"), conform(payments, "payments"), **options)
 
-    def hot(self, role: str, key: str) -> DataFrame:
+    def measured(self) -> Ledger:
+        """The ledger with its row counts known: one job, which reads file footers where it can.
+
+        A table no larger than one task's share has no hot keys, and a small parent may be
+        broadcast, so the checks then plan without counting keys. Larger tables keep the general
+        plans. Without this call nothing runs before a result is used.
+        """
+        parts = [getattr(self, role).agg(F.count(F.lit(1)).alias("n")).select(F.lit(role).alias("role"), "n")
+                 for role in ROLE_SCHEMAS]
+        return replace(self, sizes={r["role"]: r["n"] for r in reduce(DataFrame.unionByName, parts).collect()})
+
+    def small(self, role: str) -> bool:
+        """Known to be small enough to broadcast."""
+        return self.sizes.get(role, self.skew.broadcast_rows + 1) <= self.skew.broadcast_rows
+
+    def hot(self, role: str, key: str) -> HotKeys:
         """Hot values of a foreign key, counted on its own table: one narrow scan, however large
         the plan that looks the key up."""
-        known = self.counted.get((role, key))
-        return hot_keys(getattr(self, role), key, self.skew) if known is None else known
+        if (role, key) in self.counted:
+            return self.counted[role, key]
+        if self.sizes.get(role, self.skew.rows_per_task + 1) <= self.skew.rows_per_task:
+            return NO_HOT_KEYS
+        return hot_keys(getattr(self, role), key, self.skew)
 
     def worded(self, labels: Labels) -> Ledger:
         return replace(self, labels=labels)

@@ -7,12 +7,12 @@ from pyspark.sql import functions as F
 
 from ledgersift.functions.expressions import MONEY_SUM, money, rows
 from ledgersift.functions.labels import ENGLISH, Labels
-from ledgersift.operators.skew import SkewPolicy, expand
+from ledgersift.operators.skew import COUNT_THEM, HotKeys, SkewPolicy, expand
 
 
 def amount_mismatch(parent: DataFrame, child: DataFrame, pk: str, fk: str, expected: str, actual: str,
                     predicate: Column | None = None, *, child_id: str, labels: Labels = ENGLISH,
-                    policy: SkewPolicy | None = None, hot: DataFrame | None = None) -> DataFrame:
+                    policy: SkewPolicy | None = None, hot: HotKeys = COUNT_THEM) -> DataFrame:
     """Parent columns, child columns, diff (actual - expected), diff_type and diff_pct.
 
     One row per child row that disagrees; two part payments that sum to the total are two

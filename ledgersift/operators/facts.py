@@ -4,8 +4,8 @@
                      without order: the whole reconciliation from one join of the two tables;
 ``order_facts``      one row per order with its payment totals, customer and product;
 ``identity_facts``   one row per email;
-``customer_ledger``  every additive order and payment measure, kept apart by customer id only
-                     where the customer matters, so that existence is joined to combined rows.
+``order_book``       one row: orders, bad orders and orphan payments, with customer existence
+                     joined to orders already combined per customer id.
 """
 
 from __future__ import annotations
@@ -17,7 +17,17 @@ from pyspark.sql import functions as F
 
 from ledgersift.functions.expressions import keep, rows, tally
 from ledgersift.model import COMPLETED, FOREIGN_KEYS, PAID, Ledger
-from ledgersift.operators.skew import expand, key_set, resolve
+from ledgersift.operators.skew import HotKeys, expand, key_set, resolve
+
+PARENT_KEYS = {"customers": "customer_id", "products": "product_id"}
+
+
+def look_up(ledger: Ledger, df: DataFrame, parent: str, *, found: str, values: dict[str, str] | None = None,
+            hot: HotKeys | None = None) -> DataFrame:
+    """Rows with order_id and a customer or product id, plus ``found`` and the parent's columns."""
+    key = PARENT_KEYS[parent]
+    return resolve(df, getattr(ledger, parent), key, key, found=found, values=values, spread_by=["order_id"],
+                   hot=ledger.hot("orders", key) if hot is None else hot, small_parent=ledger.small(parent))
 
 
 def settlements(ledger: Ledger) -> DataFrame:
@@ -42,6 +52,8 @@ def share_facts(ledger: Ledger, folder: str) -> Ledger:
     counted = {}
     for role, key in FOREIGN_KEYS:
         hot = ledger.hot(role, key)
+        if isinstance(hot, str):
+            continue
         hot.coalesce(1).write.mode("overwrite").parquet(f"{folder}/hot_{role}_{key}")
         counted[role, key] = hot.sparkSession.read.schema(hot.schema).parquet(f"{folder}/hot_{role}_{key}")
     ledger = replace(ledger, counted=counted)
@@ -69,7 +81,6 @@ def settlement_measures() -> dict[str, Column]:
         "payments": tally(F.col("payment_found")),
         "payment_amount_null": tally(F.col("payment_found") & F.col("payment_amount").isNull()),
         "unpaid": tally(unpaid),
-        "unpaid_priced": tally(unpaid & F.col("total_amount").isNotNull()),
         "unpaid_amount": keep(unpaid, F.col("total_amount")),
         "orphan_payments": tally(orphan),
         "orphan_amount": keep(orphan, F.col("payment_amount")),
@@ -83,7 +94,6 @@ def settlement_measures() -> dict[str, Column]:
 def order_measures() -> dict[str, Column]:
     """Per-row measures of ``orders`` that need no join."""
     return {
-        "orders": tally(F.lit(True)),
         "total_null": tally(F.col("total_amount").isNull()),
         "date_null": tally(F.col("order_date").isNull()),
         "gross_amount": keep(F.col("status") == COMPLETED, F.col("total_amount")),
@@ -97,28 +107,6 @@ def settlement_totals(ledger: Ledger) -> DataFrame:
             .agg(*[F.sum(n).alias(n) for n in measures]))
 
 
-def customer_ledger(ledger: Ledger) -> DataFrame:
-    """One row per ``orders.customer_id`` (and one for none): all measures, ``customer_found``.
-
-    Sums over all rows are the audit's totals. Sums over found or unknown customers hold for
-    ``orders``, ``total_null`` and ``unpaid_priced``, the measures that decide whether an order is
-    bad; other settlement rows carry no customer id here and are combined into one row per task
-    before the shuffle.
-    """
-    static, settled = order_measures(), settlement_measures()
-    order_rows = ledger.orders.select("customer_id", *[c.alias(n) for n, c in static.items()])
-    decides = settled["unpaid_priced"] == 1
-    payment_rows = settlements(ledger).select(F.when(decides, F.col("customer_id")).alias("customer_id"),
-                                              *[c.alias(n) for n, c in settled.items()])
-    per_customer = (order_rows.unionByName(payment_rows, allowMissingColumns=True)
-                    .groupBy("customer_id")
-                    .agg(*[F.sum(n).alias(n) for n in [*static, *settled]]))
-    known = key_set(ledger.customers, "customer_id", "_known").withColumn("_hit", F.lit(True))
-    return (per_customer.join(known, F.col("customer_id") == F.col("_known"), "left")
-            .withColumn("customer_found", F.coalesce("_hit", F.lit(False)))
-            .drop("_known", "_hit"))
-
-
 def identity_facts(ledger: Ledger) -> DataFrame:
     """One row per email (and one for NULL): n, name_null, shared, and bad rows.
 
@@ -157,12 +145,35 @@ def order_facts(ledger: Ledger) -> DataFrame:
     """
     totals = payments_per_order(ledger.payments)
     paid = ledger.orders.join(totals, F.col("order_id") == F.col("_paid_order"), "left").drop("_paid_order")
-    with_customer = resolve(paid, ledger.customers, "customer_id", "customer_id", found="customer_found",
-                            spread_by=["order_id"],
-                            hot=ledger.hot("orders", "customer_id"))
-    with_product = resolve(with_customer, ledger.products, "product_id", "product_id", found="product_found",
-                           values={"active": "product_active"}, spread_by=["order_id"],
-                           hot=ledger.hot("orders", "product_id"))
+    with_customer = look_up(ledger, paid, "customers", found="customer_found")
+    with_product = look_up(ledger, with_customer, "products", found="product_found",
+                           values={"active": "product_active"})
     mismatched = (F.col("paid_min") != F.col("total_amount")) | (F.col("paid_max") != F.col("total_amount"))
     return (with_product.withColumn("any_n", F.coalesce("any_n", F.lit(0).cast("long")))
             .withColumn("mismatched", F.coalesce(mismatched, F.lit(False))))
+
+
+def order_book(ledger: Ledger) -> DataFrame:
+    """One row: orders, orders_without_customer, bad_orders, orphan_payments.
+
+    An order is bad when its total is missing, its customer is unknown, or it is completed and
+    unpaid. Only the customer needs a second join, and that one meets orders already combined
+    per customer id: every order of an unknown customer is bad, else those bad by themselves.
+    """
+    own_fault = F.col("order_found") & (
+        F.col("total_amount").isNull() | ((F.col("status") == COMPLETED) & F.col("any_n").isNull()))
+    per_customer = (paid_order_rows(ledger)
+                    .select("customer_id", tally(F.col("order_found")).alias("orders"),
+                            tally(own_fault).alias("own_fault"),
+                            F.when(~F.col("order_found"), F.col("any_n")).alias("orphan_payments"))
+                    .groupBy("customer_id")
+                    .agg(*[F.sum(c).alias(c) for c in ("orders", "own_fault", "orphan_payments")]))
+    known = key_set(ledger.customers, "customer_id", "_known")
+    unknown = F.col("_known").isNull()
+    none = F.lit(0).cast("long")
+    return (per_customer.join(known, F.col("customer_id") == F.col("_known"), "left")
+            .agg(*[F.coalesce(F.sum(value), none).alias(name) for name, value in {
+                "orders": F.col("orders"),
+                "orders_without_customer": F.when(unknown, F.col("orders")),
+                "bad_orders": F.when(unknown, F.col("orders")).otherwise(F.col("own_fault")),
+                "orphan_payments": F.col("orphan_payments")}.items()]))

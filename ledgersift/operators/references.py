@@ -6,14 +6,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgersift.functions.expressions import money, money_average, percent, rows
-from ledgersift.operators.skew import SkewPolicy, key_set, resolve
+from ledgersift.operators.skew import COUNT_THEM, HotKeys, SkewPolicy, key_set, resolve
 
 
 def orphans(child: DataFrame, parent: DataFrame, fk: str, pk: str, *, reason: str,
             referenced_as: str | None = None, spread_by: list[str] | None = None,
-            policy: SkewPolicy | None = None, hot: DataFrame | None = None) -> DataFrame:
+            policy: SkewPolicy | None = None, hot: HotKeys = COUNT_THEM, small_parent: bool = False) -> DataFrame:
     """Child rows whose foreign key has no parent row, plus ``problem``. A NULL key is an orphan."""
-    checked = resolve(child, parent, fk, pk, found="_found", spread_by=spread_by or [], policy=policy, hot=hot)
+    checked = resolve(child, parent, fk, pk, found="_found", spread_by=spread_by or [], policy=policy, hot=hot,
+                      small_parent=small_parent)
     named = [F.col(c).alias(referenced_as) if c == fk and referenced_as else F.col(c) for c in child.columns]
     return checked.where(~F.col("_found")).select(*named, F.lit(reason).alias("problem"))
 

@@ -29,11 +29,20 @@ class SkewPolicy:
     ``rows_per_task``: more rows than this under one key are worth splitting, and a split holds
     about this many. ``max_hot_keys`` bounds the broadcast table of hot keys; if more keys
     qualify, the largest ones are split and the rest, each below ``1 / max_hot_keys`` of the
-    rows, go through the ordinary shuffle.
+    rows, go through the ordinary shuffle. A parent of at most ``broadcast_rows`` counted rows
+    may be broadcast.
     """
 
     rows_per_task: int = 1_000_000
     max_hot_keys: int = 10_000
+    broadcast_rows: int = 100_000
+
+
+COUNT_THEM = "count"
+NO_HOT_KEYS = "none"
+
+# Hot keys of a join: a frame of them, counted on the spot, or known not to exist.
+HotKeys = DataFrame | str
 
 
 def key_set(df: DataFrame, key: str, name: str | None = None) -> DataFrame:
@@ -57,6 +66,13 @@ def largest(counts: DataFrame, policy: SkewPolicy) -> DataFrame:
             .select("hot_key", F.ceil(F.col("key_rows") / policy.rows_per_task).cast("int").alias("n_salts")))
 
 
+def _hot(child: DataFrame, fk: str, policy: SkewPolicy | None, hot: HotKeys) -> DataFrame | None:
+    """The frame of hot keys, counted now if need be; None when there can be none."""
+    if isinstance(hot, str):
+        return hot_keys(child, fk, policy or SkewPolicy()) if hot == COUNT_THEM else None
+    return hot
+
+
 def scatter(spread_by: Sequence[str]) -> Column:
     """A per-row hash that a retried task computes again to the same value.
 
@@ -65,6 +81,11 @@ def scatter(spread_by: Sequence[str]) -> Column:
     return F.xxhash64(*[F.col(c) for c in spread_by], F.spark_partition_id())
 
 
+def _always_zero(key: Column) -> Column:
+    """0, but not a constant to the optimizer, so that it stays a join key."""
+    return F.pmod(F.xxhash64(key), F.lit(1).cast("long"))
+
+
 def one_row_per_key(df: DataFrame, key: Column, values: Sequence[str], unique: bool = False) -> DataFrame:
     """(_pk, _zero, _hit, values...): one row per non-NULL key, since Parquet enforces no key.
 
@@ -73,7 +94,7 @@ def one_row_per_key(df: DataFrame, key: Column, values: Sequence[str], unique: b
     """
     keyed = (df.select(key.alias("_pk"), *[F.col(v).alias(f"_v_{v}") for v in values])
              .where(F.col("_pk").isNotNull())
-             .withColumn("_zero", F.pmod(F.xxhash64("_pk"), F.lit(1).cast("long"))))
+             .withColumn("_zero", _always_zero(F.col("_pk"))))
     if unique:
         return keyed.withColumn("_hit", F.lit(True))
     groups = keyed.groupBy("_pk", "_zero")
@@ -87,36 +108,46 @@ def one_row_per_key(df: DataFrame, key: Column, values: Sequence[str], unique: b
 
 def resolve(child: DataFrame, parent: DataFrame, fk: str, pk: str, *, found: str,
             values: dict[str, str] | None = None, spread_by: Sequence[str] = (),
-            policy: SkewPolicy | None = None, hot: DataFrame | None = None,
-            unique_parent: bool = False) -> DataFrame:
+            policy: SkewPolicy | None = None, hot: HotKeys = COUNT_THEM,
+            unique_parent: bool = False, small_parent: bool = False) -> DataFrame:
     """Child rows plus ``found`` (does the parent exist?) and parent columns; one row per child row.
 
     ``values`` maps parent columns to result names. A NULL foreign key is never found.
     ``spread_by`` names child columns that tell rows apart (the child's own key).
+    ``small_parent`` says the caller has checked that the parent may be broadcast.
     """
-    policy = policy or SkewPolicy()
     values = values or {}
     columns = child.columns
     spread_by = list(spread_by) or [fk]
-    hot = hot_keys(child, fk, policy) if hot is None else hot
+    hot = _hot(child, fk, policy, NO_HOT_KEYS if small_parent else hot)
     parents = one_row_per_key(parent, F.col(pk), list(values), unique_parent)
-
-    # At most max_hot_keys rows each, so both broadcasts have a fixed bound.
-    hot = F.broadcast(hot.select("hot_key"))
-    near = F.broadcast(_hot_parents(parent, pk, list(values), hot, unique_parent))
-    cold = F.when(F.col("hot_key").isNull(), F.col(fk))
-    staged = (child.join(hot, F.col(fk) == F.col("hot_key"), "left")
-              .join(near, F.col(fk) == F.col("_near_pk"), "left")
-              .select(*columns, "hot_key", "_near_hit", *[f"_near_{v}" for v in values], cold.alias("_cold"),
-                      F.when(cold.isNull(), scatter(spread_by)).otherwise(F.lit(0).cast("long")).alias("_spread")))
+    if small_parent:
+        joined = child.join(F.broadcast(parents), F.col(fk) == F.col("_pk"), "left")
+        return joined.select(*columns, F.coalesce("_hit", F.lit(False)).alias(found),
+                             *[F.col(f"_v_{v}").alias(name) for v, name in values.items()])
+
+    staged, cold, near = child, F.col(fk), None
+    if hot is not None:
+        # At most max_hot_keys rows each, so both broadcasts have a fixed bound.
+        hot = F.broadcast(hot.select("hot_key"))
+        near = F.broadcast(_hot_parents(parent, pk, list(values), hot, unique_parent))
+        staged = (child.join(hot, F.col(fk) == F.col("hot_key"), "left")
+                  .join(near, F.col(fk) == F.col("_near_pk"), "left"))
+        cold = F.when(F.col("hot_key").isNull(), F.col(fk))
+    answers = [] if near is None else ["hot_key", "_near_hit", *[f"_near_{v}" for v in values]]
+    staged = staged.select(
+        *columns, *answers, cold.alias("_cold"),
+        F.when(cold.isNull(), scatter(spread_by)).otherwise(F.lit(0).cast("long")).alias("_spread"))
     joined = staged.join(
         parents, (F.col("_cold") == F.col("_pk")) & (F.col("_spread") == F.col("_zero")), "left")
-    answered = F.col("hot_key").isNotNull()
-    return joined.select(
-        *columns,
-        F.coalesce(F.when(answered, F.col("_near_hit")).otherwise(F.col("_hit")), F.lit(False)).alias(found),
-        *[F.when(answered, F.col(f"_near_{v}")).otherwise(F.col(f"_v_{v}")).alias(name)
-          for v, name in values.items()])
+
+    def answer(cold_column: str, near_column: str) -> Column:
+        if near is None:
+            return F.col(cold_column)
+        return F.when(F.col("hot_key").isNotNull(), F.col(near_column)).otherwise(F.col(cold_column))
+
+    return joined.select(*columns, F.coalesce(answer("_hit", "_near_hit"), F.lit(False)).alias(found),
+                         *[answer(f"_v_{v}", f"_near_{v}").alias(name) for v, name in values.items()])
 
 
 def _hot_parents(parent: DataFrame, pk: str, values: list[str], hot: DataFrame, unique: bool) -> DataFrame:
@@ -127,30 +158,34 @@ def _hot_parents(parent: DataFrame, pk: str, values: list[str], hot: DataFrame,
 
 
 def match(child: DataFrame, parent: DataFrame, fk: str, pk: str, *, values: dict[str, str],
-          policy: SkewPolicy | None = None, hot: DataFrame | None = None,
-          unique_parent: bool = False) -> DataFrame:
+          policy: SkewPolicy | None = None, hot: HotKeys = COUNT_THEM,
+          unique_parent: bool = False, small_parent: bool = False) -> DataFrame:
     """Child rows that have a parent, plus parent columns; one row per child row.
 
     Rows of hot keys meet their parents in a broadcast join and are never shuffled; the others
     take an inner join, which Spark may narrow with a runtime filter. For a child that is cheap
     to read twice; without hot keys the first branch is empty and is not run.
     """
-    policy = policy or SkewPolicy()
     columns = child.columns
-    hot = F.broadcast((hot_keys(child, fk, policy) if hot is None else hot).select("hot_key"))
+    hot = _hot(child, fk, policy, NO_HOT_KEYS if small_parent else hot)
+    parents = one_row_per_key(parent, F.col(pk), list(values), unique_parent)
+    parents = F.broadcast(parents) if small_parent else parents
+    cold = child
+    if hot is not None:
+        hot = F.broadcast(hot.select("hot_key"))
+        cold = child.join(hot, F.col(fk) == F.col("hot_key"), "left_anti")
+    others = (cold.join(parents, F.col(fk) == F.col("_pk"), "inner")
+              .select(*columns, *[F.col(f"_v_{v}").alias(name) for v, name in values.items()]))
+    if hot is None:
+        return others
     near = F.broadcast(_hot_parents(parent, pk, list(values), hot, unique_parent))
     answered = (child.join(near, F.col(fk) == F.col("_near_pk"), "inner")
                 .select(*columns, *[F.col(f"_near_{v}").alias(name) for v, name in values.items()]))
-    parents = one_row_per_key(parent, F.col(pk), list(values), unique_parent)
-    others = (child.join(hot, F.col(fk) == F.col("hot_key"), "left_anti")
-              .join(parents, F.col(fk) == F.col("_pk"), "inner")
-              .select(*columns, *[F.col(f"_v_{v}").alias(name) for v, name in values.items()]))
     return others.unionByName(answered)
 
 
 def expand(parent: DataFrame, child: DataFrame, pk: str, fk: str, *, how: str,
-           spread_by: Sequence[str], policy: SkewPolicy | None = None,
-           hot: DataFrame | None = None) -> DataFrame:
+           spread_by: Sequence[str], policy: SkewPolicy | None = None, hot: HotKeys = COUNT_THEM) -> DataFrame:
     """Parent joined to its children (``inner``, ``left`` or ``full``), keeping every pair.
 
     Result: all parent columns, ``parent_found``, all child columns, ``child_found``. Column
@@ -158,19 +193,24 @@ def expand(parent: DataFrame, child: DataFrame, pk: str, fk: str, *, how: str,
     are removed; a hot parent always has children, so the pair rows stand for it. A given ``hot``
     must keep that promise for ``left`` and ``full``.
     """
-    hot = hot_keys(child, fk, policy or SkewPolicy()) if hot is None else hot
-    many = (child.join(F.broadcast(hot), F.col(fk) == F.col("hot_key"), "left")
-            .withColumn("_salt", F.when(F.col(fk).isNull(), scatter(spread_by))
-                        .otherwise(F.coalesce(F.pmod(scatter(spread_by), F.col("n_salts").cast("long")),
-                                              F.lit(0).cast("long"))))
-            .select(*child.columns, F.lit(True).alias("child_found"), "_salt"))
-    one = (parent.join(F.broadcast(hot), F.col(pk) == F.col("hot_key"), "left")
-           .select(*parent.columns, F.lit(True).alias("parent_found"),
-                   F.col("hot_key").isNotNull().alias("_copied"),
-                   F.explode(F.sequence(F.lit(0).cast("long"),
-                                        F.coalesce(F.col("n_salts") - 1, F.lit(0)).cast("long"))).alias("_part")))
+    hot = _hot(child, fk, policy, hot)
+    zero = F.lit(0).cast("long")
+    found_parent, found_child = F.lit(True).alias("parent_found"), F.lit(True).alias("child_found")
+    if hot is None:
+        spread = F.when(F.col(fk).isNull(), scatter(spread_by)).otherwise(zero)
+        many = child.select("*", found_child, spread.alias("_salt"))
+        one = parent.select("*", found_parent, F.lit(False).alias("_copied"), _always_zero(F.col(pk)).alias("_part"))
+    else:
+        salt = F.coalesce(F.pmod(scatter(spread_by), F.col("n_salts").cast("long")), zero)
+        copies = F.sequence(zero, F.coalesce(F.col("n_salts") - 1, F.lit(0)).cast("long"))
+        many = (child.join(F.broadcast(hot), F.col(fk) == F.col("hot_key"), "left")
+                .select(*child.columns, found_child,
+                        F.when(F.col(fk).isNull(), scatter(spread_by)).otherwise(salt).alias("_salt")))
+        one = (parent.join(F.broadcast(hot), F.col(pk) == F.col("hot_key"), "left")
+               .select(*parent.columns, found_parent, F.col("hot_key").isNotNull().alias("_copied"),
+                       F.explode(copies).alias("_part")))
     joined = one.join(many, (F.col(pk) == F.col(fk)) & (F.col("_part") == F.col("_salt")), how)
-    if how in ("left", "full"):
+    if hot is not None and how in ("left", "full"):
         joined = joined.where(~(F.coalesce(F.col("_copied"), F.lit(False)) & F.col("child_found").isNull()))
     return joined.select(
         *parent.columns, F.coalesce("parent_found", F.lit(False)).alias("parent_found"),

@@ -12,23 +12,27 @@ from pyspark.sql import functions as F
 from ledgersift.functions.expressions import money, rows
 from ledgersift.model import COMPLETED, PAID, Ledger
 from ledgersift.operators import amounts, duplicates, nulls, references
-from ledgersift.operators.skew import key_set, match, resolve
+from ledgersift.operators.facts import look_up
+from ledgersift.operators.skew import HotKeys, key_set, match
 
 
-def with_customer_name(ledger: Ledger, df: DataFrame, hot: DataFrame | None = None) -> DataFrame:
+def with_customer_name(ledger: Ledger, df: DataFrame, hot: HotKeys | None = None) -> DataFrame:
     """Add customer_name to rows with customer_id and order_id."""
-    return resolve(df, ledger.customers, "customer_id", "customer_id", found="_customer_found",
-                   values={"name": "customer_name"}, spread_by=["order_id"],
-                   hot=ledger.hot("orders", "customer_id") if hot is None else hot).drop("_customer_found")
+    return look_up(ledger, df, "customers", found="_customer_found", values={"name": "customer_name"},
+                   hot=hot).drop("_customer_found")
 
 
-def _hot_payers(ledger: Ledger) -> DataFrame:
+def _hot_payers(ledger: Ledger) -> HotKeys:
     """Customers that may be hot among payment rows: those with many orders, or with an order
     that has many payments."""
-    hot_orders = ledger.hot("payments", "order_id").select("hot_key")
-    payers = (ledger.orders.join(F.broadcast(hot_orders), F.col("order_id") == F.col("hot_key"), "left_semi")
+    buyers, paid_orders = ledger.hot("orders", "customer_id"), ledger.hot("payments", "order_id")
+    if isinstance(paid_orders, str):
+        return buyers
+    payers = (ledger.orders.join(F.broadcast(paid_orders.select("hot_key")), F.col("order_id") == F.col("hot_key"),
+                                 "left_semi")
               .where(F.col("customer_id").isNotNull()).select(F.col("customer_id").alias("hot_key")))
-    return ledger.hot("orders", "customer_id").select("hot_key").union(payers).distinct()
+    either = payers if isinstance(buyers, str) else buyers.select("hot_key").union(payers)
+    return either.distinct().orderBy("hot_key").limit(2 * ledger.skew.max_hot_keys)
 
 
 def duplicate_emails(ledger: Ledger, **options) -> DataFrame:
@@ -44,7 +48,8 @@ def orders_without_customer(ledger: Ledger) -> DataFrame:
     child = ledger.orders.select("order_id", "customer_id", "order_date", "status", "total_amount")
     return references.orphans(child, ledger.customers, "customer_id", "customer_id",
                               reason=ledger.labels.customer_missing, referenced_as="referenced_customer_id",
-                              spread_by=["order_id"], hot=ledger.hot("orders", "customer_id"))
+                              spread_by=["order_id"], hot=ledger.hot("orders", "customer_id"),
+                              small_parent=ledger.small("customers"))
 
 
 def orders_without_customer_rate(ledger: Ledger) -> DataFrame:
@@ -134,7 +139,7 @@ def inactive_product_orders(ledger: Ledger) -> DataFrame:
     inactive = ledger.products.where(F.col("active") == F.lit(False))
     sold = match(ledger.orders, inactive, "product_id", "product_id",
                  values={"product_name": "product_name", "price": "product_price", "active": "active"},
-                 hot=ledger.hot("orders", "product_id"))
+                 hot=ledger.hot("orders", "product_id"), small_parent=ledger.small("products"))
     return with_customer_name(ledger, sold).select(
         "order_id", "customer_id", "customer_name", "order_date", "status", "total_amount",
         "product_id", "product_name", "product_price", "active",

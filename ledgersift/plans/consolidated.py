@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from ledgersift.functions.expressions import flag, tally
 from ledgersift.model import COMPLETED, PAID, Ledger
-from ledgersift.operators.facts import order_facts
-from ledgersift.operators.skew import expand, resolve
+from ledgersift.operators.facts import look_up, order_facts
+from ledgersift.operators.skew import expand
 
 # The five problem flags, in the order of the wide view.
 FLAGS = ("no_customer", "no_payment", "amount_mismatch", "null_total", "inactive_product")
@@ -50,12 +50,9 @@ def consolidated_view(ledger: Ledger) -> DataFrame:
 
     Names are looked up per order, before payments multiply the rows.
     """
-    named = resolve(ledger.orders, ledger.customers, "customer_id", "customer_id",
-                    found="customer_found", values={"name": "customer_name"},
-                    spread_by=["order_id"], hot=ledger.hot("orders", "customer_id"))
-    described = resolve(named, ledger.products, "product_id", "product_id", found="product_found",
-                        values={"product_name": "product_name", "active": "product_active"},
-                        spread_by=["order_id"], hot=ledger.hot("orders", "product_id"))
+    named = look_up(ledger, ledger.orders, "customers", found="customer_found", values={"name": "customer_name"})
+    described = look_up(ledger, named, "products", found="product_found",
+                        values={"product_name": "product_name", "active": "product_active"})
     return paid_orders(ledger, described).select(
         "order_id", "customer_id", "customer_name", "order_date", "status", "total_amount",
         _paid_amount().alias("paid_amount"), "product_name", "product_active",

@@ -9,43 +9,35 @@ from pyspark.sql import functions as F
 
 from ledgersift.functions.expressions import MONEY_SUM, money, ratio, rows
 from ledgersift.model import Ledger
-from ledgersift.operators.facts import customer_ledger, identity_facts
+from ledgersift.operators.facts import identity_facts, order_book, order_measures, settlement_totals
 from ledgersift.plans.checks import inactive_product_summary
 
 COUNTS = ("customers", "duplicate_customers", "bad_customers", "name_null", "email_null",
           "products", "orders", "orders_without_customer", "bad_orders", "total_null", "date_null",
-          "payments", "payment_amount_null", "unpaid", "unpaid_priced", "orphan_payments", "over", "under",
-          "inactive_orders")
+          "payments", "payment_amount_null", "unpaid", "orphan_payments", "over", "under", "inactive_orders")
 AMOUNTS = ("gross_amount", "unpaid_amount", "orphan_amount", "over_amount", "under_amount", "inactive_amount")
 
 
 def audit_totals(ledger: Ledger) -> DataFrame:
     """One row with every count and amount the checks report.
 
-    Customers are scanned twice (by email and as keys), orders three times (their own measures,
-    the reconciliation join, per product), payments and products once or twice; amounts stay
-    NULL where nothing qualified.
+    Six one-row aggregates, summed into one row: customers by email; orders and payments joined
+    twice, to payment totals for the order book and row by row for the amounts (the second join
+    needs no grouping); orders alone; the catalogue; orders per product. Amounts stay NULL where
+    nothing qualified.
     """
     identity = identity_facts(ledger).agg(
         F.sum("n").alias("customers"),
         F.sum(F.when(F.col("shared"), F.col("n"))).alias("duplicate_customers"),
         F.sum("bad").alias("bad_customers"), F.sum("name_null").alias("name_null"),
         F.sum(F.when(F.col("email").isNull(), F.col("n"))).alias("email_null"))
-    unknown = ~F.col("customer_found")
-    bad_orders = F.when(unknown, F.col("orders")).otherwise(
-        F.coalesce("total_null", F.lit(0)) + F.coalesce("unpaid_priced", F.lit(0)))
-    summed = [c for c in (*COUNTS, *AMOUNTS) if c in (
-        "orders", "total_null", "date_null", "payments", "payment_amount_null", "unpaid", "unpaid_priced",
-        "orphan_payments", "over", "under", "gross_amount", "unpaid_amount", "orphan_amount", "over_amount",
-        "under_amount")]
-    book = customer_ledger(ledger).agg(
-        *[F.sum(c).alias(c) for c in summed],
-        F.sum(F.when(unknown, F.col("orders"))).alias("orders_without_customer"),
-        F.sum(bad_orders).alias("bad_orders"))
+    book = order_book(ledger).drop("orphan_payments")
+    alone = ledger.orders.agg(*[F.sum(measure).alias(name) for name, measure in order_measures().items()])
     catalogue = ledger.products.agg(rows().alias("products"))
     inactive = inactive_product_summary(ledger).select(
         F.col("n").alias("inactive_orders"), F.col("amount").alias("inactive_amount"))
-    parts = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [identity, book, catalogue, inactive])
+    parts = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True),
+                   [identity, book, settlement_totals(ledger), alone, catalogue, inactive])
     return parts.agg(*[F.coalesce(F.max(c), F.lit(0)).cast("long").alias(c) for c in COUNTS],
                      *[money(F.max(c)).alias(c) for c in AMOUNTS])
 

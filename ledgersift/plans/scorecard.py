@@ -7,10 +7,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgersift.functions.expressions import MONEY_SUM, money, percent, ratio, rows, score, tally
+from ledgersift.functions.expressions import MONEY_SUM, money, percent, ratio, rows, score
 from ledgersift.model import COMPLETED, Ledger
-from ledgersift.operators.facts import identity_facts, paid_order_rows, settlement_totals
-from ledgersift.operators.skew import key_set
+from ledgersift.operators.facts import identity_facts, order_book, settlement_totals
 
 
 def _zero(column: Column) -> Column:
@@ -20,34 +19,17 @@ def _zero(column: Column) -> Column:
 def table_counts(ledger: Ledger) -> DataFrame:
     """table_name, total, bad for customers, orders and payments; a row counts once however many
     rules it breaks.
-
-    An order is bad when its total is missing, its customer is unknown, or it is completed and
-    unpaid. Only the customer needs a second join, and that one meets orders already combined
-    per customer id: every order of an unknown customer is bad, else those bad by themselves.
     """
     identity = identity_facts(ledger).agg(_zero(F.sum("n")).alias("total"), _zero(F.sum("bad")).alias("bad"))
-    own_fault = F.col("order_found") & (
-        F.col("total_amount").isNull() | ((F.col("status") == COMPLETED) & F.col("any_n").isNull()))
-    per_customer = (paid_order_rows(ledger)
-                    .select("customer_id", tally(F.col("order_found")).alias("orders"),
-                            tally(own_fault).alias("own_fault"),
-                            F.when(~F.col("order_found"), F.col("any_n")).alias("orphan_payments"))
-                    .groupBy("customer_id")
-                    .agg(*[F.sum(c).alias(c) for c in ("orders", "own_fault", "orphan_payments")]))
-    known = key_set(ledger.customers, "customer_id", "_known")
-    bad_orders = F.when(F.col("_known").isNull(), F.col("orders")).otherwise(F.col("own_fault"))
-    both = (per_customer.join(known, F.col("customer_id") == F.col("_known"), "left")
-            .agg(_zero(F.sum("orders")).alias("orders"), _zero(F.sum(bad_orders)).alias("bad_orders"),
-                 _zero(F.sum("orphan_payments")).alias("bad_payments")))
     # Payments are counted on their own, so a repeated order id cannot count one twice.
     counted = ledger.payments.agg(rows().alias("payments"))
-    both = (both.unionByName(counted, allowMissingColumns=True)
-            .agg(*[F.max(c).alias(c) for c in ("orders", "bad_orders", "payments", "bad_payments")]))
+    both = (order_book(ledger).unionByName(counted, allowMissingColumns=True)
+            .agg(*[F.max(c).alias(c) for c in ("orders", "bad_orders", "payments", "orphan_payments")]))
     pairs = F.array(
         F.struct(F.lit("orders").alias("table_name"), F.col("orders").alias("total"),
                  F.col("bad_orders").alias("bad")),
         F.struct(F.lit("payments").alias("table_name"), F.col("payments").alias("total"),
-                 F.col("bad_payments").alias("bad")))
+                 F.col("orphan_payments").alias("bad")))
     return (identity.select(F.lit("customers").alias("table_name"), "total", "bad")
             .unionByName(both.select(F.inline(pairs))))
 

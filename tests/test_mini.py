@@ -5,7 +5,7 @@ from decimal import Decimal as D
 import pytest
 from fixture import day, mini_ledger, tuples
 
-from ledgersift.operators.skew import SkewPolicy
+from ledgersift.operators.skew import NO_HOT_KEYS, SkewPolicy
 from ledgersift.plans import checks, consolidated, feeds, report, scorecard
 from ledgersift.plans.catalogue import CHECKS
 
@@ -13,11 +13,23 @@ POLICIES = {"plain": SkewPolicy(), "every_key_hot": SkewPolicy(rows_per_task=0.5
             "few_hot": SkewPolicy(rows_per_task=1, max_hot_keys=2)}
 
 
-@pytest.fixture(scope="module", params=list(POLICIES))
+@pytest.fixture(scope="module", params=[*POLICIES, "measured"])
 def ledger(spark, request):
+    if request.param == "measured":
+        return mini_ledger(spark).measured()
     return mini_ledger(spark, skew=POLICIES[request.param])
 
 
+def test_measured_ledger_needs_no_hot_keys(spark):
+    small = mini_ledger(spark).measured()
+    assert small.sizes == {"customers": 6, "products": 3, "orders": 9, "payments": 9}
+    assert small.small("customers") and small.hot("payments", "order_id") == NO_HOT_KEYS
+    large = mini_ledger(spark, skew=SkewPolicy(rows_per_task=5, broadcast_rows=2)).measured()
+    assert not large.small("customers")
+    assert tuples(large.hot("orders", "customer_id")) == []
+    assert mini_ledger(spark).hot("orders", "customer_id") != NO_HOT_KEYS
+
+
 def test_duplicate_groups(ledger):
     assert tuples(checks.duplicate_emails(ledger)) == [("a@x", 2, 1, "1, 3", "Ana", day(1), day(3), 0)]
     assert tuples(checks.duplicate_email_rate(ledger)) == [(6, 2, 33.33)]

@@ -63,7 +63,7 @@ def test_risk_needs_no_customers(spark, sf_small):
 
 
 def test_report_scans_each_table_a_fixed_number_of_times(spark, sf_small):
-    """Bound payments are two scans of orders; hot-key counts add narrow ones."""
+    """Customers once by email and once as keys, however many figures are reported."""
     plan = plan_of(contract.queries()["d06_sectioned_report"](spark, sf_small))
     customers = [s for s in scans(plan) if "c_custkey" in s]
     assert len(customers) == 2
