@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from ledgersift.functions.expressions import keep, rows, tally
 from ledgersift.model import COMPLETED, FOREIGN_KEYS, PAID, Ledger
+from ledgersift.operators.references import lost_keys
 from ledgersift.operators.skew import HotKeys, expand, key_set, resolve
 
 PARENT_KEYS = {"customers": "customer_id", "products": "product_id"}
@@ -42,21 +43,23 @@ def settlements(ledger: Ledger) -> DataFrame:
 
 
 def share_facts(ledger: Ledger, folder: str) -> Ledger:
-    """The ledger with its hot keys and settlements written to a shared folder, for many checks.
+    """The ledger with facts that many checks need written to a shared folder.
 
     Hot keys are three tables of at most ``max_hot_keys`` rows, so later checks count nothing
-    again and know their size. Settlements are partitioned by what was found, so orders without
-    payment and payments without order are read alone. Being tables, both survive the loss of
-    executors.
+    again; unknown customer ids are a key list; settlements are partitioned by what was found, so
+    orders without payment and payments without order are read alone. Being tables, they have a
+    known size and survive the loss of executors.
     """
-    counted = {}
-    for role, key in FOREIGN_KEYS:
-        hot = ledger.hot(role, key)
-        if isinstance(hot, str):
-            continue
-        hot.coalesce(1).write.mode("overwrite").parquet(f"{folder}/hot_{role}_{key}")
-        counted[role, key] = hot.sparkSession.read.schema(hot.schema).parquet(f"{folder}/hot_{role}_{key}")
-    ledger = replace(ledger, counted=counted)
+    def stored(df: DataFrame, name: str) -> DataFrame:
+        df.write.mode("overwrite").parquet(f"{folder}/{name}")
+        return df.sparkSession.read.schema(df.schema).parquet(f"{folder}/{name}")
+
+    hot = {(role, key): ledger.hot(role, key) for role, key in FOREIGN_KEYS}
+    ledger = replace(ledger, counted={
+        at: keys if isinstance(keys, str) else stored(keys.coalesce(1), "hot_{}_{}".format(*at))
+        for at, keys in hot.items()})
+    lost = lost_keys(ledger.orders, ledger.customers, "customer_id", "customer_id")
+    ledger = replace(ledger, lost_customers=stored(lost, "lost_customers"))
     side = (F.when(~F.col("payment_found"), F.lit("order_only"))
             .when(~F.col("order_found"), F.lit("payment_only")).otherwise(F.lit("pair")))
     path = f"{folder}/settlements"

@@ -19,6 +19,28 @@ def orphans(child: DataFrame, parent: DataFrame, fk: str, pk: str, *, reason: st
     return checked.where(~F.col("_found")).select(*named, F.lit(reason).alias("problem"))
 
 
+def lost_keys(child: DataFrame, parent: DataFrame, fk: str, pk: str) -> DataFrame:
+    """Distinct foreign keys without parent, as ``lost_key``; NULL is not listed.
+
+    Keys are combined before they meet the parent, so whole child rows are not shuffled for it.
+    """
+    return key_set(child, fk, "lost_key").join(key_set(parent, pk, "_pk"), F.col("lost_key") == F.col("_pk"),
+                                               "left_anti")
+
+
+def orphans_of(child: DataFrame, lost: DataFrame, fk: str, *, reason: str, referenced_as: str | None = None,
+               spread_by: list[str] | None = None, hot: HotKeys = COUNT_THEM) -> DataFrame:
+    """``orphans`` given the stored result of ``lost_keys``.
+
+    Of a written table Spark knows the size: a short list is broadcast and the child rows stay
+    where they are, a long one is joined like any parent.
+    """
+    checked = resolve(child, lost, fk, "lost_key", found="_lost", spread_by=spread_by or [], hot=hot,
+                      unique_parent=True)
+    named = [F.col(c).alias(referenced_as) if c == fk and referenced_as else F.col(c) for c in child.columns]
+    return checked.where(F.col("_lost") | F.col(fk).isNull()).select(*named, F.lit(reason).alias("problem"))
+
+
 def _orphan_keys(child: DataFrame, parent: DataFrame, fk: str, pk: str, measures: list[Column]) -> DataFrame:
     """Child measures per foreign key, with ``found``. One row per key, so no key is hot here."""
     per_key = child.groupBy(F.col(fk).alias("_fk")).agg(*measures)

@@ -24,12 +24,22 @@ class Check:
     summary: bool = False
 
     def ordered(self, ledger: Ledger) -> DataFrame:
-        return ordered(self.build(ledger), self.order())
+        return self.sorted(ledger, "all")
 
+    def sorted(self, ledger: Ledger, sort: str) -> DataFrame:
+        return ordered(self.build(ledger), self.order(), sort)
 
-def ordered(df: DataFrame, order: list[Column]) -> DataFrame:
-    """Sort for a report. Equal rows are told apart by where they come from, so the range shuffle
-    of the sort stays balanced when many rows share all sort values."""
+
+def ordered(df: DataFrame, order: list[Column], sort: str = "all") -> DataFrame:
+    """Sort for a report: ``all`` rows, rows within their ``parts``, or ``none``.
+
+    Sorting all rows is a range shuffle. Equal rows are told apart by where they come from, so it
+    stays balanced when many rows share all sort values.
+    """
+    if sort == "none":
+        return df
+    if sort == "parts":
+        return df.sortWithinPartitions(*order)
     return df.withColumn("_origin", F.spark_partition_id()).orderBy(*order, "_origin").drop("_origin")
 
 
@@ -75,9 +85,12 @@ class Export:
 
     def ordered(self, ledger: Ledger) -> DataFrame:
         """The check under the published wording and headers, in report order."""
+        return self.sorted(ledger, "all")
+
+    def sorted(self, ledger: Ledger, sort: str) -> DataFrame:
         check = CHECKS[self.check]
         worded = ledger.worded(SPANISH_EXPORT)
-        return (ordered((self.build or check.build)(worded), check.order())
+        return (ordered((self.build or check.build)(worded), check.order(), sort)
                 .select(*[F.col(c).alias(h) for c, h in zip(self.columns, self.headers, strict=True)]))
 
     @property

@@ -46,6 +46,10 @@ def duplicate_email_rate(ledger: Ledger) -> DataFrame:
 
 def orders_without_customer(ledger: Ledger) -> DataFrame:
     child = ledger.orders.select("order_id", "customer_id", "order_date", "status", "total_amount")
+    if ledger.lost_customers is not None:
+        return references.orphans_of(child, ledger.lost_customers, "customer_id",
+                                     reason=ledger.labels.customer_missing, referenced_as="referenced_customer_id",
+                                     spread_by=["order_id"], hot=ledger.hot("orders", "customer_id"))
     return references.orphans(child, ledger.customers, "customer_id", "customer_id",
                               reason=ledger.labels.customer_missing, referenced_as="referenced_customer_id",
                               spread_by=["order_id"], hot=ledger.hot("orders", "customer_id"),

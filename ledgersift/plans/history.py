@@ -41,4 +41,5 @@ def as_of(ledger: Ledger, moment: str) -> Ledger:
     cut = F.lit(moment).cast("timestamp_ntz")
     return replace(ledger, customers=ledger.customers.where(F.col("created_at") < cut),
                    orders=ledger.orders.where(F.col("order_date") < cut),
-                   payments=ledger.payments.where(F.col("payment_date") < cut), settled=None, counted={})
+                   payments=ledger.payments.where(F.col("payment_date") < cut), settled=None, lost_customers=None,
+                   counted={})

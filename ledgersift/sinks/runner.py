@@ -21,11 +21,14 @@ RESULT_SCHEMA = "name string, rows long, path string, status string"
 
 
 def run_all(spark: SparkSession, ledger: Ledger, folder: str, *, day: date | None = None, kind: str = "csv",
-            exports: Mapping[str, Export | Check] = EXPORTS, share: bool = False) -> DataFrame:
+            exports: Mapping[str, Export | Check] = EXPORTS, share: bool = False,
+            sort_details: str = "all") -> DataFrame:
     """Write every export; result: name, rows, path, status ("OK" or "ERROR: ...") per export.
 
     ``share`` counts hot keys and joins orders with payments once, into the shared folder, and
-    lets the exports read those tables.
+    lets the exports read those tables. ``sort_details`` puts detail files in report order
+    (``all``), each part file by itself (``parts``, which needs no shuffle), or leaves them
+    (``none``); summaries of a few rows are always in order.
     """
     day = day or date.today()
     if share:
@@ -34,7 +37,8 @@ def run_all(spark: SparkSession, ledger: Ledger, folder: str, *, day: date | Non
     for name, export in exports.items():
         path = dated_path(folder, name, day, kind)
         try:
-            rows = write_result(export.ordered(ledger), path, kind, single_file=export.summary)
+            result = export.sorted(ledger, "all" if export.summary else sort_details)
+            rows = write_result(result, path, kind, single_file=export.summary)
             results.append((name, rows, path, "OK"))
         except Exception as error:  # noqa: BLE001 - one broken export must not stop the rest
             logger.error("%s failed: %s", name, error)

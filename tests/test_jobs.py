@@ -66,11 +66,20 @@ def test_a_failing_export_does_not_stop_the_rest(spark, ledger, tmp_path):
 
 def test_shared_settlements_give_the_same_checks(spark, ledger, tmp_path):
     shared = share_facts(ledger, str(tmp_path))
-    for check in (checks.completed_without_payment, checks.orphan_payments, checks.amount_mismatches,
+    for check in (checks.orders_without_customer, checks.completed_without_payment, checks.orphan_payments, checks.amount_mismatches,
                   scorecard.revenue_at_risk, scorecard.quality_score, checks.amount_mismatch_summary):
         assert sorted(map(repr, tuples(check(shared)))) == sorted(map(repr, tuples(check(ledger))))
 
 
+def test_parts_are_sorted_one_by_one(spark, ledger, tmp_path):
+    only = {"02_ordenes_sin_cliente": EXPORTS["02_ordenes_sin_cliente"]}
+    for sort in ("parts", "none"):
+        done = run_all(spark, ledger, str(tmp_path / sort), day=DAY, exports=only, sort_details=sort)
+        assert tuples(done, "rows", "status") == [(2, "OK")]
+    assert "rangepartitioning" not in str(
+        EXPORTS["02_ordenes_sin_cliente"].sorted(ledger, "parts")._jdf.queryExecution().executedPlan().toString())
+
+
 def test_unknown_kind_is_refused(spark, ledger, tmp_path):
     with pytest.raises(ValueError, match="unknown result kind"):
         write_result(ledger.orders, str(tmp_path / "x"), "xlsx")
