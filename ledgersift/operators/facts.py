@@ -48,7 +48,7 @@ def share_facts(ledger: Ledger, folder: str) -> Ledger:
     Hot keys are three tables of at most ``max_hot_keys`` rows, so later checks count nothing
     again; unknown customer ids are a key list; settlements are partitioned by what was found, so
     orders without payment and payments without order are read alone. Being tables, they have a
-    known size and survive the loss of executors.
+    known size and survive the loss of executors; the folder is the caller's to remove.
     """
     def stored(df: DataFrame, name: str) -> DataFrame:
         df.write.mode("overwrite").parquet(f"{folder}/{name}")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -70,9 +72,9 @@ def order_vs_paid(ledger: Ledger) -> DataFrame:
                                       _diff().alias("diff"))
 
 
-def problem_rows(ledger: Ledger) -> DataFrame:
+def problem_rows(ledger: Ledger, only: Sequence[str] = FLAGS) -> DataFrame:
     """(order_id, problem): one row per raised flag of the wide view, for a problem slicer."""
-    raised = F.array(*[F.when(F.col(name) == 1, F.lit(name)) for name in FLAGS])
+    raised = F.array(*[F.when(F.col(name) == 1, F.lit(name)) for name in only])
     return consolidated_view(ledger).select("order_id", F.explode(F.array_compact(raised)).alias("problem"))
 
 

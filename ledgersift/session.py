@@ -1,13 +1,14 @@
-"""Session settings for local runs and the place for data shared between jobs."""
+"""Session settings for local runs, and the folder for data shared between jobs."""
 
 from __future__ import annotations
 
 import os
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
+LOCAL_DIR = "spark.ledgersift.local.dir"
 
 
 def local_session(cpus: int | str = "*", name: str = "ledgersift", **confs: str) -> SparkSession:
@@ -31,18 +32,11 @@ def shared_dir(spark: SparkSession) -> str:
 
     Where the setting is absent, a temporary folder serves a local session only.
     """
-    named = spark.conf.get(CHECKPOINT_DIR, None)
+    named = spark.conf.get(CHECKPOINT_DIR, None) or spark.conf.get(LOCAL_DIR, None)
     if named:
         return named
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError(f"set {CHECKPOINT_DIR} to a folder shared by all executors")
     folder = tempfile.mkdtemp(prefix="ledgersift-")
-    spark.conf.set(CHECKPOINT_DIR, folder)
+    spark.conf.set(LOCAL_DIR, folder)
     return folder
-
-
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Checkpoint a frame into the shared folder, so that lost executors do not lose it."""
-    spark = df.sparkSession
-    spark.sparkContext.setCheckpointDir(shared_dir(spark))
-    return df.checkpoint(eager=True)

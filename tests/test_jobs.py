@@ -2,11 +2,13 @@
 
 from datetime import date, datetime
 from decimal import Decimal as D
+from types import SimpleNamespace
 
 import pytest
 from fixture import CUSTOMERS, ORDERS, PAYMENTS, PRODUCTS, ledger_of, mini_ledger, tuples
 from pyspark.sql import functions as F
 
+from ledgersift.__main__ import arguments, main
 from ledgersift.model import ROLE_SCHEMAS, empty_ledger
 from ledgersift.operators.controls import check_domain, check_fk, split_valid
 from ledgersift.operators.facts import share_facts
@@ -14,7 +16,7 @@ from ledgersift.operators.nulls import check_not_null
 from ledgersift.operators.skew import SkewPolicy
 from ledgersift.plans import checks, history, impact, scorecard
 from ledgersift.plans.catalogue import CHECKS, EXPORTS, Check
-from ledgersift.session import cut_lineage, shared_dir
+from ledgersift.session import shared_dir
 from ledgersift.sinks.runner import failed, run_all
 from ledgersift.sinks.writers import dated_path, write_result, write_split
 from ledgersift.sources.readers import JdbcSource, read_csv, read_parquet, read_tables
@@ -190,10 +192,41 @@ def test_projection_by_period(spark, ledger):
     assert sorted(tuples(impact.risk_shares(risk), "share_pct")) == [(1.4,), (14.1,), (28.2,), (56.3,)]
 
 
-def test_shared_folder_and_checkpoint(spark):
-    folder = shared_dir(spark)
-    assert shared_dir(spark) == folder
-    assert cut_lineage(spark.range(5).toDF("order_id")).count() == 5
+class FakeSession:
+    """Settings and master of a session, without one."""
+
+    def __init__(self, master, **settings):
+        self.settings = settings
+        self.conf = self
+        self.sparkContext = SimpleNamespace(master=master)
+
+    def get(self, key, default):
+        return self.settings.get(key, default)
+
+    def set(self, key, value):
+        self.settings[key] = value
+
+
+def test_shared_folder_is_the_named_one():
+    named = FakeSession("yarn", **{"spark.checkpoint.dir": "hdfs://shared"})
+    assert shared_dir(named) == "hdfs://shared"
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        shared_dir(FakeSession("yarn"))
+    local = FakeSession("local[2]")
+    assert shared_dir(local) == shared_dir(local)
+
+
+def test_command_line(spark, ledger, tmp_path, capfd):
+    for role in ROLE_SCHEMAS:
+        getattr(ledger, role).write.parquet(str(tmp_path / "in" / role))
+    source = ["--parquet", str(tmp_path / "in")]
+    assert main(["report", *source], spark) == 0
+    assert main(["export", *source, "--out", str(tmp_path / "out"), "--kind", "parquet"], spark) == 0
+    assert len(list((tmp_path / "out").iterdir())) == len(EXPORTS)
+    shown = capfd.readouterr().out
+    assert "61.11%" in shown and "10_auditoria_consolidada" in shown
+    with pytest.raises(SystemExit):
+        arguments(["export", "--out", "x"])
 
 
 def test_empty_ledger_exports(spark, tmp_path):

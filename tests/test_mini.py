@@ -141,5 +141,6 @@ def test_problem_slicer_and_over_under(ledger):
                         (2, "inactive_product"), (3, "no_customer"), (4, "no_customer"), (5, "no_payment"),
                         (5, "null_total"), (6, "inactive_product"), (6, "no_payment"), (7, "amount_mismatch"),
                         (9, "amount_mismatch")]
+    assert sorted(tuples(consolidated.problem_rows(ledger, ["null_total"]))) == [(5, "null_total")]
     assert sorted(tuples(feeds.over_under_by_order(ledger))) == [
         (2, D("0.00"), D("200.00")), (7, D("5.00"), D("0.00")), (9, D("5.00"), D("0.00"))]
