@@ -94,7 +94,8 @@ def _run_folder(spark: SparkSession, name: str) -> str:
 
 
 def _export_run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = run_all(spark, bound_ledger(spark, sf_dir).measured(), _run_folder(spark, "exports"), day=AUDIT_DAY, share=True)
+    ledger = bound_ledger(spark, sf_dir).measured()
+    done = run_all(spark, ledger, _run_folder(spark, "exports"), day=AUDIT_DAY, share=True)
     return done.select("name", "rows", "status")
 
 

@@ -28,7 +28,8 @@ def duplicate_groups(df: DataFrame, key: str, id: str, label: str | None = None,
     ``ts``), part. ``ids`` and ``names`` are joined in id order; NULL names are skipped. A group
     of up to ``part_size`` rows is one result row with part 0. A larger group is listed over
     several rows, each holding one block of the id range, so no task builds an unbounded
-    string; n, n_extra, first_seen and last_seen always describe the whole group.
+    string; n, n_extra, first_seen and last_seen always describe the whole group. ``id`` is the
+    table's own key.
     """
     policy = policy or SkewPolicy()
     seen = [F.min(ts).alias("first_seen"), F.max(ts).alias("last_seen")] if ts else []
@@ -53,7 +54,7 @@ def duplicate_groups(df: DataFrame, key: str, id: str, label: str | None = None,
 def _part(df: DataFrame, id: str, part_size: int) -> Column:
     """Block of a large group: by id range for whole-number ids, else by hash."""
     if isinstance(df.schema[id].dataType, T.IntegralType):
-        block = F.floor(F.col(id) / F.lit(part_size))
+        block = F.expr(f"(`{id}` - pmod(`{id}`, {part_size})) DIV {part_size}")
     else:
         block = F.pmod(F.xxhash64(id), F.ceil(F.col("_group_n") / F.lit(part_size)))
     return F.when(F.col("_group_n") > part_size, block.cast("long")).otherwise(F.lit(0).cast("long"))

@@ -65,8 +65,8 @@ def share_facts(ledger: Ledger, folder: str) -> Ledger:
     path = f"{folder}/settlements"
     sided = settlements(ledger).withColumn("side", side).drop("order_found", "payment_found")
     sided.write.mode("overwrite").partitionBy("side").parquet(path)
-    stored = sided.sparkSession.read.schema(sided.schema).parquet(path)
-    return replace(ledger, settled=stored.withColumns({
+    read_back = sided.sparkSession.read.schema(sided.schema).parquet(path)
+    return replace(ledger, settled=read_back.withColumns({
         "order_found": F.col("side") != "payment_only", "payment_found": F.col("side") != "order_only"}).drop("side"))
 
 

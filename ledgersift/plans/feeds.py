@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ledgersift.functions.expressions import money, percent
 from ledgersift.model import Ledger
 from ledgersift.plans.checks import amount_mismatches
-from ledgersift.plans.scorecard import global_score, revenue_at_risk_total
+from ledgersift.plans.scorecard import mean_score, revenue_at_risk_total
 
 TARGET_SCORE = 98.0
 ALERT_SCORE = 95.0
@@ -22,12 +22,10 @@ def percent_with_problems(scores: DataFrame) -> DataFrame:
 
 def kpi_cards(scores: DataFrame, risk: DataFrame) -> DataFrame:
     """mean_score, risk_amount, bad_rows, pct_bad in one row."""
-    quality = scores.agg(F.sum("bad").alias("bad_rows"),
+    quality = scores.agg(mean_score().alias("mean_score"), F.sum("bad").alias("bad_rows"),
                          F.coalesce(percent(F.sum("bad"), F.sum("total")), F.lit(0.0)).alias("pct_bad"))
-    means = global_score(scores).select("mean_score")
     money_row = revenue_at_risk_total(risk).select(F.col("amount").alias("risk_amount"))
-    stacked = (quality.unionByName(means, allowMissingColumns=True)
-               .unionByName(money_row, allowMissingColumns=True))
+    stacked = quality.unionByName(money_row, allowMissingColumns=True)
     return stacked.agg(*[F.max(c).alias(c) for c in ("mean_score", "risk_amount", "bad_rows", "pct_bad")])
 
 
@@ -47,12 +45,17 @@ def over_under_by_order(ledger: Ledger) -> DataFrame:
 
 
 def score_vs_target(scores: DataFrame, target: float = TARGET_SCORE) -> DataFrame:
-    """table_name, score, target, gap, met for each table and for the mean over tables."""
-    overall = global_score(scores).select(F.lit("global").alias("table_name"), F.col("mean_score").alias("score"))
+    """table_name, score, target, gap, met for each table and for the mean over tables.
+
+    The scorecard's three rows are gathered into one to add the mean, so it is computed once.
+    """
+    line = F.struct("table_name", "score")
+    overall = F.struct(F.lit("global").alias("table_name"), F.col("mean").alias("score"))
+    lines = (scores.agg(F.collect_list(line).alias("tables"), mean_score().alias("mean"))
+             .select(F.inline(F.concat("tables", F.array(overall)))))
     gap = F.col("score").cast("decimal(10,2)") - F.lit(target).cast("decimal(10,2)")
-    return (scores.select("table_name", "score").unionByName(overall)
-            .select("table_name", "score", F.lit(float(target)).alias("target"),
-                    gap.cast("double").alias("gap"), (F.col("score") >= target).alias("met")))
+    return lines.select("table_name", "score", F.lit(float(target)).alias("target"),
+                        gap.cast("double").alias("gap"), (F.col("score") >= target).alias("met"))
 
 
 def score_alerts(scores: DataFrame, threshold: float = ALERT_SCORE) -> DataFrame:

@@ -47,10 +47,14 @@ def scored(counts: DataFrame) -> DataFrame:
 def global_score(scores: DataFrame) -> DataFrame:
     """mean_score: plain mean of the rounded table scores, an empty table counting as 100.
     weighted_score: 100 - 100 * bad / total over all rows, 100 when there are none."""
-    mean = F.avg(F.coalesce(F.col("score"), F.lit(100.0)).cast("decimal(10,2)"))
     weighted = F.lit(100) - F.coalesce(ratio(F.sum("bad"), F.sum("total")), F.lit(0))
-    return scores.agg(F.round(F.coalesce(mean, F.lit(100)), 2).cast("double").alias("mean_score"),
-                      F.round(weighted, 2).cast("double").alias("weighted_score"))
+    return scores.agg(mean_score().alias("mean_score"), F.round(weighted, 2).cast("double").alias("weighted_score"))
+
+
+def mean_score() -> Column:
+    """Aggregate over a scorecard: the mean of the table scores, an empty table counting as 100."""
+    mean = F.avg(F.coalesce(F.col("score"), F.lit(100.0)).cast("decimal(10,2)"))
+    return F.round(F.coalesce(mean, F.lit(100)), 2).cast("double")
 
 
 def revenue_at_risk(ledger: Ledger) -> DataFrame:
