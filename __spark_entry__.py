@@ -72,7 +72,7 @@ def _email_names_report(ledger: Ledger) -> DataFrame:
 
 def order_rules() -> dict[str, object]:
     """Defects that keep an order out of the clean set, over ``order_facts`` columns."""
-    return {"completed_without_payment": (F.col("status") == "Completed") & (F.col("any_n") == 0),
+    return {"completed_without_payment": F.col("unpaid"),
             "inactive_product": F.col("product_active") == F.lit(False),
             "unknown_customer": ~F.col("customer_found"),
             "null_total": F.col("total_amount").isNull()}

@@ -141,19 +141,21 @@ def paid_order_rows(ledger: Ledger) -> DataFrame:
 
 
 def order_facts(ledger: Ledger) -> DataFrame:
-    """One row per order: order columns, payment totals, customer_found, product_active and
-    ``mismatched`` (some confirmed payment differs from the total).
+    """One row per order: order columns, payment totals, ``unpaid`` (completed, no payment in any
+    state), ``mismatched`` (some confirmed payment differs from the total), customer_found and
+    product_active.
 
     A payment differs exactly when the smallest or the largest does, so no payment rows are kept.
+    Both flags are worked out before the lookups, which then carry fewer columns.
     """
     totals = payments_per_order(ledger.payments)
-    paid = ledger.orders.join(totals, F.col("order_id") == F.col("_paid_order"), "left").drop("_paid_order")
-    with_customer = look_up(ledger, paid, "customers", found="customer_found")
-    with_product = look_up(ledger, with_customer, "products", found="product_found",
-                           values={"active": "product_active"})
     mismatched = (F.col("paid_min") != F.col("total_amount")) | (F.col("paid_max") != F.col("total_amount"))
-    return (with_product.withColumn("any_n", F.coalesce("any_n", F.lit(0).cast("long")))
-            .withColumn("mismatched", F.coalesce(mismatched, F.lit(False))))
+    paid = (ledger.orders.join(totals, F.col("order_id") == F.col("_paid_order"), "left").drop("_paid_order")
+            .withColumn("any_n", F.coalesce("any_n", F.lit(0).cast("long")))
+            .withColumns({"unpaid": (F.col("status") == COMPLETED) & (F.col("any_n") == 0),
+                          "mismatched": F.coalesce(mismatched, F.lit(False))}))
+    with_customer = look_up(ledger, paid, "customers", found="customer_found")
+    return look_up(ledger, with_customer, "products", found="product_found", values={"active": "product_active"})
 
 
 def order_book(ledger: Ledger) -> DataFrame:

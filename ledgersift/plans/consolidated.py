@@ -83,7 +83,7 @@ def order_flags(ledger: Ledger) -> DataFrame:
     return order_facts(ledger).select(
         "order_id", "order_date",
         flag(~F.col("customer_found")).alias("no_customer"),
-        flag((F.col("status") == COMPLETED) & (F.col("any_n") == 0)).alias("no_payment"),
+        flag(F.col("unpaid")).alias("no_payment"),
         flag(F.col("mismatched")).alias("amount_mismatch"),
         flag(F.col("total_amount").isNull()).alias("null_total"),
         flag(F.col("product_active") == F.lit(False)).alias("inactive_product"))
