@@ -31,6 +31,20 @@ from ledgersift.streaming.daily import scorecard_job  # noqa: E402
 from ledgersift.streaming.unmatched import unpaid_orders, write_unpaid  # noqa: E402
 from oracle_queries import oracles  # noqa: E402
 
+try:
+    from ledgersift.llm.queries import QUERIES as LLM_QUERIES  # noqa: E402
+    from ledgersift.llm.queries import SQL as LLM_SQL  # noqa: E402
+except ModuleNotFoundError as missing:
+    if missing.name != "ledgersift.llm":
+        raise
+    LLM_QUERIES, LLM_SQL = {}, {}
+try:
+    import corpus_pipeline  # noqa: E402
+except ModuleNotFoundError as missing:
+    if missing.name not in ("corpus_pipeline", "ledgersift.llm"):
+        raise
+    corpus_pipeline = None
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 FIX_COST = Decimal("4000000")
@@ -150,7 +164,11 @@ def _order_line_reconciliation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    """Every implemented operator, by SURVEY id."""
+    """Every implemented operator, by SURVEY id, then those for training text."""
+    return _audit_queries() | LLM_QUERIES | ({"pipeline": corpus_pipeline.run} if corpus_pipeline else {})
+
+
+def _audit_queries() -> dict[str, Query]:
     return {
         "a01_duplicate_groups": _on(checks.duplicate_emails),
         "a01_duplicate_groups_export": _on(_email_groups_export),
@@ -224,5 +242,6 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    """SQL for every registered query."""
-    return oracles()
+    """SQL for every registered query that SQL can express."""
+    extra = {"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline and corpus_pipeline.ORACLE_SQL else {}
+    return oracles() | LLM_SQL | extra
