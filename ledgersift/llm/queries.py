@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgersift.llm import decontaminate, near_dups
+from ledgersift.llm import decontaminate, near_dups, quality
 from ledgersift.llm.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,9 +16,13 @@ def op2_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.verdicts(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dups.near_duplicates(table(spark, sf_dir, "documents"), size=2)
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_benchmark_leaks, op5_near_duplicates)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_benchmark_leaks, op3_quality, op5_near_duplicates)}
 SQL: dict[str, str] = {}

@@ -97,8 +97,11 @@ def word_spans(body: np.ndarray, offsets: np.ndarray, inside: np.ndarray) -> tup
     return starts, ends
 
 
-def words(column: pa.Array, inside: np.ndarray = NOT_SPACE) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words in order, and for each row the index of its first word (one more at the end)."""
+def words(column: pa.Array, inside: np.ndarray = NOT_SPACE, prefix: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words in order, and for each row the index of its first word (one more at the end).
+
+    With ``prefix``, the hashes are of the words' first so many bytes.
+    """
     body, offsets = text_buffer(column)
     found, first = [], []
     for a, b in _cuts(body, offsets, inside):
@@ -106,6 +109,8 @@ def words(column: pa.Array, inside: np.ndarray = NOT_SPACE) -> tuple[np.ndarray,
         borders = offsets[(offsets >= a) & (offsets <= b)] - a
         starts, ends = word_spans(part, borders, inside)
         first.append(starts + a)
+        if prefix:
+            ends = np.minimum(ends, starts + prefix)
         if len(starts):
             powers = _power_table(_BASE, len(part))[:len(part)]
             total = np.zeros(len(part) + 1, dtype=U64)
