@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgersift.llm import decontaminate, near_dups, quality
+from ledgersift.llm import decontaminate, mixing, near_dups, packing, quality
 from ledgersift.llm.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,5 +24,14 @@ def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dups.near_duplicates(table(spark, sf_dir, "documents"), size=2)
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_benchmark_leaks, op3_quality, op5_near_duplicates)}
+def op7_packed_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(table(spark, sf_dir, "documents"))
+
+
+def op9_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixture(table(spark, sf_dir, "documents")).taken()
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_benchmark_leaks, op3_quality, op5_near_duplicates, op7_packed_tokens,
+                                         op9_mixture)}
 SQL: dict[str, str] = {}
