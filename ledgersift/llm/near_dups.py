@@ -9,10 +9,11 @@
   (1 - 0.8^5)^40 = 1.2e-7.
 * Verification: on the full sets, 100 * common >= 80 * united.
 
-Equal sets are one class before anything is compared. Within a bucket, members are compared with a few leaders
-only, which finds most of the components; what is left apart after that is compared with every member of its
-buckets in another component. So no bucket is expanded into all its pairs, none is capped, and every pair of
-classes that share a key ends up in one component or has been compared.
+Equal sets are one class before anything is compared. Within a bucket, members are first compared with two leaders
+only, which finds most of the components. Classes that then stand outside the largest component of one of their
+buckets are gathered in blocks, and each block is compared with all members of its buckets, each member's set once
+for a whole block. So no bucket is expanded into pairs and none is capped, and every pair of classes that share a
+key ends up in one component or has been compared.
 """
 
 from __future__ import annotations
@@ -34,7 +35,8 @@ BANDS, ROWS = 40, 5
 COORDINATES = BANDS * ROWS
 PERCENT = 80
 WORDS = 5  # words of a shingle unless told otherwise
-MEMBERS = 512  # rows of one leader that a verifying group holds
+MEMBERS = 4_096  # sets that a verifying group compares with its leaders
+LEADERS = 256  # leaders of a verifying group at most, but for chance
 _FULL = U64(2**64 - 1)
 
 
@@ -99,6 +101,11 @@ def _digest(shingles: np.ndarray) -> bytes:
     return hashlib.blake2b(shingles.tobytes(), digest_size=16).digest()
 
 
+def _cid(digest: bytes) -> int:
+    """A class's short name. Two classes may share one by chance; their sets are then both compared."""
+    return int.from_bytes(digest[:8], "little", signed=True)
+
+
 def _lists(matrix: np.ndarray, rows: np.ndarray) -> pa.Array:
     """Lists of the matrix's rows, empty where ``rows`` is false."""
     offsets = np.concatenate(([0], np.cumsum(np.where(rows, matrix.shape[1], 0)))).astype(np.int32)
@@ -113,9 +120,9 @@ def _signatures(size: int):
                 counts = np.diff(at)
                 digests = [_digest(items[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)]
                 keys = band_keys(sketches(items, at))
-                yield batches_of(["doc_id", "n_shingles", "digest", "bands"],
+                yield batches_of(["doc_id", "n_shingles", "digest", "cid", "bands"],
                                  [part.column("doc_id"), counts.astype(np.int64), binaries(digests),
-                                  _lists(keys, counts > 0)])
+                                  pa.array(list(map(_cid, digests)), pa.int64()), _lists(keys, counts > 0)])
     return run
 
 
@@ -125,54 +132,80 @@ def _sets(size: int):
             for part in slices(batch, "text"):
                 items, at = shingle_sets(part.column("text"), size)
                 sets = [items[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
-                yield batches_of(["node", "digest", "shingles"],
-                                 [part.column("doc_id"), binaries([_digest(s) for s in sets]),
-                                  binaries([s.tobytes() for s in sets])])
+                yield batches_of(["cid", "shingles"], [pa.array([_cid(_digest(s)) for s in sets], pa.int64()),
+                                                       binaries([s.tobytes() for s in sets])])
     return run
 
 
+class _Leaders:
+    """The sets that a group's members are compared with, as one sorted list of shingles with their owners."""
+
+    def __init__(self, group: tuple) -> None:
+        self.group, self.labels, self.sets, self.items = group, [], [], None
+
+    def add(self, label: int, shingles: np.ndarray) -> None:
+        self.labels.append(label)
+        self.sets.append(shingles)
+
+    def similar(self, shingles: np.ndarray, percent: int) -> np.ndarray:
+        """Labels of the sets that are similar enough."""
+        if self.items is None:
+            every = np.concatenate(self.sets)
+            order = np.argsort(every, kind="stable")
+            self.sizes = np.array([len(s) for s in self.sets])
+            self.items, self.owner = every[order], np.repeat(np.arange(len(self.sets)), self.sizes)[order]
+            self.names, self.sets = np.array(self.labels), []
+        low = np.searchsorted(self.items, shingles, "left")
+        times = np.searchsorted(self.items, shingles, "right") - low
+        if len(self.names) == 1:
+            common = np.array([times.sum()])
+        else:
+            total = int(times.sum())
+            at = np.repeat(low - np.concatenate(([0], np.cumsum(times)[:-1])), times) + np.arange(total)
+            common = np.bincount(self.owner[at], minlength=len(self.names))
+        return self.names[100 * common >= percent * (self.sizes + len(shingles) - common)]
+
+
 def _verify(percent: int):
-    """Rows come sorted: a leader's own row, then its members; one set is held at a time."""
+    """Rows come sorted: a group's leaders, then its members. Only the leaders' sets are held."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lead = lead_set = lead_node = None
+        held = _Leaders(())
         for batch in batches:
-            left, right = [], []
-            names = ("leader", "node", "shingles", "is_member")
-            leaders, nodes, sets, member = (batch.column(n) for n in names)
-            for k in range(batch.num_rows):
+            found = set()
+            groups = list(zip(*(batch.column(n).to_pylist() for n in ("lead", "block", "part")), strict=True))
+            member, labels = batch.column("is_member").to_pylist(), batch.column("label").to_pylist()
+            sets = batch.column("shingles")
+            for k, group in enumerate(groups):
                 shingles = np.frombuffer(sets[k].as_buffer(), dtype=U64)
-                if not member[k].as_py():
-                    lead, lead_set, lead_node = leaders[k].as_py(), shingles, nodes[k].as_py()
-                    continue
-                a, b = (lead_set, shingles) if len(lead_set) <= len(shingles) else (shingles, lead_set)
-                if lead != leaders[k].as_py() or 100 * len(a) < percent * len(b):
-                    continue
-                at = np.searchsorted(b, a)
-                at[at == len(b)] = 0
-                common = int((b[at] == a).sum())
-                if 100 * common >= percent * (len(a) + len(b) - common):
-                    left.append(lead_node)
-                    right.append(nodes[k].as_py())
-            yield batches_of(["a", "b"], [pa.array(left, pa.int64()), pa.array(right, pa.int64())])
+                if group != held.group:
+                    held = _Leaders(group)
+                if not member[k]:
+                    held.add(labels[k], shingles)
+                elif held.labels:
+                    found.update((int(a), labels[k]) for a in set(held.similar(shingles, percent).tolist())
+                                 if a != labels[k])
+            pairs = sorted(found)
+            yield batches_of(["a", "b"], [pa.array([x[0] for x in pairs], pa.int64()),
+                                          pa.array([x[1] for x in pairs], pa.int64())])
     return run
 
 
-def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Those of the pairs (leader, member: digests) that are similar enough, as links (a, b) of nodes.
+def _links(leaders: DataFrame, members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between the labels of similar leaders and members of a group.
 
-    The members of a leader are dealt out over groups of about ``MEMBERS``; the leader's set goes to each.
+    ``leaders`` and ``members`` hold lead, block (the group), cid and label. A group's members are dealt out over
+    parts of about ``MEMBERS``, and its leaders go to each part.
     """
-    groups = pairs.groupBy("leader").agg(F.ceil(F.count(F.lit(1)) / MEMBERS).cast("int").alias("n_groups"))
-    members = (pairs.join(groups, "leader")
-               .select("leader", F.pmod(F.xxhash64("member"), "n_groups").cast("int").alias("part"), "member")
-               .join(sets.withColumnRenamed("digest", "member"), "member")
-               .select("leader", "part", "node", "shingles", F.lit(True).alias("is_member")))
-    leaders = (groups.join(sets.withColumnRenamed("digest", "leader"), "leader")
-               .select("leader", F.explode(F.sequence(F.lit(0), F.col("n_groups") - 1)).alias("part"), "node",
-                       "shingles", F.lit(False).alias("is_member")))
-    dealt = (members.unionByName(leaders).repartition("leader", "part")
-             .sortWithinPartitions("leader", "part", "is_member"))
-    return dealt.mapInArrow(_verify(percent), "a long, b long").where("a != b").distinct()
+    parts = members.groupBy("lead", "block").agg(F.ceil(F.count(F.lit(1)) / MEMBERS).cast("int").alias("n_parts"))
+    dealt = (members.join(parts, ["lead", "block"])
+             .select("lead", "block", F.pmod(F.xxhash64("cid"), "n_parts").cast("int").alias("part"), "cid", "label",
+                     F.lit(True).alias("is_member")))
+    led = (leaders.join(parts, ["lead", "block"])
+           .select("lead", "block", F.explode(F.sequence(F.lit(0), F.col("n_parts") - 1)).alias("part"), "cid",
+                   "label", F.lit(False).alias("is_member")))
+    rows = (led.unionByName(dealt).join(sets, "cid").drop("cid").repartition("lead", "block", "part")
+            .sortWithinPartitions("lead", "block", "part", "is_member"))
+    return rows.mapInArrow(_verify(percent), "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = WORDS,
@@ -186,84 +219,62 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Other columns of ``docs`` are ignored, whatever their names.
     """
     rows = only(docs, doc_id=id_col, text=text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
-    signed = stored(rows.mapInArrow(_signatures(size), "doc_id long, n_shingles long, digest binary, "
+    signed = stored(rows.mapInArrow(_signatures(size), "doc_id long, n_shingles long, digest binary, cid long, "
                                                        "bands array<long>"), "signatures")
     usable = signed.where("doc_id IS NOT NULL AND n_shingles > 0")
-    classes = stored(usable.groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n"),
-                                                  F.first("bands").alias("bands")), "classes")
-    # Buckets of one class are of no use; the others are kept with their members' number.
-    exploded = classes.select("digest", "node", "n", F.posexplode("bands").alias("band", "key"))
-    shared = (exploded.groupBy("band", "key").agg(F.count(F.lit(1)).alias("m"), F.min("digest").alias("leader"),
-                                                  F.max("digest").alias("other"))
-              .where("m > 1"))
-    buckets = stored(exploded.join(shared.select("band", "key", "leader", "other"), ["band", "key"]), "buckets")
-    wanted = buckets.select("node").distinct()
-    sets = stored(rows.join(wanted.withColumnRenamed("node", "doc_id"), "doc_id", "left_semi")
-                  .mapInArrow(_sets(size), "node long, digest binary, shingles binary")
+    classes = stored(usable.groupBy("digest").agg(
+        F.min("doc_id").alias("node"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"),
+        F.first("cid").alias("cid")), "classes")
+    named = stored(signed.drop("bands", "cid").join(classes.select("digest", "node"), "digest", "left")
+                   .select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(),
+                                                          F.coalesce("node", "doc_id")).alias("node")), "named")
+    # Buckets of one class are of no use; of the others, the least and the greatest class lead.
+    exploded = classes.select("cid", "node", "n", F.explode("bands").alias("key"))
+    shared = (exploded.groupBy("key").agg(F.min("cid").alias("least"), F.max("cid").alias("greatest"))
+              .where("least != greatest"))
+    buckets = stored(exploded.join(shared, "key"), "buckets")
+    sets = stored(rows.join(buckets.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi")
+                  .mapInArrow(_sets(size), "cid long, shingles binary")
                   .where(F.octet_length("shingles") > 0), "sets")
 
-    fits = "100 * least(n, leader_n) >= {0} * greatest(n, leader_n)".format(percent)
-    sized = classes.select(F.col("digest").alias("leader"), F.col("n").alias("leader_n"))
-
-    def against(leader: str) -> DataFrame:
-        """Pairs of each bucket's one leader with its members, each pair once, of sizes that can be similar."""
-        return (buckets.select(F.col(leader).alias("leader"), F.col("digest").alias("member"), "n").distinct()
-                .where("leader != member").join(sized, "leader").where(fits).select("leader", "member"))
-
-    # 1. Each bucket's least and greatest class lead it.
-    tried = stored(against("leader").unionByName(against("other")).distinct(), "tried")
-    same_id = (usable.join(classes.select("digest", "node"), "digest").groupBy("doc_id")
-               .agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a != b").select("a", "b"))
-    links = stored(_links(tried, sets, percent).unionByName(same_id), "links")
+    # 1. Members of sizes that can be similar against their buckets' leaders, each pair once.
+    sized = buckets.select("cid", "node", "n").distinct()
+    fits = f"100 * least(n, lead_n) >= {percent} * greatest(n, lead_n)"
+    led = (buckets.select("cid", "node", "n", F.explode(F.array("least", "greatest")).alias("lead"))
+           .where("lead != cid").distinct()
+           .join(sized.select(F.col("cid").alias("lead"), F.col("n").alias("lead_n")), "lead").where(fits))
+    members = stored(led.select("lead", F.lit(0).alias("block"), "cid", F.col("node").alias("label")), "members")
+    leaders = (members.select("lead", "block").distinct()
+               .join(sized.select(F.col("cid").alias("lead"), F.col("node").alias("label")), "lead")
+               .select("lead", "block", F.col("lead").alias("cid"), "label"))
+    same_id = (named.where("n_shingles > 0").groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("b"))
+               .where("a != b").select("a", "b"))
+    links = stored(_links(leaders, members, sets, percent).unionByName(same_id), "links")
     found = stored(components(links), "components")
 
-    # 2. Each bucket that still holds several components: a random member of its largest one leads, another in
-    #    each band. 3. All that remains apart is compared with the bucket's members outside its component.
-    for last in (False, True):
-        placed = (buckets.select("band", "key", "digest", "node", "n")
-                  .join(found.select("node", "component"), "node", "left")
-                  .withColumn("component", F.coalesce("component", "node")))
-        parts = placed.groupBy("band", "key", "component").agg(
-            F.count(F.lit(1)).alias("m"), F.min_by("digest", F.xxhash64("digest", "band")).alias("leader"),
-            F.min_by("n", F.xxhash64("digest", "band")).alias("leader_n"))
-        main = (parts.groupBy("band", "key")
-                .agg(F.max_by(F.struct("component", "leader", "leader_n"),
-                              F.struct("m", "component")).alias("main"), F.count(F.lit(1)).alias("n_parts"))
-                .where("n_parts > 1").select("band", "key", "main.*")
-                .withColumnRenamed("component", "main_component"))
-        apart = placed.join(main, ["band", "key"])
-        if not last:
-            pairs = (apart.where("component != main_component").where(fits)
-                     .select("leader", F.col("digest").alias("member")).distinct())
-        else:
-            outside = apart.where("component != main_component").select(
-                "band", "key", F.col("digest").alias("leader"), F.col("n").alias("leader_n"),
-                F.col("component").alias("leader_component"))
-            bands = classes.select(F.col("digest"), "bands")
-            outside = outside.join(bands.withColumnsRenamed({"digest": "leader", "bands": "leader_bands"}), "leader")
-            members = apart.select("band", "key", "digest", "n", "component").join(bands, "digest")
-            earlier = F.forall(F.sequence(F.lit(0), F.col("band") - 1),
-                               lambda i: F.get("leader_bands", i) != F.get("bands", i))
-            pairs = (outside.join(members, ["band", "key"])  # each pair in the first band that its classes share
-                     .where("leader_component != component").where(fits)
-                     .where((F.col("band") == 0) | earlier)
-                     .select("leader", F.col("digest").alias("member")))
-        fresh = stored(pairs.join(tried, ["leader", "member"], "left_anti"), "pairs")
-        if fresh.isEmpty():
-            continue
-        more = stored(_links(fresh, sets, percent), "links")
-        if not more.isEmpty():
-            # Later rounds link whole components.
-            moved = found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more)
-            found = stored(components(moved), "components")
-        tried = tried.unionByName(fresh)
-
-    named = (classes.select("digest", "node").join(found, "node", "left")
-             .select("digest", F.coalesce("component", "node").alias("component")))
-    joined = (signed.join(named, "digest", "left")
-              .select("doc_id", "n_shingles",
-                      F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id")))
-    return joined.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    # 2. Classes outside the largest component of one of their buckets, in blocks, against all its members.
+    placed = (buckets.select("key", "cid", "node").join(found, "node", "left")
+              .select("key", "cid", F.coalesce("component", "node").alias("label")))
+    main = (placed.groupBy("key", "label").agg(F.count(F.lit(1)).alias("m")).groupBy("key")
+            .agg(F.max(F.struct("m", "label")).alias("main"), F.count(F.lit(1)).alias("n_labels"))
+            .where("n_labels > 1").select("key", F.col("main.label").alias("main")))
+    apart = stored(placed.join(main, "key"), "apart")
+    outside = apart.where("label != main")
+    ranked = outside.groupBy("cid", "label").agg(F.min("main").alias("lead"))
+    blocks = ranked.groupBy("lead").agg(F.ceil(F.count(F.lit(1)) / LEADERS).cast("int").alias("n_blocks"))
+    leaders = stored(ranked.join(blocks, "lead").select(
+        "lead", F.pmod(F.xxhash64("cid"), "n_blocks").cast("int").alias("block"), "cid", "label"), "leaders")
+    keys = (outside.select("key", "cid", "label").join(leaders, ["cid", "label"])
+            .select("key", "lead", "block").distinct())
+    members = stored(apart.select("key", "cid", "label").join(keys, "key")
+                     .select("lead", "block", "cid", "label").distinct(), "members")
+    more = stored(_links(leaders, members, sets, percent), "links")
+    if not more.isEmpty():  # links of whole components
+        moved = found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more)
+        found = stored(components(moved), "components")
+    return (named.join(found, "node", "left")
+            .select("doc_id", "n_shingles", F.coalesce("component", "node").alias("component_id"))
+            .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))))
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
