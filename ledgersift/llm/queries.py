@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ledgersift.llm import decontaminate, mixing, near_dups, packing, quality
+from ledgersift.llm import decontaminate, line_dedup, mixing, near_dups, packing, quality, topk
 from ledgersift.llm.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,10 +29,49 @@ def op7_packed_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents"))
 
 
+def op8_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = line_dedup.without_repeated_lines(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op9_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixture(table(spark, sf_dir, "documents")).taken()
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_benchmark_leaks, op3_quality, op5_near_duplicates, op7_packed_tokens,
-                                         op9_mixture)}
-SQL: dict[str, str] = {}
+                                         op8_top_k, op9_mixture, op10_line_dedup)}
+_LOWER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+
+SQL: dict[str, str] = {
+    "op8_top_k": """
+        WITH v AS (
+            SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
+            FROM embeddings
+            WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        s AS (
+            SELECT q.vec_id AS query_id, c.vec_id,
+                   CAST(list_sum(list_transform(list_zip(q.e, c.e), lambda z: z[1] * z[2])) AS BIGINT) AS score
+            FROM v q JOIN v c ON c.vec_id <> q.vec_id WHERE q.vec_id % 50 = 0)
+        SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (
+            SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+        WHERE rank <= 5""",
+    "op10_line_dedup": f"""
+        WITH split AS (
+            SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+        lines AS (
+            SELECT doc_id, line, pos,
+                   translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), {_LOWER}) AS key
+            FROM (SELECT doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) AS pos FROM split)),
+        shared AS (
+            SELECT key, max(doc_id) AS keeper FROM lines WHERE length(key) >= 20
+            GROUP BY key HAVING count(DISTINCT doc_id) >= 3)
+        SELECT doc_id, count(*) AS n_lines, count(*) FILTER (lost) AS n_dropped,
+               sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT lost), '')) AS kept_sha256
+        FROM (SELECT doc_id, line, pos, coalesce(doc_id <> keeper, false) AS lost
+              FROM lines LEFT JOIN shared USING (key))
+        GROUP BY doc_id""",
+}
