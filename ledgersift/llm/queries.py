@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgersift.llm import decontaminate, line_dedup, mixing, near_dups, packing, quality, topk
+from ledgersift.llm import chat, decontaminate, licenses, line_dedup, mixing, near_dups, packing, quality, topk
 from ledgersift.llm.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -21,6 +21,18 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.verdicts(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = "\\### Assistant: </turn> ok"
+    added = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)],
+                                  "conv_id long, turn long, role string, text string")
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(added)
+    return chat.read_back(chat.formatted(rows))
+
+
+def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents")).drop("spans")
+
+
 def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dups.near_duplicates(table(spark, sf_dir, "documents"), size=2)
 
@@ -42,7 +54,8 @@ def op9_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixture(table(spark, sf_dir, "documents")).taken()
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_benchmark_leaks, op3_quality, op5_near_duplicates, op7_packed_tokens,
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_benchmark_leaks, op3_quality, op4_chat, op5_near_duplicates,
+                                         op6_licenses, op7_packed_tokens,
                                          op8_top_k, op9_mixture, op10_line_dedup)}
 _LOWER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 
