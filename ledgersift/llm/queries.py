@@ -7,12 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgersift.llm import chat, decontaminate, licenses, line_dedup, mixing, near_dups, packing, quality, topk
+from ledgersift.llm import chat, decontaminate, licenses, line_dedup, mixing, near_dups, packing, pii, quality, topk
 from ledgersift.llm.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.replaced(table(spark, sf_dir, "documents"))
+
+
 def op2_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -54,7 +58,7 @@ def op9_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixture(table(spark, sf_dir, "documents")).taken()
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_benchmark_leaks, op3_quality, op4_chat, op5_near_duplicates,
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_surrogates, op2_benchmark_leaks, op3_quality, op4_chat, op5_near_duplicates,
                                          op6_licenses, op7_packed_tokens,
                                          op8_top_k, op9_mixture, op10_line_dedup)}
 _LOWER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
