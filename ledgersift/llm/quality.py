@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgersift.llm.tables import batches_of, binaries, only
+from ledgersift.llm.tables import batches_of, only, stored
 from ledgersift.llm.words import ALNUM, NOT_SPACE, U64, grams, mix, slices, text_buffer, word_spans, words
 
 MAX_LABELS = 16_000  # labelled documents the classifier is fitted on, the least by hash of their id
@@ -89,21 +89,37 @@ def _features(batches):
             for a, b in zip(first[:-1], first[1:], strict=True):
                 kinds.append(int(seq[a:b - 2].min().view(np.int64)) if b - a > 2 else len(kinds))
             for a, b in zip(at[:-1], at[1:], strict=True):
-                distinct.append(np.unique(terms[a:b])[:MAX_TERMS].tobytes())
+                distinct.append(np.unique(terms[a:b])[:MAX_TERMS].view(np.int64))
             yield batches_of(["toxic", "poor", "kind", "shape", "words"],
                              [part.column("toxic"), part.column("poor"), pa.array(kinds, pa.int64()),
                               pa.array(list(shapes(part.column("text"))), pa.list_(pa.float64())),
-                              binaries(distinct)])
-
-
-def _gain(with_word: np.ndarray, bad_with: np.ndarray, n: int, bad: int) -> np.ndarray:
+                              pa.array(distinct, pa.list_(pa.int64()))])
+
+
+def _places(vocabulary: np.ndarray):
+    """The vocabulary's words that each document has, by their place in it."""
+    def run(batches):
+        for batch in batches:
+            places = []
+            for terms in batch.column("words"):
+                terms = terms.values.to_numpy().view(U64)
+                at = np.searchsorted(vocabulary, terms)
+                at[at == len(vocabulary)] = 0
+                places.append(at[vocabulary[at] == terms] if len(vocabulary) else at[:0])
+            yield batches_of(["toxic", "poor", "shape", "places"],
+                             [batch.column("toxic"), batch.column("poor"), batch.column("shape"),
+                              pa.array(places, pa.list_(pa.int64()))])
+    return run
+
+
+def _gain(bad_with: str, n: float, bad: float) -> Column:
     """How far a word's share of bad documents is from the others', as a likelihood ratio statistic."""
-    def part(observed, expected):
-        return np.where(observed > 0, observed * np.log(np.maximum(observed, 1e-9) / np.maximum(expected, 1e-9)), 0)
-    good_with = with_word - bad_with
-    rate = with_word / n
-    return 2 * (part(bad_with, bad * rate) + part(good_with, (n - bad) * rate)
-                + part(bad - bad_with, bad * (1 - rate)) + part(n - bad - good_with, (n - bad) * (1 - rate)))
+    def part(observed: Column, expected: Column) -> Column:
+        return F.when(observed > 0, observed * F.log(observed / expected)).otherwise(F.lit(0.0))
+    times, hit = F.col("times"), F.col(bad_with)
+    rate = times / F.lit(n)
+    return 2 * (part(hit, bad * rate) + part(times - hit, (n - bad) * rate) + part(bad - hit, bad * (1 - rate))
+                + part((n - bad) - (times - hit), (n - bad) * (1 - rate)))
 
 
 def _logistic(rows: np.ndarray, cols: np.ndarray, shape: np.ndarray, n_cols: int, target: np.ndarray, steps: int = 600,
@@ -128,7 +144,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         max_labels: int = MAX_LABELS) -> Model:
     """The classifier, fitted on at most ``max_labels`` labelled documents (labels: doc_id, quality, toxic).
 
-    The sample is bounded, so it may be broadcast and its features go to the driver. Of near copies in it, told by
+    The sample is bounded, so it may be broadcast. Words are counted and chosen
+    on Spark; the driver gets the chosen words and, of each document, its shape and the chosen words it has. Of near copies in it, told by
     their least three-word run, one is used. Rows with a null label or id do not count; without labels, all weights
     are 0 and nothing is rejected.
     """
@@ -138,35 +155,32 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
               .orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labels))
     rows = only(docs, doc_id=id_col, text=text_col)
     found = (rows.join(F.broadcast(chosen), "doc_id").select("text", "toxic", "poor")
-             .mapInArrow(_features, "toxic double, poor double, kind long, shape array<double>, words binary")
-             .toArrow())
-    frame = found.select(["toxic", "poor", "kind"]).to_pandas()
-    order = np.flatnonzero(~frame.sort_values(["kind", "toxic", "poor"]).duplicated("kind").sort_index().to_numpy())
+             .mapInArrow(_features, "toxic double, poor double, kind long, shape array<double>, words array<long>"))
+    one = stored(found.groupBy("kind").agg(F.min_by(F.struct("toxic", "poor", "shape", "words"),
+                                                    F.xxhash64("words", "toxic", "poor", "shape")).alias("one"))
+                 .select("one.*"), "features")
+    n, *bad = one.agg(F.count(F.lit(1)), F.sum("toxic"), F.sum("poor")).first()
     n_shape = shapes(pa.array([""])).shape[1]
-    if not len(order):
-        zero = np.zeros
-        return Model(zero(0, U64), zero((0, 2)), zero(n_shape), np.ones(n_shape), zero((n_shape, 2)),
+    if not n:
+        return Model(np.zeros(0, U64), np.zeros((0, 2)), np.zeros(n_shape), np.ones(n_shape), np.zeros((n_shape, 2)),
                      np.full(2, -5.0))
-    target = frame[list(HEADS)].to_numpy()[order]
-    shape = np.array(found["shape"].to_pylist(), dtype=np.float64)[order]
+    counted = (one.select("toxic", "poor", F.explode("words").alias("term")).groupBy("term")
+               .agg(F.count(F.lit(1)).alias("times"), F.sum("toxic").alias("toxic"), F.sum("poor").alias("poor"))
+               .where("times >= 4"))
+    picked = [counted.select("term", _gain(head, n, bad[k]).alias("gain")).where("gain > 10.8")
+              .orderBy(F.desc("gain"), "term").limit(MAX_FEATURES // 2).select("term").collect()
+              for k, head in enumerate(HEADS)]
+    vocabulary = np.unique(np.array([r["term"] for rows_ in picked for r in rows_], dtype=np.int64).view(U64))
+    sample = (one.mapInArrow(_places(vocabulary), "toxic double, poor double, shape array<double>, places array<long>")
+              .toPandas())
+    target = sample[list(HEADS)].to_numpy()
+    shape = np.array(sample["shape"].tolist(), dtype=np.float64)
     centre, scale = shape.mean(axis=0), np.maximum(shape.std(axis=0), 1e-6)
     shape = np.clip((shape - centre) / scale, -8, 8)
-    blobs = found["words"].to_pylist()
-    lists = [np.frombuffer(blobs[i], dtype=U64) for i in order]
-    rows_, flat = np.repeat(np.arange(len(lists)), list(map(len, lists))), np.concatenate(lists)
-    every, at, times = np.unique(flat, return_inverse=True, return_counts=True)
-    picked = []
-    for head in range(2):
-        bad_with = np.bincount(at, target[rows_, head], len(every))
-        gain = np.where(times >= 4, _gain(times, bad_with, len(lists), target[:, head].sum()), 0)
-        best = np.argsort(-gain, kind="stable")[:MAX_FEATURES // 2]
-        picked.append(best[gain[best] > 10.8])
-    use = np.unique(np.concatenate(picked))
-    column = np.full(len(every), -1)
-    column[use] = np.arange(len(use))
-    seen = column[at] >= 0
-    fitted = [_logistic(rows_[seen], column[at][seen], shape, len(use), target[:, head]) for head in range(2)]
-    return Model(every[use], np.stack([f[0] for f in fitted], 1), centre, scale,
+    rows_ = np.repeat(np.arange(len(sample)), sample["places"].map(len))
+    cols = np.concatenate([np.asarray(x, dtype=np.int64) for x in sample["places"]])
+    fitted = [_logistic(rows_, cols, shape, len(vocabulary), target[:, head]) for head in range(2)]
+    return Model(vocabulary, np.stack([f[0] for f in fitted], 1), centre, scale,
                  np.stack([f[1] for f in fitted], 1), np.array([f[2] for f in fitted]))
 
 
