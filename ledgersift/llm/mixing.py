@@ -18,6 +18,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ledgersift.llm.tables import only, stored
 from ledgersift.llm.words import NOT_SPACE, slices, text_buffer, word_spans
@@ -29,7 +30,7 @@ MAX_SOURCES = 100_000  # one row of each source is on the driver
 SHARD_WORDS = 2_000_000
 
 
-@F.arrow_udf("long")
+@F.arrow_udf(T.LongType())
 def word_count(texts: pa.Array) -> pa.Array:
     """Runs without ASCII white space; a null has none."""
     counts = [np.zeros(0, np.int64)]
