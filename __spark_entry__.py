@@ -14,9 +14,10 @@ from pyspark.sql import functions as F
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
-from ledgersift.model import Ledger  # noqa: E402
+from ledgersift.model import ORDER_STATUSES, PAYMENT_STATUSES, Ledger  # noqa: E402
 from ledgersift.operators import amounts, controls, duplicates, nulls, references  # noqa: E402
 from ledgersift.operators.facts import order_facts  # noqa: E402
+from ledgersift.operators.skew import NO_HOT_KEYS  # noqa: E402
 from ledgersift.plans import checks, consolidated, feeds, history, impact, report, scorecard  # noqa: E402
 from ledgersift.session import shared_dir  # noqa: E402
 from ledgersift.sinks.runner import run_all  # noqa: E402
@@ -144,7 +145,8 @@ def _document_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _documents_without_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "n_chars")
-    return references.orphans(documents, table(spark, sf_dir, "labels"), "doc_id", "doc_id", reason="no label")
+    return references.orphans(documents, table(spark, sf_dir, "labels"), "doc_id", "doc_id", reason="no label",
+                              hot=NO_HOT_KEYS)
 
 
 def _orders_without_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -228,7 +230,9 @@ def _audit_queries() -> dict[str, Query]:
         "f03_not_null_orders": _on(lambda ledger: nulls.check_not_null(ledger.orders, ["total_amount"])
                                    .select("order_id", F.concat_ws(", ", "violations").alias("violations"))),
         "f04_status_domain": _on(lambda ledger: controls.check_domain(
-            ledger.orders.select("order_id", "status"), "status", ["Pending", "Processing", "Completed"])),
+            ledger.orders.select("order_id", "status"), "status", ORDER_STATUSES)),
+        "f04_payment_status_domain": _on(lambda ledger: controls.check_domain(
+            ledger.payments.select("payment_id", "payment_status"), "payment_status", PAYMENT_STATUSES)),
         "f05_quarantine": _on_measured(_quarantine),
         "f06_clean": _on_measured(_clean),
         "f08_daily_scorecard": _daily_scorecard,

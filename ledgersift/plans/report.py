@@ -21,9 +21,9 @@ AMOUNTS = ("gross_amount", "unpaid_amount", "orphan_amount", "over_amount", "und
 def audit_totals(ledger: Ledger) -> DataFrame:
     """One row with every count and amount the checks report.
 
-    Six one-row aggregates, summed into one row: customers by email; orders and payments joined
+    Seven one-row aggregates, summed into one row: customers by email; orders and payments joined
     twice, to payment totals for the order book and row by row for the amounts (the second join
-    needs no grouping); orders alone; the catalogue; orders per product. Amounts stay NULL where
+    needs no grouping); orders alone; payments alone; the catalogue; orders per product. Amounts stay NULL where
     nothing qualified.
     """
     identity = identity_facts(ledger).agg(
@@ -33,11 +33,15 @@ def audit_totals(ledger: Ledger) -> DataFrame:
         F.sum(F.when(F.col("email").isNull(), F.col("n"))).alias("email_null"))
     book = order_book(ledger).drop("orphan_payments")
     alone = ledger.orders.agg(*[F.sum(measure).alias(name) for name, measure in order_measures().items()])
+    # Payments are counted on their own table: after the join, a repeated order id would count them twice.
+    paid = ledger.payments.agg(rows().alias("payments"), F.count_if(F.col("payment_amount").isNull())
+                               .alias("payment_amount_null"))
     catalogue = ledger.products.agg(rows().alias("products"))
     inactive = inactive_product_summary(ledger).select(
         F.col("n").alias("inactive_orders"), F.col("amount").alias("inactive_amount"))
     parts = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True),
-                   [identity, book, settlement_totals(ledger), alone, catalogue, inactive])
+                   [identity, book, settlement_totals(ledger).drop("payments", "payment_amount_null"), alone, paid,
+                    catalogue, inactive])
     return parts.agg(*[F.coalesce(F.max(c), F.lit(0)).cast("long").alias(c) for c in COUNTS],
                      *[money(F.max(c)).alias(c) for c in AMOUNTS])
 

@@ -32,7 +32,10 @@ def run_all(spark: SparkSession, ledger: Ledger, folder: str, *, day: date | Non
     """
     day = day or date.today()
     if share:
-        ledger = share_facts(ledger, f"{shared_dir(spark)}/audit-{uuid.uuid4().hex}")
+        try:
+            ledger = share_facts(ledger, f"{shared_dir(spark)}/audit-{uuid.uuid4().hex}")
+        except Exception as error:  # noqa: BLE001 - each export then works its facts out and fails on its own
+            logger.error("nothing is shared: %s", error)
     results = []
     for name, export in exports.items():
         path = dated_path(folder, name, day, kind)

@@ -366,8 +366,11 @@ def oracles() -> dict[str, str]:
         "f03_not_null_orders": audit("""SELECT order_id, 'total_amount' AS violations
             FROM a_orders WHERE total_amount IS NULL"""),
         "f04_status_domain": audit("""SELECT order_id, status,
-            'status not in (Pending, Processing, Completed)' AS problem
-            FROM a_orders WHERE status NOT IN ('Pending', 'Processing', 'Completed')"""),
+            'status not in (Pending, Processing, Completed, Cancelled)' AS problem
+            FROM a_orders WHERE status NOT IN ('Pending', 'Processing', 'Completed', 'Cancelled')"""),
+        "f04_payment_status_domain": audit("""SELECT payment_id, payment_status,
+            'payment_status not in (Paid, Failed, Pending)' AS problem
+            FROM a_payments WHERE payment_status NOT IN ('Paid', 'Failed', 'Pending')"""),
         "f05_quarantine": audit("SELECT * FROM tagged WHERE broken <> ''", RULES),
         "f06_clean": audit("SELECT order_id, customer_id, status, total_amount FROM tagged WHERE broken = ''", RULES),
         "f08_daily_scorecard": audit("SELECT *, DATE '2024-01-15' AS run_date FROM scores", SCORES),
