@@ -47,15 +47,25 @@ def mismatch_summary(mismatches: DataFrame) -> DataFrame:
 
 
 def reconcile(parent: DataFrame, child: DataFrame, pk: str, fk: str, expected: str, actual: Column,
-              predicate: Column | None = None, *, only_differences: bool = True) -> DataFrame:
+              predicate: Column | None = None, *, due: Column | None = None,
+              only_differences: bool = True) -> DataFrame:
     """Parent columns, n_children, actual_total and diff against the sum over all children.
 
-    Children are summed per key before the join. A parent without matching children, or whose
-    sum or total is NULL, is not compared.
+    Children are summed per key before the join. A parent without matching children is compared
+    with 0 where ``due`` (a condition on the parent) holds, and else not compared; nor is one whose
+    sum or total is NULL.
     """
     counted = child if predicate is None else child.where(predicate)
     sums = (counted.where(F.col(fk).isNotNull()).groupBy(F.col(fk).alias("_fk"))
             .agg(rows().alias("n_children"), F.sum(actual).cast(MONEY_SUM).alias("actual_total")))
-    compared = (parent.join(sums, F.col(pk) == F.col("_fk"), "inner").drop("_fk")
+    if due is None:
+        paired = parent.join(sums, F.col(pk) == F.col("_fk"), "inner").drop("_fk")
+    else:
+        found = F.col("_fk").isNotNull()
+        nothing = F.lit(0).cast(MONEY_SUM)
+        paired = (parent.join(sums, F.col(pk) == F.col("_fk"), "left").where(found | due)
+                  .withColumn("actual_total", F.when(found, F.col("actual_total")).otherwise(nothing))
+                  .withColumn("n_children", F.coalesce("n_children", F.lit(0).cast("long"))).drop("_fk"))
+    compared = (paired
                 .withColumn("diff", (F.col("actual_total") - F.col(expected)).cast(MONEY_SUM)))
     return compared.where(F.col("diff") != 0) if only_differences else compared

@@ -161,10 +161,13 @@ def inactive_product_summary(ledger: Ledger) -> DataFrame:
 
 
 def reconciliation(ledger: Ledger) -> DataFrame:
-    """Orders whose total differs from the sum of their confirmed payments (one row per order)."""
+    """Orders whose total differs from the sum of their confirmed payments (one row per order).
+
+    A completed order without a confirmed payment is compared with 0; other orders without one are not due yet.
+    """
     return amounts.reconcile(
-        ledger.orders.select("order_id", "customer_id", "order_date", "total_amount"),
+        ledger.orders.select("order_id", "customer_id", "order_date", "total_amount", "status"),
         ledger.payments, "order_id", "order_id", "total_amount", F.col("payment_amount"),
-        F.col("payment_status") == PAID).select(
+        F.col("payment_status") == PAID, due=F.col("status") == COMPLETED).select(
             "order_id", "customer_id", "order_date", "total_amount",
             F.col("n_children").alias("n_payments"), F.col("actual_total").alias("paid_total"), "diff")

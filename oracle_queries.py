@@ -304,11 +304,13 @@ def oracles() -> dict[str, str]:
         "a20_global_score": audit(f"""SELECT {MEAN} AS mean_score,
             {score('sum(bad)', 'sum(total)')} AS weighted_score FROM scores""", SCORES),
         "a21_reconciliation": audit("""SELECT o.order_id, o.customer_id, o.order_date, o.total_amount,
-            s.n AS n_payments, CAST(s.paid AS DECIMAL(24,2)) AS paid_total,
-            CAST(s.paid - o.total_amount AS DECIMAL(24,2)) AS diff
-            FROM a_orders o JOIN (SELECT order_id, count(*) AS n, sum(payment_amount) AS paid FROM a_payments
+            coalesce(s.n, 0) AS n_payments,
+            CAST(CASE WHEN s.n IS NULL THEN 0 ELSE s.paid END AS DECIMAL(24,2)) AS paid_total,
+            CAST(CASE WHEN s.n IS NULL THEN 0 ELSE s.paid END - o.total_amount AS DECIMAL(24,2)) AS diff
+            FROM a_orders o LEFT JOIN (SELECT order_id, count(*) AS n, sum(payment_amount) AS paid FROM a_payments
               WHERE payment_status = 'Paid' GROUP BY order_id) s ON s.order_id = o.order_id
-            WHERE s.paid <> o.total_amount"""),
+            WHERE (s.n IS NOT NULL OR o.status = 'Completed')
+              AND CASE WHEN s.n IS NULL THEN 0 ELSE s.paid END <> o.total_amount"""),
         "b01_revenue_at_risk_total": audit(f"SELECT {n('n')} AS n, {money('amount')} AS amount FROM total_risk",
                                            TOTAL_RISK),
         "b02_quality_score_global": audit(f"SELECT {MEAN} AS mean_score FROM scores", SCORES),

@@ -121,6 +121,7 @@ def test_order_flags_count_each_order_once(ledger):
 def test_kpis_and_reconciliation(ledger):
     assert tuples(scorecard.ledger_kpis(ledger)) == [(6, 3, 9, 9, D("1090.00"))]
     assert sorted(tuples(checks.reconciliation(ledger), "order_id", "n_payments", "paid_total", "diff")) == [
+        (3, 0, D("0.00"), D("-300.00")), (6, 0, D("0.00"), D("-400.00")),
         (7, 1, D("5.00"), D("5.00")), (9, 1, D("95.00"), D("5.00"))]
 
 
