@@ -28,7 +28,7 @@ from ledgersift.sources.binding import (  # noqa: E402
     table,
     table_stream,
 )
-from ledgersift.streaming.daily import scorecard_job  # noqa: E402
+from ledgersift.streaming.daily import any_arrival, scorecard_job  # noqa: E402
 from ledgersift.streaming.unmatched import unpaid_orders, write_unpaid  # noqa: E402
 from oracle_queries import oracles  # noqa: E402
 
@@ -70,14 +70,9 @@ def _on_risk(plan: Callable[[DataFrame], DataFrame]) -> Query:
     return _on(lambda ledger: plan(scorecard.revenue_at_risk(ledger)))
 
 
-def _email_groups_export(ledger: Ledger) -> DataFrame:
-    return duplicates.duplicate_groups(ledger.customers, "email", "customer_id", ts="created_at",
-                                       policy=ledger.skew)
-
-
 def _email_names_report(ledger: Ledger) -> DataFrame:
-    return duplicates.duplicate_groups(ledger.customers, "email", "customer_id", "name", separator=" | ",
-                                       policy=ledger.skew).select("email", "n", "names")
+    return duplicates.duplicate_groups(ledger.customers, "email", "customer_id", "name", listed=True,
+                                       separator=" | ").select("email", "n", "names")
 
 
 def order_rules() -> dict[str, object]:
@@ -110,12 +105,12 @@ def _export_run(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _daily_scorecard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Runs the incremental job over the order files and reads back what it wrote."""
+    """Runs the incremental job over the files of all tables and reads back what it wrote."""
     folder = _run_folder(spark, "scorecard")
-    arrivals = table_stream(spark, sf_dir, "orders").select("o_orderkey")
+    arrivals = any_arrival(*[table_stream(spark, sf_dir, t) for t in ("customer", "part", "orders", "lineitem")])
     scorecard_job(arrivals, lambda: bound_ledger(spark, sf_dir), f"{folder}/out", f"{folder}/state",
                   AUDIT_DAY.isoformat()).awaitTermination()
-    return spark.read.parquet(f"{folder}/out").drop("batch")
+    return spark.read.parquet(f"{folder}/out")
 
 
 def _stream_unpaid(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -132,10 +127,17 @@ def _score_change(ledger: Ledger) -> DataFrame:
                                 scorecard.quality_score(ledger))
 
 
-def _document_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _keyed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole texts compared through their digest, so that texts are not shuffled."""
-    keyed = table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("text_key"))
-    return duplicates.duplicate_groups(keyed, "text_key", "doc_id")
+    return table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("text_key"))
+
+
+def _document_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return duplicates.duplicate_groups(_keyed_documents(spark, sf_dir), "text_key")
+
+
+def _document_duplicate_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return duplicates.duplicate_members(_keyed_documents(spark, sf_dir), "text_key", "doc_id")
 
 
 def _documents_without_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -168,7 +170,8 @@ def queries() -> dict[str, Query]:
 def _audit_queries() -> dict[str, Query]:
     return {
         "a01_duplicate_groups": _on(checks.duplicate_emails),
-        "a01_duplicate_groups_export": _on(_email_groups_export),
+        "a01_duplicate_groups_export": _on(checks.duplicate_email_listing),
+        "a01_duplicate_members": _on(checks.duplicate_email_members),
         "a01_duplicate_names_report": _on(_email_names_report),
         "a02_duplicate_rate": _on(checks.duplicate_email_rate),
         "a03_orders_without_customer": _on(checks.orders_without_customer),
@@ -234,6 +237,7 @@ def _audit_queries() -> dict[str, Query]:
         "f09_score_change": _on(_score_change),
         "f10_stream_unpaid": _stream_unpaid,
         "n01_document_duplicates": _document_duplicates,
+        "n01_document_duplicate_members": _document_duplicate_members,
         "n03_documents_without_labels": _documents_without_labels,
         "n05_orders_without_lines": _orders_without_lines,
         "n21_order_line_reconciliation": _order_line_reconciliation,

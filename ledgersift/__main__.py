@@ -15,7 +15,15 @@ from pyspark.sql import SparkSession
 from ledgersift.model import Ledger
 from ledgersift.plans.report import sectioned_report
 from ledgersift.sinks.runner import failed, run_all
-from ledgersift.sources.readers import JdbcSource, read_csv, read_jdbc, read_parquet, read_tables
+from ledgersift.sources.readers import (
+    JdbcSource,
+    ask_jdbc,
+    read_csv,
+    read_jdbc,
+    read_parquet,
+    read_tables,
+    with_key_ranges,
+)
 
 
 def arguments(argv: Sequence[str] | None) -> argparse.Namespace:
@@ -43,7 +51,8 @@ def source_of(spark: SparkSession, args: argparse.Namespace) -> Ledger:
     if args.csv:
         return read_csv(spark, args.csv)
     if args.jdbc:
-        return read_jdbc(spark, JdbcSource(args.jdbc, dict(o.split("=", 1) for o in args.jdbc_option)))
+        source = JdbcSource(args.jdbc, dict(o.split("=", 1) for o in args.jdbc_option))
+        return read_jdbc(spark, with_key_ranges(source, ask_jdbc(spark)))
     return read_tables(spark, {r: f"{args.tables}{r}" for r in ("customers", "products", "orders", "payments")})
 
 

@@ -23,6 +23,7 @@ class Labels:
     email_null: str = "Email missing"
     total_null: str = "total_amount is NULL"
     inactive_product: str = "Order for a discontinued product"
+    currency: str = "COP"  # fixed value: the ledger's currency, after each sum of money in the report
 
 
 ENGLISH = Labels()

@@ -6,58 +6,48 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ledgersift.functions.expressions import percent, rows
 from ledgersift.operators.skew import SkewPolicy, largest, match
 
-PART_SIZE = 10_000
-
 
 def key_counts(df: DataFrame, key: str) -> DataFrame:
     """Rows per key value, NULL included; combined before the shuffle, so no value is hot."""
     return df.groupBy(key).agg(rows().alias("n"))
 
 
-def duplicate_groups(df: DataFrame, key: str, id: str, label: str | None = None, ts: str | None = None,
-                     *, separator: str = ", ", part_size: int = PART_SIZE,
-                     policy: SkewPolicy | None = None) -> DataFrame:
-    """Non-NULL key values held by more than one row.
+def duplicate_groups(df: DataFrame, key: str, id: str | None = None, label: str | None = None, ts: str | None = None,
+                     *, listed: bool = False, separator: str = ", ") -> DataFrame:
+    """Non-NULL key values held by more than one row, one row each whatever the group's size.
 
-    Columns: key, n, n_extra, ids, names (with ``label``), first_seen and last_seen (with
-    ``ts``), part. ``ids`` and ``names`` are joined in id order; NULL names are skipped. A group
-    of up to ``part_size`` rows is one result row with part 0. A larger group is listed over
-    several rows, each holding one block of the id range, so no task builds an unbounded
-    string; n, n_extra, first_seen and last_seen always describe the whole group. ``id`` is the
-    table's own key.
+    Columns: key, n, n_extra, first_seen and last_seen (with ``ts``). Combined before the shuffle, so no value is
+    hot. With ``listed`` also ids and names (with ``label``): all members' values as one text in id order, NULL names
+    skipped. That text is as long as the group, in one task, so it is for reports on tables whose groups are known
+    to be small; ``duplicate_members`` gives the same members as rows at any size.
     """
-    policy = policy or SkewPolicy()
     seen = [F.min(ts).alias("first_seen"), F.max(ts).alias("last_seen")] if ts else []
-    totals = ["group_n"] + (["first_seen", "last_seen"] if ts else [])
-    groups = (df.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("group_key"))
-              .agg(rows().alias("group_n"), *seen)
+    texts = [_listing(f"CAST(`{id}` AS STRING)", id, separator).alias("ids")] if listed else []
+    if listed and label:
+        texts.append(_listing(f"`{label}`", id, separator).alias("names"))
+    groups = (df.where(F.col(key).isNotNull()).groupBy(key).agg(rows().alias("n"), *texts, *seen)
+              .where(F.col("n") > 1))
+    return groups.withColumn("n_extra", F.col("n") - 1).select(
+        key, "n", "n_extra", *[c for c in groups.columns if c not in (key, "n")])
+
+
+def duplicate_members(df: DataFrame, key: str, id: str, label: str | None = None,
+                      policy: SkewPolicy | None = None) -> DataFrame:
+    """The rows behind ``duplicate_groups``, one each: key, id and ``label``.
+
+    Rows of a hot value meet it in a broadcast join and are not shuffled.
+    """
+    present = df.where(F.col(key).isNotNull())
+    groups = (present.groupBy(F.col(key).alias("group_key")).agg(rows().alias("group_n"))
               .where(F.col("group_n") > 1))
-    hot = largest(groups.select(F.col("group_key").alias("hot_key"), F.col("group_n").alias("key_rows")), policy)
+    hot = largest(groups.select(F.col("group_key").alias("hot_key"), F.col("group_n").alias("key_rows")),
+                  policy or SkewPolicy())
     carried = list(dict.fromkeys([key, id] + ([label] if label else [])))
-    members = match(df.where(F.col(key).isNotNull()).select(*carried), groups, key, "group_key",
-                    values={t: f"_{t}" for t in totals}, policy=policy, hot=hot, unique_parent=True)
-    listed = (members.withColumn("part", _part(df, id, part_size))
-              .groupBy(key, "part")
-              .agg(F.first("_group_n").alias("n"),
-                   _listing(f"CAST(`{id}` AS STRING)", id, separator).alias("ids"),
-                   *([_listing(f"`{label}`", id, separator).alias("names")] if label else []),
-                   *[F.first(f"_{t}").alias(t) for t in totals[1:]]))
-    return listed.select(key, "n", (F.col("n") - 1).alias("n_extra"), "ids",
-                         *(["names"] if label else []), *totals[1:], "part")
-
-
-def _part(df: DataFrame, id: str, part_size: int) -> Column:
-    """Block of a large group: by id range for whole-number ids, else by hash."""
-    if isinstance(df.schema[id].dataType, T.IntegralType):
-        block = F.expr(f"(`{id}` - pmod(`{id}`, {part_size})) DIV {part_size}")
-    else:
-        block = F.pmod(F.xxhash64(id), F.ceil(F.col("_group_n") / F.lit(part_size)))
-    return F.when(F.col("_group_n") > part_size, block.cast("long")).otherwise(F.lit(0).cast("long"))
+    return match(present.select(*carried), groups, key, "group_key", values={}, hot=hot, unique_parent=True)
 
 
 def _listing(value: str, id: str, separator: str) -> Column:

@@ -44,7 +44,7 @@ def ordered(df: DataFrame, order: list[Column], sort: str = "all") -> DataFrame:
 
 
 CHECKS: dict[str, Check] = {
-    "duplicate_emails": Check(checks.duplicate_emails, lambda: [F.desc("n"), F.asc("email"), F.asc("part")]),
+    "duplicate_emails": Check(checks.duplicate_emails, lambda: [F.desc("n"), F.asc("email")]),
     "duplicate_email_rate": Check(checks.duplicate_email_rate, lambda: [F.asc("total")], True),
     "orders_without_customer": Check(checks.orders_without_customer, lambda: [F.asc("order_id")]),
     "orders_without_customer_rate": Check(checks.orders_without_customer_rate, lambda: [F.asc("total")], True),
@@ -104,13 +104,12 @@ def _worded_census(ledger: Ledger) -> DataFrame:
 
 
 # File stems and headers of the published export, which dashboards import by name.
-# "parte" is the block number of a very large group of shared emails; it is 0 elsewhere.
 EXPORTS: dict[str, Export] = {
     "01_emails_duplicados": Export(
         "duplicate_emails",
-        ("email", "n", "n_extra", "ids", "first_seen", "last_seen", "part"),
+        ("email", "n", "n_extra", "ids", "first_seen", "last_seen"),
         ("email", "total_ocurrencias", "duplicados_extra", "customer_ids", "primer_registro",
-         "ultimo_duplicado", "parte")),
+         "ultimo_duplicado"), checks.duplicate_email_listing),
     "02_ordenes_sin_cliente": Export(
         "orders_without_customer",
         ("order_id", "referenced_customer_id", "order_date", "status", "total_amount", "problem"),

@@ -28,16 +28,25 @@ def _hot_payers(ledger: Ledger) -> HotKeys:
     buyers, paid_orders = ledger.hot("orders", "customer_id"), ledger.hot("payments", "order_id")
     if isinstance(paid_orders, str):
         return buyers
-    payers = (ledger.orders.join(F.broadcast(paid_orders.select("hot_key")), F.col("order_id") == F.col("hot_key"),
-                                 "left_semi")
-              .where(F.col("customer_id").isNotNull()).select(F.col("customer_id").alias("hot_key")))
-    either = payers if isinstance(buyers, str) else buyers.select("hot_key").union(payers)
-    return either.distinct().orderBy("hot_key").limit(2 * ledger.skew.max_hot_keys)
+    payers = (ledger.orders.where(F.col("customer_id").isNotNull())
+              .join(F.broadcast(paid_orders), F.col("order_id") == F.col("hot_key"))
+              .select(F.col("customer_id").alias("hot_key"), "n_salts"))
+    either = payers if isinstance(buyers, str) else buyers.select("hot_key", "n_salts").unionByName(payers)
+    return (either.groupBy("hot_key").agg(F.sum("n_salts").alias("n_salts"))
+            .orderBy(F.desc("n_salts"), "hot_key").limit(2 * ledger.skew.max_hot_keys))
 
 
-def duplicate_emails(ledger: Ledger, **options) -> DataFrame:
-    return duplicates.duplicate_groups(ledger.customers, "email", "customer_id", "name", "created_at",
-                                       policy=ledger.skew, **options)
+def duplicate_emails(ledger: Ledger) -> DataFrame:
+    return duplicates.duplicate_groups(ledger.customers, "email", ts="created_at")
+
+
+def duplicate_email_members(ledger: Ledger) -> DataFrame:
+    return duplicates.duplicate_members(ledger.customers, "email", "customer_id", "name", ledger.skew)
+
+
+def duplicate_email_listing(ledger: Ledger) -> DataFrame:
+    """The groups with their customers' ids as text, as the published export has them."""
+    return duplicates.duplicate_groups(ledger.customers, "email", "customer_id", ts="created_at", listed=True)
 
 
 def duplicate_email_rate(ledger: Ledger) -> DataFrame:
@@ -97,7 +106,8 @@ def orphan_payments_by_status(ledger: Ledger) -> DataFrame:
                                     by="payment_status")
 
 
-def _mismatches(ledger: Ledger, *columns: str) -> DataFrame:
+def mismatched_payments(ledger: Ledger, *columns: str) -> DataFrame:
+    """Confirmed payments that differ from their order's total, without customer names."""
     if ledger.settled is not None:
         confirmed = ledger.settled.where(F.col("order_found") & F.col("payment_found")
                                          & (F.col("payment_status") == PAID))
@@ -110,14 +120,14 @@ def _mismatches(ledger: Ledger, *columns: str) -> DataFrame:
 
 
 def amount_mismatches(ledger: Ledger) -> DataFrame:
-    named = with_customer_name(ledger, _mismatches(ledger, "customer_id", "order_date"), _hot_payers(ledger))
+    named = with_customer_name(ledger, mismatched_payments(ledger, "customer_id", "order_date"), _hot_payers(ledger))
     return named.select("order_id", "customer_id", "customer_name", "order_date",
                         F.col("total_amount").alias("order_amount"), F.col("payment_amount").alias("paid_amount"),
                         "diff", "diff_type", "diff_pct")
 
 
 def amount_mismatch_summary(ledger: Ledger) -> DataFrame:
-    return amounts.mismatch_summary(_mismatches(ledger))
+    return amounts.mismatch_summary(mismatched_payments(ledger))
 
 
 def customers_with_nulls(ledger: Ledger) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ledgersift.functions.expressions import money, percent
 from ledgersift.model import Ledger
-from ledgersift.plans.checks import amount_mismatches
+from ledgersift.plans.checks import mismatched_payments
 from ledgersift.plans.scorecard import mean_score, revenue_at_risk_total
 
 TARGET_SCORE = 98.0
@@ -39,7 +39,7 @@ def over_under_by_order(ledger: Ledger) -> DataFrame:
     """order_id, overpaid, underpaid: summed differences, 0 where there is none of a kind."""
     zero = F.lit(0).cast("decimal(13,2)")
     diff = F.col("diff")
-    return (amount_mismatches(ledger).groupBy("order_id")
+    return (mismatched_payments(ledger).groupBy("order_id")
             .agg(money(F.sum(F.when(diff > 0, diff).otherwise(zero))).alias("overpaid"),
                  money(F.sum(F.when(diff < 0, -diff).otherwise(zero))).alias("underpaid")))
 
@@ -49,18 +49,22 @@ def score_vs_target(scores: DataFrame, target: float = TARGET_SCORE) -> DataFram
 
     The scorecard's three rows are gathered into one to add the mean, so it is computed once.
     """
+    gap = F.col("score").cast("decimal(10,2)") - F.lit(target).cast("decimal(10,2)")
+    return _with_global(scores).select("table_name", "score", F.lit(float(target)).alias("target"),
+                                       gap.cast("double").alias("gap"), (F.col("score") >= target).alias("met"))
+
+
+def _with_global(scores: DataFrame) -> DataFrame:
+    """table_name and score of each table and, as ``global``, of their mean."""
     line = F.struct("table_name", "score")
     overall = F.struct(F.lit("global").alias("table_name"), F.col("mean").alias("score"))
-    lines = (scores.agg(F.collect_list(line).alias("tables"), mean_score().alias("mean"))
-             .select(F.inline(F.concat("tables", F.array(overall)))))
-    gap = F.col("score").cast("decimal(10,2)") - F.lit(target).cast("decimal(10,2)")
-    return lines.select("table_name", "score", F.lit(float(target)).alias("target"),
-                        gap.cast("double").alias("gap"), (F.col("score") >= target).alias("met"))
+    return (scores.agg(F.collect_list(line).alias("tables"), mean_score().alias("mean"))
+            .select(F.inline(F.concat("tables", F.array(overall)))))
 
 
 def score_alerts(scores: DataFrame, threshold: float = ALERT_SCORE) -> DataFrame:
-    """Tables whose score lies below the threshold."""
-    return (scores.where(F.col("score") < threshold)
+    """Scores below the threshold: the global one, and those of the tables behind it."""
+    return (_with_global(scores).where(F.col("score") < threshold)
             .select("table_name", "score", F.lit(float(threshold)).alias("threshold")))
 
 

@@ -37,9 +37,13 @@ def score_change(before: DataFrame, after: DataFrame) -> DataFrame:
 
 
 def as_of(ledger: Ledger, moment: str) -> Ledger:
-    """The ledger restricted to customers, orders and payments dated before ``moment``."""
+    """The ledger restricted to customers, orders and payments dated before ``moment``, or not dated at all: an
+    undated row is not known to be later, and leaving it out would hide its defects from every earlier day."""
     cut = F.lit(moment).cast("timestamp_ntz")
-    return replace(ledger, customers=ledger.customers.where(F.col("created_at") < cut),
-                   orders=ledger.orders.where(F.col("order_date") < cut),
-                   payments=ledger.payments.where(F.col("payment_date") < cut), settled=None, lost_customers=None,
-                   counted={})
+
+    def before(df: DataFrame, column: str) -> DataFrame:
+        return df.where(F.col(column).isNull() | (F.col(column) < cut))
+
+    return replace(ledger, customers=before(ledger.customers, "created_at"),
+                   orders=before(ledger.orders, "order_date"), payments=before(ledger.payments, "payment_date"),
+                   settled=None, lost_customers=None, counted={})

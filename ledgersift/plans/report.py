@@ -66,17 +66,17 @@ def _score(bad: str, total: str) -> Column:
 def sectioned_report(ledger: Ledger) -> DataFrame:
     """section, title, metric, kind, value_num, value_text: the ten-section report as rows.
 
-    Money is shown with thousands separators and no decimals, percentages with two, and a
+    Money is shown with thousands separators, its currency and no decimals, percentages with two, and a
     missing value as N/A.
     """
     words = ledger.labels
     c = F.col
     zero = F.lit(0).cast(MONEY_SUM)
-    table_scores = [_score("bad_customers", "customers"), _score("bad_orders", "orders"),
-                    _score("orphan_payments", "payments")]
+    bad_rows = [("customers", "bad_customers"), ("orders", "bad_orders"), ("payments", "orphan_payments")]
+    table_scores = [_score(bad, table) for table, bad in bad_rows]
     mean = reduce(lambda a, b: a + b, [F.coalesce(s, F.lit(100)) for s in table_scores]) / F.lit(3)
-    risks = [(words.risk_unpaid, "unpaid_amount"), (words.risk_underpaid, "under_amount"),
-             (words.risk_overpaid, "over_amount"), (words.risk_orphan, "orphan_amount")]
+    risks = [(words.risk_unpaid, "unpaid_amount", "unpaid"), (words.risk_underpaid, "under_amount", "under"),
+             (words.risk_overpaid, "over_amount", "over"), (words.risk_orphan, "orphan_amount", "orphan_payments")]
     discrepancy = F.when(c("over_amount").isNull() & c("under_amount").isNull(), F.lit(None)).otherwise(
         F.coalesce("over_amount", zero) + F.coalesce("under_amount", zero))
     found = discrepancy.isNotNull()
@@ -111,13 +111,18 @@ def sectioned_report(ledger: Ledger) -> DataFrame:
         _line(9, "Quality score", "orders", "percent", table_scores[1]),
         _line(9, "Quality score", "payments", "percent", table_scores[2]),
         _line(9, "Quality score", "global", "percent", F.round(mean, 2)),
-        *[_line(10, "Revenue at risk", label, "money", F.coalesce(column, zero)) for label, column in risks],
+        *[line for table, bad in bad_rows for line in (
+            _line(9, "Quality score", f"{table} records", "count", c(table)),
+            _line(9, "Quality score", f"{table} with problems", "count", c(bad)),
+            _line(9, "Quality score", f"{table} with problems pct", "percent", F.round(ratio(c(bad), c(table)), 2)))],
+        *[_line(10, "Revenue at risk", label, "money", F.coalesce(column, zero)) for label, column, _ in risks],
+        *[_line(10, "Revenue at risk", f"{label}: records", "count", c(number)) for label, _, number in risks],
         _line(10, "Revenue at risk", "total", "money",
-              reduce(lambda a, b: a + b, [F.coalesce(column, zero) for _, column in risks])),
+              reduce(lambda a, b: a + b, [F.coalesce(column, zero) for _, column, _ in risks])),
     ]
     value = F.col("value_num")
     text = (F.when(value.isNull(), F.lit("N/A"))
             .when(F.col("kind") == "count", F.format_string("%d", value.cast("long")))
             .when(F.col("kind") == "percent", F.concat(value.cast("decimal(24,2)").cast("string"), F.lit("%")))
-            .otherwise(F.concat(F.lit("$ "), F.format_number(F.round(value, 0), 0))))
+            .otherwise(F.concat(F.lit("$ "), F.format_number(F.round(value, 0), 0), F.lit(f" {words.currency}"))))
     return audit_totals(ledger).select(F.inline(F.array(*lines))).withColumn("value_text", text)

@@ -66,8 +66,8 @@ def bound_orders(orders: DataFrame, lineitem: DataFrame) -> DataFrame:
                            f"WHEN o_orderkey % 37 = 0 THEN o_custkey + {FAR_AWAY} "
                            f"ELSE o_custkey END").alias("customer_id"),
                     "product_id",
-                    F.col("o_orderdate").alias("order_date"),
-                    F.expr("CASE WHEN o_orderkey % 43 = 11 THEN 'Cancelled' "
+                    F.expr("CASE WHEN o_orderkey % 79 <> 6 THEN o_orderdate END").alias("order_date"),
+                    F.expr("CASE WHEN o_orderkey % 59 = 4 THEN 'Shipped' WHEN o_orderkey % 43 = 11 THEN 'Cancelled' "
                            "WHEN o_orderstatus = 'F' THEN 'Completed' "
                            "WHEN o_orderstatus = 'O' THEN 'Pending' ELSE 'Processing' END").alias("status"),
                     F.expr("CASE WHEN o_orderkey % 53 = 0 THEN NULL "
@@ -85,7 +85,7 @@ def bound_payments(orders: DataFrame) -> DataFrame:
                "WHEN o_orderkey % 19 = 4 THEN CAST(t - 100.25 AS DECIMAL(12,2)) "
                "WHEN o_orderkey % 31 = 8 THEN CAST(t + 50.50 AS DECIMAL(12,2)) "
                "ELSE t END").alias("payment_amount"),
-        F.expr("CASE WHEN o_orderkey % 13 = 6 THEN 'Failed' "
+        F.expr("CASE WHEN o_orderkey % 67 = 9 THEN 'Refunded' WHEN o_orderkey % 13 = 6 THEN 'Failed' "
                "WHEN o_orderkey % 13 = 9 THEN 'Pending' ELSE 'Paid' END").alias("payment_status"))
     part_payment = orders.where("o_orderkey % 71 = 5").select(
         F.expr("o_orderkey * 2 + 1").alias("payment_id"), F.col("o_orderkey").alias("order_id"),

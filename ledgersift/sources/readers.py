@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -59,6 +60,26 @@ class JdbcSource:
                        "numPartitions": str(self.partitions)}
         return chosen
 
+    def range_query(self, role: str) -> dict[str, str]:
+        """Options of the jdbc source for one role's lowest and highest primary key."""
+        key = PRIMARY_KEYS[role]
+        return {"url": self.url, "query": f"SELECT MIN({key}) AS low, MAX({key}) AS high "
+                                          f"FROM {self.tables.get(role, role)}", **self.properties}
+
+
+def with_key_ranges(source: JdbcSource, ask: Callable[[dict[str, str]], Sequence]) -> JdbcSource:
+    """The source with the key range of every role, so that each table is read by range queries.
+
+    ``ask`` fetches the one row (low, high) of a range query; an empty table has no range.
+    """
+    found = {role: tuple(ask(source.range_query(role))) for role in ROLES if role not in source.key_ranges}
+    return replace(source, key_ranges={**source.key_ranges, **{
+        role: (int(low), int(high)) for role, (low, high) in found.items() if low is not None}})
+
+
+def ask_jdbc(spark: SparkSession) -> Callable[[dict[str, str]], Sequence]:
+    return lambda options: spark.read.format("jdbc").options(**options).load().first()
+
 
 def read_jdbc(spark: SparkSession, source: JdbcSource, **options) -> Ledger:
     return _ledger({r: spark.read.format("jdbc").options(**source.options(r)).load() for r in ROLES}, **options)

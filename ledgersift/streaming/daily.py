@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -12,18 +13,22 @@ from ledgersift.model import Ledger
 from ledgersift.plans.scorecard import quality_score
 
 
+def any_arrival(*streams: DataFrame) -> DataFrame:
+    """One stream of what arrives in several tables, without their columns."""
+    return reduce(DataFrame.unionByName, [s.select(F.lit(True).alias("arrived")) for s in streams])
+
+
 def scorecard_job(arrivals: DataFrame, load: Callable[[], Ledger], path: str, checkpoint: str,
                   run_date: str) -> StreamingQuery:
     """Process all arrivals since the last run, then stop.
 
-    A batch with arrivals audits the ledger as ``load`` reads it then and writes the scorecard
-    under its run date and batch; a repeated batch overwrites its own folder.
+    ``arrivals`` are the new rows of any of the ledger's tables (see ``any_arrival``). A batch with arrivals audits
+    the ledger as ``load`` reads it then. A run date has one scorecard: a later or repeated batch replaces it.
     """
-    def audit(batch: DataFrame, batch_id: int) -> None:
+    def audit(batch: DataFrame, _: int) -> None:
         if batch.isEmpty():
             return
-        scores = quality_score(load()).withColumn("run_date", F.lit(run_date))
-        scores.coalesce(1).write.mode("overwrite").parquet(f"{path}/run_date={run_date}/batch={batch_id}")
+        quality_score(load()).coalesce(1).write.mode("overwrite").parquet(f"{path}/run_date={run_date}")
 
     return (arrivals.writeStream.foreachBatch(audit).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())

@@ -19,8 +19,14 @@ def unpaid_orders(orders: DataFrame, payments: DataFrame, *, within: str = "30 d
     at the same moment count once: they are dropped where they arrive, spread by order and time,
     so an order paid very often does not fill the join's state. Watermarks need zoned timestamps,
     so event times pass through the session's time zone and back.
+
+    ``reason`` is ``no payment in time`` or, for a completed order without a date, which has no deadline and shows
+    up as it arrives, ``undated``.
     """
-    open_orders = (orders.where(F.col("status") == COMPLETED)
+    completed = orders.where(F.col("status") == COMPLETED)
+    undated = completed.where(F.col("order_date").isNull()).select(
+        "order_id", "customer_id", "order_date", "total_amount", F.lit("undated").alias("reason"))
+    open_orders = (completed.where(F.col("order_date").isNotNull())
                    .select("order_id", "customer_id", "total_amount",
                            F.col("order_date").cast("timestamp").alias("ordered_at"))
                    .withWatermark("ordered_at", lateness))
@@ -35,7 +41,8 @@ def unpaid_orders(orders: DataFrame, payments: DataFrame, *, within: str = "30 d
     return (open_orders.join(receipts, in_time, "left_outer")
             .where(F.col("paid_order_id").isNull())
             .select("order_id", "customer_id", F.col("ordered_at").cast("timestamp_ntz").alias("order_date"),
-                    "total_amount"))
+                    "total_amount", F.lit("no payment in time").alias("reason"))
+            .unionByName(undated))
 
 
 def write_unpaid(unpaid: DataFrame, path: str, checkpoint: str) -> StreamingQuery:

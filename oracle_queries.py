@@ -20,8 +20,8 @@ a_orders AS (
   SELECT o_orderkey AS order_id,
          CASE WHEN o_orderkey % 61 = 7 THEN NULL WHEN o_orderkey % 37 = 0 THEN o_custkey + 1000000000
               ELSE o_custkey END AS customer_id,
-         product_id, o_orderdate AS order_date,
-         CASE WHEN o_orderkey % 43 = 11 THEN 'Cancelled' WHEN o_orderstatus = 'F' THEN 'Completed'
+         product_id, CASE WHEN o_orderkey % 79 <> 6 THEN o_orderdate END AS order_date,
+         CASE WHEN o_orderkey % 59 = 4 THEN 'Shipped' WHEN o_orderkey % 43 = 11 THEN 'Cancelled' WHEN o_orderstatus = 'F' THEN 'Completed'
               WHEN o_orderstatus = 'O' THEN 'Pending' ELSE 'Processing' END AS status,
          CASE WHEN o_orderkey % 53 = 0 THEN NULL ELSE CAST(o_totalprice AS DECIMAL(12,2)) END AS total_amount
   FROM orders LEFT JOIN (SELECT l_orderkey, min(l_partkey) AS product_id FROM lineitem GROUP BY l_orderkey) l
@@ -34,7 +34,7 @@ a_payments AS (
               WHEN o_orderkey % 19 = 4 THEN CAST(o_totalprice AS DECIMAL(12,2)) - 100.25
               WHEN o_orderkey % 31 = 8 THEN CAST(o_totalprice AS DECIMAL(12,2)) + 50.50
               ELSE CAST(o_totalprice AS DECIMAL(12,2)) END AS DECIMAL(12,2)) AS payment_amount,
-         CASE WHEN o_orderkey % 13 = 6 THEN 'Failed' WHEN o_orderkey % 13 = 9 THEN 'Pending' ELSE 'Paid' END
+         CASE WHEN o_orderkey % 67 = 9 THEN 'Refunded' WHEN o_orderkey % 13 = 6 THEN 'Failed' WHEN o_orderkey % 13 = 9 THEN 'Pending' ELSE 'Paid' END
            AS payment_status
   FROM orders WHERE o_orderkey % 23 <> 1
   UNION ALL
@@ -58,10 +58,10 @@ mismatch AS (
     AND abs(p.payment_amount - o.total_amount) > 0),
 inactive AS (SELECT o.*, pr.product_name, pr.price, pr.active
   FROM a_orders o JOIN a_products pr ON pr.product_id = o.product_id WHERE pr.active = FALSE),
-bad_customers AS (SELECT * FROM a_customers WHERE name IS NULL OR email IN (SELECT email FROM dup_emails)),
-bad_orders AS (SELECT * FROM a_orders o WHERE total_amount IS NULL
-  OR NOT EXISTS (SELECT 1 FROM a_customers c WHERE c.customer_id = o.customer_id)
-  OR (status = 'Completed' AND NOT EXISTS (SELECT 1 FROM a_payments p WHERE p.order_id = o.order_id))),
+bad_customers AS (SELECT customer_id FROM a_customers WHERE name IS NULL
+  UNION SELECT customer_id FROM a_customers SEMI JOIN dup_emails USING (email)),
+bad_orders AS (SELECT order_id FROM no_customer UNION SELECT order_id FROM unpaid
+  UNION SELECT order_id FROM a_orders WHERE total_amount IS NULL),
 counts AS (
   SELECT 'customers' AS table_name, (SELECT count(*) FROM a_customers) AS total,
          (SELECT count(*) FROM bad_customers) AS bad
@@ -126,7 +126,7 @@ def _groups(columns: str) -> str:
 
 
 IDS = "string_agg(CAST(customer_id AS VARCHAR), ', ' ORDER BY customer_id) AS ids"
-SEEN = "min(created_at) AS first_seen, max(created_at) AS last_seen, CAST(0 AS BIGINT) AS part"
+SEEN = "min(created_at) AS first_seen, max(created_at) AS last_seen"
 GROUP_N = f"email, {n('count(*)')} AS n, {n('count(*) - 1')} AS n_extra"
 DIFF_PCT = """CAST(CASE WHEN total_amount <> 0 THEN
     CAST((20000 * CAST(abs(diff) * 100 AS BIGINT) + CAST(total_amount * 100 AS BIGINT))
@@ -179,8 +179,13 @@ REPORT_LINES = [
     (9, "Quality score", "orders", "percent", "SELECT score FROM scores WHERE table_name = 'orders'"),
     (9, "Quality score", "payments", "percent", "SELECT score FROM scores WHERE table_name = 'payments'"),
     (9, "Quality score", "global", "percent", f"SELECT {MEAN} FROM scores"),
-    *[(10, "Revenue at risk", c, "money", f"SELECT coalesce(amount, 0) FROM risk WHERE category = '{c}'")
-      for c in ("Completed orders without payment", "Underpaid orders", "Overpaid orders", "Orphan payments")],
+    *[(9, "Quality score", f"{t} {metric}", kind, f"SELECT {value} FROM scores WHERE table_name = '{t}'")
+      for t in ("customers", "orders", "payments")
+      for metric, kind, value in (("records", "count", "total"), ("with problems", "count", "bad"),
+                                  ("with problems pct", "percent", "pct"))],
+    *[(10, "Revenue at risk", f"{c}{more}", kind, f"SELECT {value} FROM risk WHERE category = '{c}'")
+      for c in ("Completed orders without payment", "Underpaid orders", "Overpaid orders", "Orphan payments")
+      for more, kind, value in (("", "money", "coalesce(amount, 0)"), (": records", "count", "n"))],
     (10, "Revenue at risk", "total", "money", "SELECT sum(amount) FROM risk"),
 ]
 
@@ -192,7 +197,7 @@ def _report() -> str:
     return audit("""SELECT *, CASE WHEN value_num IS NULL THEN 'N/A'
         WHEN kind = 'count' THEN CAST(CAST(value_num AS BIGINT) AS VARCHAR)
         WHEN kind = 'percent' THEN CAST(value_num AS VARCHAR) || '%'
-        ELSE '$ ' || format('{:,}', CAST(round(value_num) AS BIGINT)) END AS value_text FROM lines""",
+        ELSE '$ ' || format('{:,}', CAST(round(value_num) AS BIGINT)) || ' COP' END AS value_text FROM lines""",
                  SCORES, lines)
 
 
@@ -217,7 +222,7 @@ CUT = "TIMESTAMP '1998-07-01 00:00:00'"
 def _as_of(alias: str, cut: str | None) -> str:
     """Scorecard counts of the ledger before a moment, as steps named with a prefix."""
     def before(table: str, column: str) -> str:
-        where = f" WHERE {column} < {cut}" if cut else ""
+        where = f" WHERE {column} < {cut} OR {column} IS NULL" if cut else ""
         return f"{alias}_{table} AS (SELECT * FROM a_{table}{where})"
     return f"""
 {before('customers', 'created_at')}, {before('orders', 'order_date')}, {before('payments', 'payment_date')},
@@ -244,8 +249,9 @@ FLAG_NAMES = ("no_customer", "no_payment", "amount_mismatch", "null_total", "ina
 
 def oracles() -> dict[str, str]:
     return {
-        "a01_duplicate_groups": _groups(f"{GROUP_N}, {IDS}, "
-                                        f"string_agg(name, ', ' ORDER BY customer_id) AS names, {SEEN}"),
+        "a01_duplicate_groups": _groups(f"{GROUP_N}, {SEEN}"),
+        "a01_duplicate_members": audit("""SELECT email, customer_id, name FROM a_customers
+            WHERE email IN (SELECT email FROM dup_emails)"""),
         "a01_duplicate_groups_export": _groups(f"{GROUP_N}, {IDS}, {SEEN}"),
         "a01_duplicate_names_report": _groups(
             f"email, {n('count(*)')} AS n, string_agg(name, ' | ' ORDER BY customer_id) AS names"),
@@ -335,8 +341,9 @@ def oracles() -> dict[str, str]:
         "b11_score_vs_target": audit(f"""SELECT table_name, score, CAST(98 AS DOUBLE) AS target,
             CAST(CAST(score AS DECIMAL(10,2)) - 98.00 AS DOUBLE) AS gap, score >= 98 AS met
             FROM (SELECT table_name, score FROM scores UNION ALL SELECT 'global', {MEAN} FROM scores)""", SCORES),
-        "b12_score_alerts": audit("""SELECT table_name, score, CAST(95 AS DOUBLE) AS threshold FROM scores
-            WHERE score < 95""", SCORES),
+        "b12_score_alerts": audit("""SELECT table_name, score, CAST(95 AS DOUBLE) AS threshold
+            FROM (SELECT table_name, score FROM scores UNION ALL SELECT 'global', mean_score FROM overall)
+            WHERE score < 95""", SCORES, f"overall AS (SELECT {MEAN} AS mean_score FROM scores)"),
         "c01_risk_shares": audit(f"""SELECT category, {n('n')} AS n, {money('amount')} AS amount,
             CAST((2000 * CAST(amount * 100 AS HUGEINT) + (SELECT CAST(amount * 100 AS HUGEINT) FROM total_risk))
               // (2 * (SELECT CAST(amount * 100 AS HUGEINT) FROM total_risk)) AS DOUBLE) / 10 AS share_pct
@@ -381,7 +388,9 @@ def oracles() -> dict[str, str]:
             b.bad AS bad_before, a.bad AS bad_after
             FROM old_scores b FULL JOIN now_scores a ON a.table_name = b.table_name""",
                                   _as_of("old", CUT), _as_of("now", None)),
-        "f10_stream_unpaid": audit("""SELECT order_id, customer_id, order_date, total_amount FROM a_orders o
+        "f10_stream_unpaid": audit("""SELECT order_id, customer_id, order_date, total_amount,
+              'undated' AS reason FROM a_orders WHERE status = 'Completed' AND order_date IS NULL
+            UNION ALL SELECT order_id, customer_id, order_date, total_amount, 'no payment in time' FROM a_orders o
             WHERE status = 'Completed'
               AND order_date + INTERVAL 30 DAY < (SELECT least(
                 (SELECT max(order_date) FROM a_orders WHERE status = 'Completed'),
@@ -389,8 +398,10 @@ def oracles() -> dict[str, str]:
               AND NOT EXISTS (SELECT 1 FROM a_payments p WHERE p.order_id = o.order_id
                 AND p.payment_date >= o.order_date AND p.payment_date <= o.order_date + INTERVAL 30 DAY)"""),
         "n01_document_duplicates": f"""SELECT sha256(text) AS text_key, {n('count(*)')} AS n,
-            {n('count(*) - 1')} AS n_extra, string_agg(CAST(doc_id AS VARCHAR), ', ' ORDER BY doc_id) AS ids,
-            CAST(0 AS BIGINT) AS part FROM documents GROUP BY text HAVING count(*) > 1""",
+            {n('count(*) - 1')} AS n_extra FROM documents WHERE text IS NOT NULL
+            GROUP BY text HAVING count(*) > 1""",
+        "n01_document_duplicate_members": """SELECT sha256(text) AS text_key, doc_id FROM documents
+            WHERE text IN (SELECT text FROM documents GROUP BY text HAVING count(*) > 1)""",
         "n03_documents_without_labels": """SELECT doc_id, lang, source, n_chars, 'no label' AS problem
             FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)""",
         "n05_orders_without_lines": f"""SELECT o_orderstatus, {n('count(*)')} AS n FROM orders o

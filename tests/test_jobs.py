@@ -19,8 +19,8 @@ from ledgersift.plans.catalogue import CHECKS, EXPORTS, Check
 from ledgersift.session import shared_dir
 from ledgersift.sinks.runner import failed, run_all
 from ledgersift.sinks.writers import dated_path, write_result, write_split
-from ledgersift.sources.readers import JdbcSource, read_csv, read_parquet, read_tables
-from ledgersift.streaming.daily import scorecard_job
+from ledgersift.sources.readers import JdbcSource, read_csv, read_parquet, read_tables, with_key_ranges
+from ledgersift.streaming.daily import any_arrival, scorecard_job
 from ledgersift.streaming.unmatched import unpaid_orders, write_unpaid
 
 DAY = date(2024, 1, 15)
@@ -110,6 +110,23 @@ def test_jdbc_options_split_by_primary_key():
     assert "partitionColumn" not in source.options("payments")
 
 
+def test_jdbc_ranges_are_asked_for_every_role():
+    asked = []
+
+    def ask(options):
+        asked.append(options["query"])
+        return (None, None) if "products" in options["query"] else (5, 900)
+
+    plain = JdbcSource("jdbc:postgresql://db/ledger", {"user": "u"}, {"orders": "sales.orders"})
+    source = with_key_ranges(plain, ask)
+    assert "SELECT MIN(order_id) AS low, MAX(order_id) AS high FROM sales.orders" in asked and len(asked) == 4
+    for role in ("customers", "orders", "payments"):
+        assert source.options(role)["numPartitions"] == "64" and source.options(role)["upperBound"] == "901"
+    assert "numPartitions" not in source.options("products")
+    full = with_key_ranges(plain, lambda options: (5, 900))
+    assert all("numPartitions" in full.options(role) for role in ROLE_SCHEMAS)
+
+
 def test_controls(spark, ledger):
     assert [r["order_id"] for r in check_domain(ledger.orders, "status", ["Completed", "Pending"]).collect()] == [8]
     nulls = ledger.orders.withColumn("status", F.lit(None).cast("string"))
@@ -160,7 +177,24 @@ def test_daily_job_audits_only_when_files_arrived(spark, ledger, tmp_path):
     assert run().count() == 3
     assert run().count() == 3
     ledger.orders.write.mode("append").parquet(arrivals)
-    assert run().count() == 6
+    assert run().count() == 3
+    assert [str(d) for (d,) in tuples(run().select("run_date").distinct())] == ["2024-01-15"]
+
+
+def test_daily_job_starts_on_arrivals_in_any_table(spark, ledger, tmp_path):
+    for role in ("customers", "payments"):
+        getattr(ledger, role).limit(0 if role == "payments" else 10).write.parquet(str(tmp_path / role))
+    streams = [spark.readStream.schema(ROLE_SCHEMAS[r]).parquet(str(tmp_path / r)) for r in ("customers", "payments")]
+    out = str(tmp_path / "out")
+    scorecard_job(any_arrival(*streams), lambda: ledger, out, str(tmp_path / "state"), "2024-01-15").awaitTermination()
+    assert spark.read.parquet(out).count() == 3
+
+
+def test_as_of_keeps_undated_rows(spark):
+    rows = [(1, 1, 1, None, "Completed", D("5.00")), (2, 1, 1, datetime(2024, 1, 2), "Completed", D("5.00")),
+            (3, 1, 1, datetime(2024, 3, 2), "Completed", D("5.00"))]
+    early = history.as_of(ledger_of(spark, orders=rows), "2024-02-01 00:00:00")
+    assert sorted(tuples(early.orders, "order_id")) == [(1,), (2,)]
 
 
 def test_streamed_unpaid_orders_wait_for_the_watermark(spark, tmp_path):
@@ -179,10 +213,11 @@ def test_streamed_unpaid_orders_wait_for_the_watermark(spark, tmp_path):
         return datetime(2024, month, d)
 
     first = [(1, 1, 1, at(1, 1), "Completed", D("5.00")), (2, 1, 1, at(1, 2), "Completed", D("5.00")),
-             (3, 1, 1, at(1, 2), "Pending", D("5.00")), (9, 1, 1, at(1, 5), "Completed", D("1.00"))]
-    assert arrive(first, [(1, 1, at(1, 3), D("5.00"), "Failed"), (2, 9, at(1, 5), D("1.00"), "Paid")]) == []
+             (3, 1, 1, at(1, 2), "Pending", D("5.00")), (9, 1, 1, at(1, 5), "Completed", D("1.00")),
+             (5, 1, 1, None, "Completed", D("2.00"))]  # undated: shows up as it arrives
+    assert arrive(first, [(1, 1, at(1, 3), D("5.00"), "Failed"), (2, 9, at(1, 5), D("1.00"), "Paid")]) == [5]
     later = [(10, 1, 1, at(3, 1), "Completed", D("1.00"))]
-    assert arrive(later, [(3, 10, at(3, 1), D("1.00"), "Paid")]) == [2]
+    assert arrive(later, [(3, 10, at(3, 1), D("1.00"), "Paid")]) == [2, 5]
 
 
 def test_projection_by_period(spark, ledger):

@@ -7,7 +7,7 @@ import pytest
 from fixture import tuples
 from pyspark.sql import functions as F
 
-from ledgersift.operators.duplicates import duplicate_groups
+from ledgersift.operators.duplicates import duplicate_groups, duplicate_members
 from ledgersift.operators.skew import SkewPolicy, expand, hot_keys, match, resolve
 
 SPLIT = SkewPolicy(rows_per_task=20, max_hot_keys=3)
@@ -91,22 +91,23 @@ def test_hot_rows_spread_over_tasks(spark, tables):
         assert max(n for _, n in sizes) < 200
 
 
-def test_hot_group_is_listed_whole_in_blocks(spark):
+def test_members_of_a_hot_group_are_rows(spark):
     rows = [(i, "shared" if i % 3 == 0 else f"k{i // 2}", f"n{i}") for i in range(300)]
     df = spark.createDataFrame(rows, "id long, k string, name string")
+    size = Counter(k for _, k, _ in rows)
     for policy in (SkewPolicy(), SPLIT):
-        groups = duplicate_groups(df, "k", "id", "name", part_size=30, policy=policy)
-        shared = sorted(tuples(groups.where("k = 'shared'"), "part", "n", "ids"))
-        assert len(shared) == 10 and {n for _, n, _ in shared} == {100}
-        listed = [int(i) for _, _, ids in shared for i in ids.split(", ")]
-        assert listed == [i for i in range(300) if i % 3 == 0]
-
-
-def test_text_ids_split_by_hash(spark):
-    df = spark.createDataFrame([(f"id{i}", "same") for i in range(50)], "id string, k string")
-    parts = tuples(duplicate_groups(df, "k", "id", part_size=10), "ids")
-    assert len(parts) > 1
-    assert sorted(i for (ids,) in parts for i in ids.split(", ")) == sorted(f"id{i}" for i in range(50))
+        members = duplicate_members(df, "k", "id", "name", policy)
+        assert sorted(tuples(members)) == sorted((k, i, name) for i, k, name in rows if size[k] > 1)
+
+
+def test_a_group_has_one_row_at_any_size(spark):
+    df = spark.range(10_011).selectExpr("id", "if(id < 10, 'small', 'large') AS k")
+    for listed in (False, True):
+        groups = duplicate_groups(df, "k", "id", listed=listed)
+        assert groups.columns == ["k", "n", "n_extra"] + (["ids"] if listed else [])
+        assert sorted(tuples(groups, "k", "n", "n_extra")) == [("large", 10_001, 10_000), ("small", 10, 9)]
+    text = tuples(duplicate_groups(df.where("k = 'small'"), "k", "id", listed=True), "ids")
+    assert text == [("0, 1, 2, 3, 4, 5, 6, 7, 8, 9",)]
 
 
 @pytest.mark.parametrize("adaptive", ["true", "false"])
