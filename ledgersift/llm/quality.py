@@ -238,7 +238,9 @@ def path_rates(scored: DataFrame) -> DataFrame:
 
     ``scored`` has site, path and p_bad; null sites and paths are groups of their own.
     """
-    paths = scored.groupBy("site", "path").agg(F.count(F.lit(1)).alias("n"), F.sum("p_bad").alias("bad"))
+    # Written once, a row for each path: what follows reads it several times and must not score the texts again.
+    paths = stored(scored.groupBy("site", "path").agg(F.count(F.lit(1)).alias("n"), F.sum("p_bad").alias("bad")),
+                   "paths")
     sites = paths.groupBy("site").agg(F.sum("n").alias("site_n"), F.sum("bad").alias("site_bad"))
     whole = sites.agg((F.sum("site_bad") / F.sum("site_n")).alias("global_rate"))
     rates = sites.join(F.broadcast(whole)).withColumn("own", F.col("site_bad") / F.col("site_n"))  # one row
