@@ -17,7 +17,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgersift.llm.tables import batches_of, only, stored
-from ledgersift.llm.words import ALNUM, NOT_SPACE, U64, grams, mix, slices, text_buffer, word_spans, words
+from ledgersift.llm.words import (
+    ALNUM,
+    NOT_SPACE,
+    U64,
+    grams,
+    mix,
+    slices,
+    text_buffer,
+    word_spans,
+    words,
+    words_and_beginnings,
+)
 
 MAX_LABELS = 16_000  # labelled documents the classifier is fitted on, the least by hash of their id
 MAX_TERMS = 1_500  # distinct words and word beginnings of one labelled document in the fit, the least by hash
@@ -45,8 +56,7 @@ class Model:
 
 
 def _sums(flags: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    total = np.concatenate(([0], np.cumsum(flags)))
-    return (total[offsets[1:]] - total[offsets[:-1]]).astype(np.float64)
+    return np.diff(np.searchsorted(np.flatnonzero(flags), offsets)).astype(np.float64)
 
 
 def shapes(column: pa.Array) -> np.ndarray:
@@ -61,7 +71,7 @@ def shapes(column: pa.Array) -> np.ndarray:
     same[1:] = hashes[1:] == hashes[:-1]
     symbol_end = _SYMBOLS[body[ends - 1]] if len(ends) else np.zeros(0, dtype=bool)
     all_upper = _UPPER[body[starts]] & _UPPER[body[np.minimum(starts + 1, ends - 1)]] if len(ends) else symbol_end
-    distinct = np.array([len(np.unique(hashes[a:b])) for a, b in zip(first[:-1], first[1:], strict=True)], float)
+    distinct = np.array([len(np.unique(hashes[a:b], sorted=False)) for a, b in zip(first[:-1], first[1:], strict=True)], float)
     out = [_sums(_SYMBOLS[body], offsets) / size, _sums(_UPPER[body], offsets) / size,
            _sums(_DIGIT[body], offsets) / size, _sums(_BREAK[body], offsets) / n_words,
            _sums(same, first) / n_words, _sums(symbol_end, first) / n_words, _sums(all_upper, first) / n_words,
@@ -72,8 +82,7 @@ def shapes(column: pa.Array) -> np.ndarray:
 
 def _terms(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Two hashes for each word, its own and that of its beginning, and the index of each row's first."""
-    whole, first = words(column, ALNUM)
-    start, _ = words(column, ALNUM, PREFIX)
+    whole, start, first = words_and_beginnings(column, ALNUM, PREFIX)
     both = np.empty(2 * len(whole), dtype=U64)
     both[::2], both[1::2] = whole, mix(start, 5)
     return both, 2 * first
@@ -122,6 +131,20 @@ def _gain(bad_with: str, n: float, bad: float) -> Column:
                 + part((n - bad) - (times - hit), (n - bad) * (1 - rate)))
 
 
+def _summing(index: np.ndarray, n: int):
+    """The order that brings equal indices together, and a function that sums values so ordered by index."""
+    order = np.argsort(index, kind="stable")
+    starts = np.flatnonzero(np.diff(index[order], prepend=-1))
+    keys = index[order][starts]
+
+    def sums(values: np.ndarray) -> np.ndarray:
+        out = np.zeros(n)
+        if len(starts):
+            out[keys] = np.add.reduceat(values, starts)
+        return out
+    return order, sums
+
+
 def _logistic(rows: np.ndarray, cols: np.ndarray, shape: np.ndarray, n_cols: int, target: np.ndarray, steps: int = 600,
               decay: float = 2e-5) -> tuple[np.ndarray, np.ndarray, float]:
     """Regularised logistic regression on word presence and shape, by Adam over the whole sample."""
@@ -130,10 +153,13 @@ def _logistic(rows: np.ndarray, cols: np.ndarray, shape: np.ndarray, n_cols: int
     w[-1] = np.log((target.sum() + 1) / (n - target.sum() + 1))
     m, v = np.zeros_like(w), np.zeros_like(w)
     weight = np.where(target > 0, 3.0, 1.0) / n  # a bad document let through costs more than a good one lost
+    by_row, row_sums = _summing(rows, n)
+    by_col, col_sums = _summing(cols, n_cols)
+    cols, rows = cols[by_row].astype(np.intp), rows[by_col].astype(np.intp)
     for step in range(1, steps + 1):
-        z = np.bincount(rows, w[cols], n) + shape @ w[n_cols:-1] + w[-1]
+        z = row_sums(w[cols]) + shape @ w[n_cols:-1] + w[-1]
         error = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - target) * weight
-        g = np.concatenate((np.bincount(cols, error[rows], n_cols), shape.T @ error, [error.sum()])) + decay * w
+        g = np.concatenate((col_sums(error[rows]), shape.T @ error, [error.sum()])) + decay * w
         g[-1] -= decay * w[-1]
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         w -= 0.05 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-9)
@@ -189,11 +215,15 @@ def evidence(column: pa.Array, model: Model) -> np.ndarray:
     out = np.clip((shapes(column) - model.centre) / model.scale, -8, 8) @ model.shape_weights + model.bias
     hashes, first = _terms(column)
     if len(model.vocabulary) and len(hashes):
-        place = np.searchsorted(model.vocabulary, hashes)
+        leading = np.zeros(1 << 16, dtype=bool)  # most words are told apart from the vocabulary by their first bits
+        leading[(model.vocabulary >> U64(48)).astype(np.int64)] = True
+        hit = np.flatnonzero(leading[(hashes >> U64(48)).astype(np.int64)])
+        place = np.searchsorted(model.vocabulary, hashes[hit])
         place[place == len(model.vocabulary)] = 0
-        hit = np.flatnonzero(model.vocabulary[place] == hashes)
+        same = model.vocabulary[place] == hashes[hit]
+        hit, place = hit[same], place[same]
         row = np.searchsorted(first, hit, side="right") - 1
-        once = np.unique(row * len(model.vocabulary) + place[hit])
+        once = np.unique(row * len(model.vocabulary) + place)
         row, place = once // len(model.vocabulary), once % len(model.vocabulary)
         for head in range(2):
             out[:, head] += np.bincount(row, model.word_weights[place, head], len(out))
@@ -253,38 +283,57 @@ def path_rates(scored: DataFrame) -> DataFrame:
     return placed.join(F.broadcast(strength))  # one row
 
 
+def _scored(docs: DataFrame, model: Model, text_col: str, site_col: str, path_col: str, *more: Column) -> DataFrame:
+    """(__site, __path, __score, __p) of each document, and ``more`` columns."""
+    return (docs.select(*more, F.col(f"`{site_col}`").cast("string").alias("__site"),
+                        F.col(f"`{path_col}`").cast("string").alias("__path"),
+                        scorer(model)(F.col(f"`{text_col}`")).alias("__score")).withColumn("__p", _bad("__score")))
+
+
+def _rates(scored: DataFrame) -> DataFrame:
+    rates = path_rates(scored.select(F.col("__site").alias("site"), F.col("__path").alias("path"),
+                                     F.col("__p").alias("p_bad")))
+    return rates.withColumnsRenamed({"site": "__of_site", "path": "__of_path"}
+                                    | {c: f"__{c}" for c in ("n", "bad", "global_rate", "site_rate", "strength")})
+
+
+def _verdict() -> Column:
+    """The verdict on a document whose score stands beside its path's rates."""
+    others = F.greatest(F.col("__bad") - F.col("__p"), F.lit(0.0))
+    rate = ((others + F.col("__strength") * F.col("__site_rate"))
+            / (F.greatest(F.col("__n") - 1, F.lit(0)) + F.col("__strength")))
+    bad = _sigmoid(_logit(F.col("__p")) + _logit(rate) - _logit(F.col("__global_rate")))
+    return F.struct(_sigmoid(F.col("__score.toxic")).alias("toxic"), _sigmoid(F.col("__score.poor")).alias("poor"),
+                    rate.alias("path_rate"), bad.alias("bad"), (bad < 0.5).alias("keep"))
+
+
 def judge(docs: DataFrame, model: Model, text_col: str = "text", site_col: str = "source",
           path_col: str = "lang") -> DataFrame:
     """``docs`` with ``__verdict``: toxic and poor (chances), path_rate, bad (chance given the path) and keep.
 
     Null and empty texts are judged by their (empty) shape. Documents are scored twice, once for the rates and once
-    with them at hand, so that no text is shuffled: a text meets its path's rate in one join by site and path.
+    with them at hand, so that no text is shuffled or written: a text meets its path's rate in one join by site and
+    path.
     """
-    score = scorer(model)
-    scored = (docs.select(F.col(f"`{site_col}`").cast("string").alias("site"),
-                          F.col(f"`{path_col}`").cast("string").alias("path"),
-                          score(F.col(f"`{text_col}`")).alias("score"))
-              .select("site", "path", _bad("score").alias("p_bad")))
-    rates = path_rates(scored).withColumnsRenamed({c: f"__{c}" for c in (
-        "site", "path", "n", "bad", "global_rate", "site_rate", "strength")})
-    met = docs.join(rates, F.col(f"`{site_col}`").cast("string").eqNullSafe(F.col("__site"))
-                    & F.col(f"`{path_col}`").cast("string").eqNullSafe(F.col("__path")), "left")
-    met = met.withColumn("__score", score(F.col(f"`{text_col}`"))).withColumn("__p", _bad("__score"))
-    others = F.greatest(F.col("__bad") - F.col("__p"), F.lit(0.0))
-    rate = ((others + F.col("__strength") * F.col("__site_rate"))
-            / (F.greatest(F.col("__n") - 1, F.lit(0)) + F.col("__strength")))
-    bad = _sigmoid(_logit(F.col("__p")) + _logit(rate) - _logit(F.col("__global_rate")))
-    verdict = F.struct(_sigmoid(F.col("__score.toxic")).alias("toxic"), _sigmoid(F.col("__score.poor")).alias("poor"),
-                       rate.alias("path_rate"), bad.alias("bad"), (bad < 0.5).alias("keep"))
-    return met.withColumn("__verdict", verdict).drop(*rates.columns, "__score", "__p")
+    rates = _rates(_scored(docs, model, text_col, site_col, path_col))
+    met = docs.join(rates, F.col(f"`{site_col}`").cast("string").eqNullSafe(F.col("__of_site"))
+                    & F.col(f"`{path_col}`").cast("string").eqNullSafe(F.col("__of_path")), "left")
+    met = met.withColumn("__score", scorer(model)(F.col(f"`{text_col}`"))).withColumn("__p", _bad("__score"))
+    return met.withColumn("__verdict", _verdict()).drop(*rates.columns, "__score", "__p")
 
 
 def verdicts(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
              site_col: str = "source", path_col: str = "lang") -> DataFrame:
-    """One row per document: doc_id, toxic, poor, path_rate, bad, keep."""
-    judged = judge(docs.select(*{f"`{c}`" for c in (id_col, text_col, site_col, path_col)}),
-                   fit(docs, labels, id_col, text_col), text_col, site_col, path_col)
-    return judged.select(F.col(f"`{id_col}`").alias("doc_id"), "__verdict.*")
+    """One row per document: doc_id, toxic, poor, path_rate, bad, keep.
+
+    Without texts in the result, documents are scored once: their scores are written, a few bytes each.
+    """
+    model = fit(docs, labels, id_col, text_col)
+    scored = stored(_scored(docs, model, text_col, site_col, path_col, F.col(f"`{id_col}`").alias("__id")), "scores")
+    rates = _rates(scored)
+    met = scored.join(rates, F.col("__site").eqNullSafe(F.col("__of_site"))
+                      & F.col("__path").eqNullSafe(F.col("__of_path")), "left")
+    return met.select(F.col("__id").alias("doc_id"), _verdict().alias("__verdict")).select("doc_id", "__verdict.*")
 
 
 def accepted(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",

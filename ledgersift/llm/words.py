@@ -97,30 +97,37 @@ def word_spans(body: np.ndarray, offsets: np.ndarray, inside: np.ndarray) -> tup
     return starts, ends
 
 
-def words(column: pa.Array, inside: np.ndarray = NOT_SPACE, prefix: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words in order, and for each row the index of its first word (one more at the end).
-
-    With ``prefix``, the hashes are of the words' first so many bytes.
-    """
+def _hashed(column: pa.Array, inside: np.ndarray, prefixes: tuple[int, ...]) -> tuple[list[np.ndarray], np.ndarray]:
+    """For each prefix (0: the whole word) the hashes of all words, and the index of each row's first word."""
     body, offsets = text_buffer(column)
-    found, first = [], []
+    found, first = [[np.zeros(0, U64)] for _ in prefixes], [np.zeros(0, np.int64)]
     for a, b in _cuts(body, offsets, inside):
         part = body[a:b]
         borders = offsets[(offsets >= a) & (offsets <= b)] - a
         starts, ends = word_spans(part, borders, inside)
         first.append(starts + a)
-        if prefix:
-            ends = np.minimum(ends, starts + prefix)
         if len(starts):
             powers = _power_table(_BASE, len(part))[:len(part)]
+            scale = _power_table(_INVERSE, len(part))[starts]
             total = np.zeros(len(part) + 1, dtype=U64)
             with np.errstate(over="ignore"):
                 np.cumsum(_VALUE[part] * powers, out=total[1:])
-                value = (total[ends] - total[starts]) * _power_table(_INVERSE, len(part))[starts]
-            found.append(mix(value, 1) ^ (ends - starts).astype(U64))
-    starts = np.concatenate(first) if first else np.zeros(0, np.int64)
-    hashes = np.concatenate(found) if found else np.zeros(0, U64)
-    return hashes, np.searchsorted(starts, offsets)
+                for out, prefix in zip(found, prefixes, strict=True):
+                    to = np.minimum(ends, starts + prefix) if prefix else ends
+                    out.append(mix((total[to] - total[starts]) * scale, 1) ^ (to - starts).astype(U64))
+    return [np.concatenate(out) for out in found], np.searchsorted(np.concatenate(first), offsets)
+
+
+def words(column: pa.Array, inside: np.ndarray = NOT_SPACE) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words in order, and for each row the index of its first word (one more at the end)."""
+    (hashes,), first = _hashed(column, inside, (0,))
+    return hashes, first
+
+
+def words_and_beginnings(column: pa.Array, inside: np.ndarray, prefix: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``words``, with the hashes of the words' first ``prefix`` bytes in second place."""
+    (hashes, beginnings), first = _hashed(column, inside, (0, prefix))
+    return hashes, beginnings, first
 
 
 def grams(hashes: np.ndarray, size: int) -> np.ndarray:
