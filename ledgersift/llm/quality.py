@@ -156,10 +156,11 @@ def _logistic(rows: np.ndarray, cols: np.ndarray, shape: np.ndarray, n_cols: int
     by_row, row_sums = _summing(rows, n)
     by_col, col_sums = _summing(cols, n_cols)
     cols, rows = cols[by_row].astype(np.intp), rows[by_col].astype(np.intp)
+    gathered = np.empty(len(cols))  # used again in each step
     for step in range(1, steps + 1):
-        z = row_sums(w[cols]) + shape @ w[n_cols:-1] + w[-1]
+        z = row_sums(np.take(w, cols, out=gathered, mode="clip")) + shape @ w[n_cols:-1] + w[-1]
         error = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - target) * weight
-        g = np.concatenate((col_sums(error[rows]), shape.T @ error, [error.sum()])) + decay * w
+        g = np.concatenate((col_sums(np.take(error, rows, out=gathered, mode="clip")), shape.T @ error, [error.sum()])) + decay * w
         g[-1] -= decay * w[-1]
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         w -= 0.05 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-9)
