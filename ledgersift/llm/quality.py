@@ -132,30 +132,34 @@ def _gain(bad_with: str, n: float, bad: float) -> Column:
 
 
 def _summing(index: np.ndarray, n: int):
-    """The order that brings equal indices together, and a function that sums values so ordered by index."""
-    order = np.argsort(index, kind="stable")
-    starts = np.flatnonzero(np.diff(index[order], prepend=-1))
-    keys = index[order][starts]
+    """A function that sums values by their index, which comes sorted."""
+    starts = np.flatnonzero(np.diff(index, prepend=-1))
+    keys = index[starts]
 
     def sums(values: np.ndarray) -> np.ndarray:
         out = np.zeros(n)
         if len(starts):
             out[keys] = np.add.reduceat(values, starts)
         return out
-    return order, sums
+    return sums
 
 
 def _logistic(rows: np.ndarray, cols: np.ndarray, shape: np.ndarray, n_cols: int, target: np.ndarray, steps: int = 600,
               decay: float = 2e-5) -> tuple[np.ndarray, np.ndarray, float]:
-    """Regularised logistic regression on word presence and shape, by Adam over the whole sample."""
+    """Regularised logistic regression on word presence and shape, by Adam over the whole sample.
+
+    ``rows`` (sorted) and ``cols`` are the places where a document has a word.
+    """
     n, k = shape.shape
     w = np.zeros(n_cols + k + 1)
     w[-1] = np.log((target.sum() + 1) / (n - target.sum() + 1))
     m, v = np.zeros_like(w), np.zeros_like(w)
     weight = np.where(target > 0, 3.0, 1.0) / n  # a bad document let through costs more than a good one lost
-    by_row, row_sums = _summing(rows, n)
-    by_col, col_sums = _summing(cols, n_cols)
-    cols, rows = cols[by_row].astype(np.intp), rows[by_col].astype(np.intp)
+    row_sums = _summing(rows, n)
+    by_col = np.argsort(cols, kind="stable")
+    col_sums = _summing(cols[by_col], n_cols)
+    rows = rows[by_col]
+    del by_col
     gathered = np.empty(len(cols))  # used again in each step
     for step in range(1, steps + 1):
         z = row_sums(np.take(w, cols, out=gathered, mode="clip")) + shape @ w[n_cols:-1] + w[-1]
