@@ -191,7 +191,8 @@ def expand(parent: DataFrame, child: DataFrame, pk: str, fk: str, *, how: str,
     Result: all parent columns, ``parent_found``, all child columns, ``child_found``. Column
     names of the two sides must differ. Copies of a hot parent that met no child in their salt
     are removed; a hot parent always has children, so the pair rows stand for it. A given ``hot``
-    must keep that promise for ``left`` and ``full``.
+    must keep that promise for ``left`` and ``full``. Rows with a NULL key match nothing and are
+    spread on both sides.
     """
     hot = _hot(child, fk, policy, hot)
     zero = F.lit(0).cast("long")
@@ -199,10 +200,12 @@ def expand(parent: DataFrame, child: DataFrame, pk: str, fk: str, *, how: str,
     if hot is None:
         spread = F.when(F.col(fk).isNull(), scatter(spread_by)).otherwise(zero)
         many = child.select("*", found_child, spread.alias("_salt"))
-        one = parent.select("*", found_parent, F.lit(False).alias("_copied"), _always_zero(F.col(pk)).alias("_part"))
+        part = F.when(F.col(pk).isNull(), scatter(parent.columns)).otherwise(_always_zero(F.col(pk)))
+        one = parent.select("*", found_parent, F.lit(False).alias("_copied"), part.alias("_part"))
     else:
         salt = F.coalesce(F.pmod(scatter(spread_by), F.col("n_salts").cast("long")), zero)
-        copies = F.sequence(zero, F.coalesce(F.col("n_salts") - 1, F.lit(0)).cast("long"))
+        copies = F.when(F.col(pk).isNull(), F.array(scatter(parent.columns))).otherwise(
+            F.sequence(zero, F.coalesce(F.col("n_salts") - 1, F.lit(0)).cast("long")))
         many = (child.join(F.broadcast(hot), F.col(fk) == F.col("hot_key"), "left")
                 .select(*child.columns, found_child,
                         F.when(F.col(fk).isNull(), scatter(spread_by)).otherwise(salt).alias("_salt")))

@@ -25,29 +25,44 @@ def run_all(spark: SparkSession, ledger: Ledger, folder: str, *, day: date | Non
             sort_details: str = "all") -> DataFrame:
     """Write every export; result: name, rows, path, status ("OK" or "ERROR: ...") per export.
 
-    ``share`` counts hot keys and joins orders with payments once, into the shared folder, and
-    lets the exports read those tables. ``sort_details`` puts detail files in report order
+    ``share`` counts hot keys and joins orders with payments once, into the shared folder, lets
+    the exports read those tables, and removes them when the run ends. ``sort_details`` puts detail files in report order
     (``all``), each part file by itself (``parts``, which needs no shuffle), or leaves them
     (``none``); summaries of a few rows are always in order.
     """
     day = day or date.today()
+    facts = None
     if share:
         try:
-            ledger = share_facts(ledger, f"{shared_dir(spark)}/audit-{uuid.uuid4().hex}")
+            facts = f"{shared_dir(spark)}/audit-{uuid.uuid4().hex}"
+            ledger = share_facts(ledger, facts)
         except Exception as error:  # noqa: BLE001 - each export then works its facts out and fails on its own
             logger.error("nothing is shared: %s", error)
     results = []
-    for name, export in exports.items():
-        path = dated_path(folder, name, day, kind)
-        try:
-            result = export.sorted(ledger, "all" if export.summary else sort_details)
-            rows = write_result(result, path, kind, single_file=export.summary)
-            results.append((name, rows, path, "OK"))
-        except Exception as error:  # noqa: BLE001 - one broken export must not stop the rest
-            logger.error("%s failed: %s", name, error)
-            results.append((name, 0, None, f"ERROR: {error}"))
+    try:
+        for name, export in exports.items():
+            path = dated_path(folder, name, day, kind)
+            try:
+                result = export.sorted(ledger, "all" if export.summary else sort_details)
+                rows = write_result(result, path, kind, single_file=export.summary)
+                results.append((name, rows, path, "OK"))
+            except Exception as error:  # noqa: BLE001 - one broken export must not stop the rest
+                logger.error("%s failed: %s", name, error)
+                results.append((name, 0, None, f"ERROR: {error}"))
+    finally:
+        if facts:
+            _remove(spark, facts)
     return spark.createDataFrame(results, RESULT_SCHEMA)
 
 
+def _remove(spark: SparkSession, folder: str) -> None:
+    """Removes the run's own shared facts; what cannot be removed is only logged."""
+    try:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    except Exception as error:  # noqa: BLE001 - the exports are written already
+        logger.warning("%s is still there: %s", folder, error)
+
+
 def failed(results: DataFrame) -> DataFrame:
     return results.where("status <> 'OK'")
