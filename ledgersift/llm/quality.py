@@ -21,7 +21,6 @@ from ledgersift.llm.words import (
     ALNUM,
     NOT_SPACE,
     U64,
-    grams,
     mix,
     slices,
     text_buffer,
@@ -91,16 +90,12 @@ def _terms(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 def _features(batches):
     for batch in batches:
         for part in slices(batch, "text"):
-            hashes, first = words(part.column("text"), ALNUM)
             terms, at = _terms(part.column("text"))
-            seq = grams(hashes, 3)
-            distinct, kinds = [], []
-            for a, b in zip(first[:-1], first[1:], strict=True):
-                kinds.append(int(seq[a:b - 2].min().view(np.int64)) if b - a > 2 else len(kinds))
+            distinct = []
             for a, b in zip(at[:-1], at[1:], strict=True):
                 distinct.append(np.unique(terms[a:b])[:MAX_TERMS].view(np.int64))
-            yield batches_of(["toxic", "poor", "kind", "shape", "words"],
-                             [part.column("toxic"), part.column("poor"), pa.array(kinds, pa.int64()),
+            yield batches_of(["toxic", "poor", "shape", "words"],
+                             [part.column("toxic"), part.column("poor"),
                               pa.array(list(shapes(part.column("text"))), pa.list_(pa.float64())),
                               pa.array(distinct, pa.list_(pa.int64()))])
 
@@ -175,34 +170,30 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         max_labels: int = MAX_LABELS) -> Model:
     """The classifier, fitted on at most ``max_labels`` labelled documents (labels: doc_id, quality, toxic).
 
-    The sample is bounded, so it may be broadcast. Words are counted and chosen
-    on Spark; the driver gets the chosen words and, of each document, its shape and the chosen words it has. Of near copies in it, told by
-    their least three-word run, one is used. Rows with a null label or id do not count; without labels, all weights
-    are 0 and nothing is rejected.
+    The sample is bounded, so it may be broadcast; each of its rows is used, copies too. Words are counted and chosen
+    on Spark; the driver gets the chosen words and, of each document, its shape and the chosen words it has. Rows with
+    a null label or id do not count; without labels, all weights are 0 and nothing is rejected.
     """
     chosen = (labels.where("doc_id IS NOT NULL AND quality IS NOT NULL AND toxic IS NOT NULL")
               .groupBy("doc_id").agg((F.max("toxic") > 0).cast("double").alias("toxic"),
                                      (F.min("quality") <= 0).cast("double").alias("poor"))
               .orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labels))
     rows = only(docs, doc_id=id_col, text=text_col)
-    found = (rows.join(F.broadcast(chosen), "doc_id").select("text", "toxic", "poor")
-             .mapInArrow(_features, "toxic double, poor double, kind long, shape array<double>, words array<long>"))
-    one = stored(found.groupBy("kind").agg(F.min_by(F.struct("toxic", "poor", "shape", "words"),
-                                                    F.xxhash64("words", "toxic", "poor", "shape")).alias("one"))
-                 .select("one.*"), "features")
-    n, *bad = one.agg(F.count(F.lit(1)), F.sum("toxic"), F.sum("poor")).first()
+    found = stored(rows.join(F.broadcast(chosen), "doc_id").select("text", "toxic", "poor")
+                   .mapInArrow(_features, "toxic double, poor double, shape array<double>, words array<long>"), "features")
+    n, *bad = found.agg(F.count(F.lit(1)), F.sum("toxic"), F.sum("poor")).first()
     n_shape = shapes(pa.array([""])).shape[1]
     if not n:
         return Model(np.zeros(0, U64), np.zeros((0, 2)), np.zeros(n_shape), np.ones(n_shape), np.zeros((n_shape, 2)),
                      np.full(2, -5.0))
-    counted = (one.select("toxic", "poor", F.explode("words").alias("term")).groupBy("term")
+    counted = (found.select("toxic", "poor", F.explode("words").alias("term")).groupBy("term")
                .agg(F.count(F.lit(1)).alias("times"), F.sum("toxic").alias("toxic"), F.sum("poor").alias("poor"))
                .where("times >= 4"))
     picked = [counted.select("term", _gain(head, n, bad[k]).alias("gain")).where("gain > 10.8")
               .orderBy(F.desc("gain"), "term").limit(MAX_FEATURES // 2).select("term").collect()
               for k, head in enumerate(HEADS)]
     vocabulary = np.unique(np.array([r["term"] for rows_ in picked for r in rows_], dtype=np.int64).view(U64))
-    sample = (one.mapInArrow(_places(vocabulary), "toxic double, poor double, shape array<double>, places array<long>")
+    sample = (found.mapInArrow(_places(vocabulary), "toxic double, poor double, shape array<double>, places array<long>")
               .toPandas())
     target = sample[list(HEADS)].to_numpy()
     shape = np.array(sample["shape"].tolist(), dtype=np.float64)

@@ -5,6 +5,7 @@ import hashlib
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from compare import differences, duck
 from pyspark.sql import functions as F
@@ -225,6 +226,18 @@ def test_quality_learns_and_handles_edges(spark, docs):
     assert quality.verdicts(docs, labels.limit(0)).where("NOT keep").count() == 0
 
 
+def test_quality_is_fitted_on_every_labelled_row(spark):
+    """Rows that share a passage are no copies: a fit on one of them would know neither word."""
+    run = " ".join(f"shared{k}" for k in range(30))
+    texts = [f"{run} {'nasty' if k % 2 else 'lovely'} v{k} u{k} t{k}" for k in range(80)]
+    texts += ["foul" if k % 2 else "fine" for k in range(80)]
+    rows = spark.createDataFrame([(k, t, "en", "s", 0, "") for k, t in enumerate(texts)], DOCS)
+    labels = spark.createDataFrame([(k, 1, k % 2) for k in range(160)], "doc_id long, quality int, toxic int")
+    model = quality.fit(rows, labels)
+    toxic = quality.evidence(pa.array([f"{run} nasty", f"{run} lovely", "foul", "fine"]), model)[:, 0]
+    assert toxic[0] > 0 > toxic[1] and toxic[2] > 0 > toxic[3]
+
+
 def test_empty_tables(spark, docs):
     none = docs.limit(0)
     assert near_dups.near_duplicates(none).count() == 0
