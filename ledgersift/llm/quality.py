@@ -30,9 +30,9 @@ from ledgersift.llm.words import (
 )
 
 MAX_LABELS = 16_000  # labelled documents the classifier is fitted on, the least by hash of their id
-MAX_TERMS = 1_500  # distinct words and word beginnings of one labelled document in the fit, the least by hash
 PREFIX = 4  # bytes of a word's beginning
 MAX_FEATURES = 4_096
+TERMS_AT_ONCE = 1 << 16  # words and beginnings in one batch of the fit
 HEADS = ("toxic", "poor")
 _SYMBOLS = np.zeros(256, dtype=bool)
 _SYMBOLS[[33, 35, 36, 37, 38, 42, 64, 94, 123, 124, 125, 126]] = True
@@ -88,31 +88,33 @@ def _terms(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _features(batches):
+    """For each text a row with its shape, and one for each of its distinct words and word beginnings."""
     for batch in batches:
         for part in slices(batch, "text"):
-            terms, at = _terms(part.column("text"))
-            distinct = []
-            for a, b in zip(at[:-1], at[1:], strict=True):
-                distinct.append(np.unique(terms[a:b])[:MAX_TERMS].view(np.int64))
-            yield batches_of(["toxic", "poor", "shape", "words"],
-                             [part.column("toxic"), part.column("poor"),
-                              pa.array(list(shapes(part.column("text"))), pa.list_(pa.float64())),
-                              pa.array(distinct, pa.list_(pa.int64()))])
+            terms, first = _terms(part.column("text"))
+            shape = pa.array(list(shapes(part.column("text"))), pa.list_(pa.float64()))
+            heads = [part.column(head) for head in HEADS]
+            yield batches_of(["row", *HEADS, "shape", "term"],
+                             [part.column("row"), *heads, shape, pa.nulls(part.num_rows, pa.int64())])
+            distinct = [np.unique(terms[a:b]) for a, b in zip(first[:-1], first[1:], strict=True)]
+            owner = pa.array(np.repeat(np.arange(part.num_rows), [len(d) for d in distinct]))
+            found = pa.array(np.concatenate(distinct).view(np.int64))
+            for at in range(0, len(found), TERMS_AT_ONCE):
+                of, term = owner.slice(at, TERMS_AT_ONCE), found.slice(at, TERMS_AT_ONCE)
+                yield batches_of(["row", *HEADS, "shape", "term"],
+                                 [part.column("row").take(of), *[head.take(of) for head in heads],
+                                  pa.nulls(len(of), shape.type), term])
 
 
 def _places(vocabulary: np.ndarray):
-    """The vocabulary's words that each document has, by their place in it."""
+    """The vocabulary's words among the terms, by their place in it."""
     def run(batches):
         for batch in batches:
-            places = []
-            for terms in batch.column("words"):
-                terms = terms.values.to_numpy().view(U64)
-                at = np.searchsorted(vocabulary, terms)
-                at[at == len(vocabulary)] = 0
-                places.append(at[vocabulary[at] == terms] if len(vocabulary) else at[:0])
-            yield batches_of(["toxic", "poor", "shape", "places"],
-                             [batch.column("toxic"), batch.column("poor"), batch.column("shape"),
-                              pa.array(places, pa.list_(pa.int64()))])
+            terms = batch.column("term").to_numpy().view(U64)
+            at = np.searchsorted(vocabulary, terms)
+            at[at == len(vocabulary)] = 0
+            hit = np.flatnonzero(vocabulary[at] == terms) if len(vocabulary) else at[:0]
+            yield batches_of(["row", "place"], [batch.column("row").take(pa.array(hit)), pa.array(at[hit], pa.int64())])
     return run
 
 
@@ -179,28 +181,36 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
                                      (F.min("quality") <= 0).cast("double").alias("poor"))
               .orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labels))
     rows = only(docs, doc_id=id_col, text=text_col)
-    found = stored(rows.join(F.broadcast(chosen), "doc_id").select("text", "toxic", "poor")
-                   .mapInArrow(_features, "toxic double, poor double, shape array<double>, words array<long>"), "features")
-    n, *bad = found.agg(F.count(F.lit(1)), F.sum("toxic"), F.sum("poor")).first()
+    found = stored(rows.join(F.broadcast(chosen), "doc_id")
+                   .select("text", *HEADS, F.monotonically_increasing_id().alias("row"))
+                   .mapInArrow(_features, "row long, toxic double, poor double, shape array<double>, term long"),
+                   "features")
+    one, terms = found.where("term IS NULL").drop("term"), found.where("term IS NOT NULL").drop("shape")
+    n, *bad = one.agg(F.count(F.lit(1)), F.sum("toxic"), F.sum("poor")).first()
     n_shape = shapes(pa.array([""])).shape[1]
     if not n:
         return Model(np.zeros(0, U64), np.zeros((0, 2)), np.zeros(n_shape), np.ones(n_shape), np.zeros((n_shape, 2)),
                      np.full(2, -5.0))
-    counted = (found.select("toxic", "poor", F.explode("words").alias("term")).groupBy("term")
+    counted = (terms.groupBy("term")
                .agg(F.count(F.lit(1)).alias("times"), F.sum("toxic").alias("toxic"), F.sum("poor").alias("poor"))
                .where("times >= 4"))
-    picked = [counted.select("term", _gain(head, n, bad[k]).alias("gain")).where("gain > 10.8")
-              .orderBy(F.desc("gain"), "term").limit(MAX_FEATURES // 2).select("term").collect()
-              for k, head in enumerate(HEADS)]
+    gains = stored(counted.select("term", *[_gain(head, n, bad[k]).alias(head) for k, head in enumerate(HEADS)])
+                   .where(F.greatest(*HEADS) > 10.8), "gains")
+    picked = [gains.where(F.col(head) > 10.8).orderBy(F.desc(head), "term").limit(MAX_FEATURES // 2)
+              .select("term").collect() for head in HEADS]
     vocabulary = np.unique(np.array([r["term"] for rows_ in picked for r in rows_], dtype=np.int64).view(U64))
-    sample = (found.mapInArrow(_places(vocabulary), "toxic double, poor double, shape array<double>, places array<long>")
-              .toPandas())
+    sample = one.toPandas().sort_values("row")
+    hits = terms.select("row", "term").mapInArrow(_places(vocabulary), "row long, place long").toArrow()
     target = sample[list(HEADS)].to_numpy()
     shape = np.array(sample["shape"].tolist(), dtype=np.float64)
     centre, scale = shape.mean(axis=0), np.maximum(shape.std(axis=0), 1e-6)
     shape = np.clip((shape - centre) / scale, -8, 8)
-    rows_ = np.repeat(np.arange(len(sample)), sample["places"].map(len))
-    cols = np.concatenate([np.asarray(x, dtype=np.int64) for x in sample["places"]])
+    rows_ = np.searchsorted(sample["row"].to_numpy(), hits.column("row").to_numpy())
+    cols = hits.column("place").to_numpy()
+    del hits
+    order = np.argsort(rows_, kind="stable")
+    rows_, cols = rows_[order], cols[order]
+    del order
     fitted = [_logistic(rows_, cols, shape, len(vocabulary), target[:, head]) for head in range(2)]
     return Model(vocabulary, np.stack([f[0] for f in fitted], 1), centre, scale,
                  np.stack([f[1] for f in fitted], 1), np.array([f[2] for f in fitted]))

@@ -238,6 +238,21 @@ def test_quality_is_fitted_on_every_labelled_row(spark):
     assert toxic[0] > 0 > toxic[1] and toxic[2] > 0 > toxic[3]
 
 
+def test_quality_is_fitted_on_whole_texts(spark):
+    """A word that tells bad texts is found in texts of many words, whatever its hash."""
+    filler = " ".join(f"{k}w{k}" for k in range(1500))
+    marks = {bad: [f"{name}{k}{name}" for k in range(10)] for bad, name in enumerate(("lovely", "nasty"))}
+    texts = [f"{filler} v{k} {' '.join(marks[k % 2])}" for k in range(40)]
+    rows = spark.createDataFrame([(k, t, "en", "s", 0, "") for k, t in enumerate(texts)], DOCS)
+    labels = spark.createDataFrame([(k, 1, k % 2) for k in range(40)], "doc_id long, quality int, toxic int")
+    model = quality.fit(rows, labels)
+    known = set(model.vocabulary.tolist())
+    hashes, _ = quality.words(pa.array([" ".join(marks[0] + marks[1])]), quality.ALNUM)
+    assert set(hashes.tolist()) <= known
+    toxic = quality.evidence(pa.array(texts), model)[:, 0]
+    assert (toxic[1::2] > 0).all() and (toxic[::2] < 0).all()
+
+
 def test_empty_tables(spark, docs):
     none = docs.limit(0)
     assert near_dups.near_duplicates(none).count() == 0
