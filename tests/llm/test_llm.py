@@ -207,6 +207,21 @@ def test_surrogates_keep_type_and_coreference(spark):
     assert (got[3].text, got[4].text, got[5].text) == (None, "", "plain text 12")
 
 
+def test_secrets_of_any_length_are_replaced_whole(spark):
+    long = "".join(hashlib.sha512(str(k).encode()).hexdigest() + "-" for k in range(40))
+    secrets = ["k3y", "p", "***", "abcde", "x" * 256 + "rest", long]
+    df = spark.createDataFrame([(k, f"set password: {s} and \"token='{s}' end") for k, s in enumerate(secrets)],
+                               "doc_id long, text string")
+    got = {r.doc_id: r for r in pii.replaced(df).collect()}
+    seen = set()
+    for k, secret in enumerate(secrets):
+        first, second = re.fullmatch(r"set password: (\S+) and \"token='(\S+)' end", got[k].text).groups()
+        assert first == second and first not in secrets and (got[k].n_entities, got[k].kinds) == (2, "secret")
+        assert len(first) == (len(secret) if len(secret) >= 6 else 12) and secret[-4:] not in first[-4:]
+        seen.add(first)
+    assert len(seen) == len(secrets)
+
+
 def test_surrogates_are_distinct(spark):
     entities = spark.range(3000).select(F.lit("ssn").alias("kind"), F.format_string(
         "%03d-%02d-%04d", F.col("id") % 10, F.lit(0), F.col("id")).alias("normal"))
