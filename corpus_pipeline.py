@@ -48,7 +48,8 @@ STAGES = [
     ("token_packing", pack_tokens),
 ]
 
-#: SQL cannot fit the classifier, draw the mix or encode; the tests hold each stage against brute force.
+#: SQL cannot fit the classifier, draw the mix or encode. The tests run the stages in order: near copies and token counts
+#: against brute force, the other stages against their operators' own rows (verdicts, leaks, draws).
 ORACLE_SQL = None
 
 

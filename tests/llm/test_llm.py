@@ -2,8 +2,10 @@
 
 import collections
 import hashlib
+import itertools
 import re
 
+import corpus_pipeline
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -14,6 +16,7 @@ from ledgersift.llm import (chat, decontaminate, licenses, line_dedup, mixing, n
                             topk)
 from ledgersift.llm.components import components
 from ledgersift.llm.queries import QUERIES, SQL
+from ledgersift.llm.tables import stored, table
 
 LOWER = {i: i + 32 for i in range(65, 91)}
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, digest string"
@@ -268,6 +271,45 @@ def test_quality_is_fitted_on_whole_texts(spark):
     assert (toxic[1::2] > 0).all() and (toxic[::2] < 0).all()
 
 
+def test_pipeline_stages_in_order(spark, sf_small):
+    """Every stage on the rows that the one before left."""
+    rows, at = {}, table(spark, sf_small, "documents")
+    given = at
+    frames = {}
+    for name, stage in corpus_pipeline.STAGES:
+        frames[name] = at = stored(stage(spark, at, sf_small), name)
+        if name != "token_packing":
+            rows[name] = at.select("doc_id", "text").collect()
+    ids = {name: collections.Counter(r.doc_id for r in found) for name, found in rows.items()}
+    verdicts = quality.verdicts(given, table(spark, sf_small, "labels")).where("keep")
+    assert ids["quality_classifier"] == collections.Counter(r.doc_id for r in verdicts.collect())
+
+    sets = {r.doc_id: {tuple(w[k:k + 5]) for k in range(len(w) - 4)} or ({tuple(w)} if w else set())
+            for r in rows["quality_classifier"] for w in [words(r.text)]}
+    group = {i: i for i in sets}
+    for i, j in itertools.combinations(sorted(sets), 2):
+        a, b = sets[i], sets[j]
+        if a and b and 100 * len(a & b) >= 80 * len(a | b) and group[i] != group[j]:
+            low, high = sorted((group[i], group[j]))
+            group = {k: low if g == high else g for k, g in group.items()}
+    assert set(ids["near_dedup"]) == set(group.values()) and max(ids["near_dedup"].values()) == 1
+
+    leaked = decontaminate.leaks(frames["near_dedup"], table(spark, sf_small, "benchmark")).collect()
+    assert set(ids["benchmark_decontamination"]) == set(ids["near_dedup"]) - {r.doc_id for r in leaked}
+    drawn = mixing.mixture(frames["benchmark_decontamination"]).taken().collect()
+    assert ids["source_mixing"] == collections.Counter({r.doc_id: r.n_draws for r in drawn if r.n_draws})
+
+    encoding = packing.encoder(packing.VOCABULARY).encoding
+    size = collections.Counter()
+    for r in frames["token_packing"].select("doc_ids", "cu_seqlens").collect():
+        for k, doc in enumerate(r.doc_ids):
+            size[doc] += r.cu_seqlens[k + 1] - r.cu_seqlens[k]
+    want = collections.Counter()
+    for r in rows["source_mixing"]:
+        want[r.doc_id] += len(encoding.encode_ordinary(r.text or "")) + 1
+    assert size == want
+
+
 def test_empty_tables(spark, docs):
     none = docs.limit(0)
     assert near_dups.near_duplicates(none).count() == 0
