@@ -37,7 +37,8 @@ def settlements(ledger: Ledger) -> DataFrame:
         return ledger.settled
     payments = ledger.payments.withColumnRenamed("order_id", "paid_order_id")
     pairs = expand(ledger.orders, payments, "order_id", "paid_order_id", how="full",
-                   spread_by=["payment_id"], hot=ledger.hot("payments", "order_id"))
+                   spread_by=["payment_id"], parent_spread_by=["total_amount"],
+                   hot=ledger.hot("payments", "order_id"))
     return (pairs.withColumnRenamed("parent_found", "order_found")
             .withColumnRenamed("child_found", "payment_found"))
 

@@ -185,26 +185,28 @@ def match(child: DataFrame, parent: DataFrame, fk: str, pk: str, *, values: dict
 
 
 def expand(parent: DataFrame, child: DataFrame, pk: str, fk: str, *, how: str,
-           spread_by: Sequence[str], policy: SkewPolicy | None = None, hot: HotKeys = COUNT_THEM) -> DataFrame:
+           spread_by: Sequence[str], policy: SkewPolicy | None = None, hot: HotKeys = COUNT_THEM,
+           parent_spread_by: Sequence[str] = ()) -> DataFrame:
     """Parent joined to its children (``inner``, ``left`` or ``full``), keeping every pair.
 
     Result: all parent columns, ``parent_found``, all child columns, ``child_found``. Column
     names of the two sides must differ. Copies of a hot parent that met no child in their salt
     are removed; a hot parent always has children, so the pair rows stand for it. A given ``hot``
     must keep that promise for ``left`` and ``full``. Rows with a NULL key match nothing and are
-    spread on both sides.
+    spread on both sides: children by ``spread_by``, parents by ``parent_spread_by`` (columns the
+    result needs anyway) and their partition, so that no other column is read for it.
     """
     hot = _hot(child, fk, policy, hot)
-    zero = F.lit(0).cast("long")
+    zero, apart = F.lit(0).cast("long"), scatter([pk, *parent_spread_by])
     found_parent, found_child = F.lit(True).alias("parent_found"), F.lit(True).alias("child_found")
     if hot is None:
         spread = F.when(F.col(fk).isNull(), scatter(spread_by)).otherwise(zero)
         many = child.select("*", found_child, spread.alias("_salt"))
-        part = F.when(F.col(pk).isNull(), scatter(parent.columns)).otherwise(_always_zero(F.col(pk)))
+        part = F.when(F.col(pk).isNull(), apart).otherwise(_always_zero(F.col(pk)))
         one = parent.select("*", found_parent, F.lit(False).alias("_copied"), part.alias("_part"))
     else:
         salt = F.coalesce(F.pmod(scatter(spread_by), F.col("n_salts").cast("long")), zero)
-        copies = F.when(F.col(pk).isNull(), F.array(scatter(parent.columns))).otherwise(
+        copies = F.when(F.col(pk).isNull(), F.array(apart)).otherwise(
             F.sequence(zero, F.coalesce(F.col("n_salts") - 1, F.lit(0)).cast("long")))
         many = (child.join(F.broadcast(hot), F.col(fk) == F.col("hot_key"), "left")
                 .select(*child.columns, found_child,

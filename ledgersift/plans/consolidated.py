@@ -32,7 +32,8 @@ def paid_orders(ledger: Ledger, orders: DataFrame) -> DataFrame:
                   .select("paid_order_id", F.lit(False).alias("paid")))
     attempts = confirmed.unionByName(only_tried, allowMissingColumns=True)
     pairs = expand(orders, attempts, "order_id", "paid_order_id", how="left",
-                   spread_by=["payment_id", "paid_order_id"], hot=ledger.hot("payments", "order_id"))
+                   spread_by=["payment_id", "paid_order_id"], parent_spread_by=["total_amount"],
+                   hot=ledger.hot("payments", "order_id"))
     return (pairs.drop("parent_found", "paid_order_id", "payment_id")
             .withColumnRenamed("child_found", "has_payment")
             .withColumn("paid", F.coalesce("paid", F.lit(False))))

@@ -59,7 +59,7 @@ def test_census_and_report(nothing):
     assert lines[(6, "total difference")] == "N/A"
     assert lines[(9, "orders")] == "N/A"
     assert lines[(9, "global")] == "100.00%"
-    assert lines[(10, "total")] == "$ 0"
+    assert lines[(10, "total")] == "$ 0 COP"
     assert consolidated.error_trend(nothing).count() == 0
 
 

@@ -69,11 +69,19 @@ def test_unpaid_risk_pushes_its_filter_and_skips_names(spark, sf_small):
     assert "LeftAnti" in plan
 
 
-def test_risk_needs_no_customers(spark, sf_small):
-    read = columns_read(plan_of(contract.queries()["a11_revenue_at_risk"](spark, sf_small)))
+@pytest.mark.parametrize("name", ["a11_revenue_at_risk", "b01_revenue_at_risk_total", "b05_risk_by_category",
+                                  "b10_order_vs_paid", "c01_risk_shares", "c04_fix_roi"])
+def test_risk_needs_no_other_tables(spark, sf_small, name):
+    read = columns_read(plan_of(contract.queries()[name](spark, sf_small)))
     assert not {c for c in read if c.startswith(("c_", "p_", "l_"))}
 
 
+def test_cards_need_no_order_lines_and_the_report_reads_them_once(spark, sf_small):
+    assert "l_partkey" not in plan_of(contract.queries()["b04_kpi_cards"](spark, sf_small))
+    report = scans(plan_of(contract.queries()["d06_sectioned_report"](spark, sf_small)))
+    assert sum("l_partkey" in scan for scan in report) == 1
+
+
 def test_report_scans_each_table_a_fixed_number_of_times(spark, sf_small):
     """Customers once by email and once as keys, however many figures are reported."""
     plan = plan_of(contract.queries()["d06_sectioned_report"](spark, sf_small))
