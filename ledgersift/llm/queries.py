@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgersift.llm import chat, decontaminate, licenses, line_dedup, mixing, near_dups, packing, pii, quality, topk
+from ledgersift.llm import (chat, decontaminate, exact_dups, licenses, line_dedup, mixing, near_dups, packing, pii, quality,
+                            topk)
 from ledgersift.llm.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -58,9 +59,14 @@ def op9_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixture(table(spark, sf_dir, "documents")).taken()
 
 
+def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    groups = exact_dups.exact_groups(table(spark, sf_dir, "documents"))
+    return groups.withColumn("text_sha256", F.lower(F.hex("digest"))).drop("digest")
+
+
 QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_surrogates, op2_benchmark_leaks, op3_quality, op4_chat, op5_near_duplicates,
                                          op6_licenses, op7_packed_tokens,
-                                         op8_top_k, op9_mixture, op10_line_dedup)}
+                                         op8_top_k, op9_mixture, op10_line_dedup, op13_exact_dedup)}
 _LOWER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 
 SQL: dict[str, str] = {
@@ -91,4 +97,9 @@ SQL: dict[str, str] = {
         FROM (SELECT doc_id, line, pos, coalesce(doc_id <> keeper, false) AS lost
               FROM lines LEFT JOIN shared USING (key))
         GROUP BY doc_id""",
+    "op13_exact_dedup": """
+        SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(coalesce(d.text, '')) AS text_sha256
+        FROM documents d JOIN (
+            SELECT coalesce(text, '') AS t, max(doc_id) AS keep_id, count(*) AS group_size FROM documents GROUP BY 1)
+          ON t = coalesce(d.text, '')""",
 }
