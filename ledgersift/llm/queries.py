@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgersift.llm import (chat, decontaminate, exact_dups, licenses, line_dedup, mixing, near_dups, packing, pii, quality,
-                            topk)
+from ledgersift.llm import (alignment, chat, decontaminate, exact_dups, licenses, line_dedup, mixing, near_dups, packing, pii,
+                            quality, topk, whitening)
 from ledgersift.llm.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -59,6 +59,14 @@ def op9_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixture(table(spark, sf_dir, "documents")).taken()
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.aligned(table(spark, sf_dir, "documents"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(table(spark, sf_dir, "embeddings"))
+
+
 def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = exact_dups.exact_groups(table(spark, sf_dir, "documents"))
     return groups.withColumn("text_sha256", F.lower(F.hex("digest"))).drop("digest")
@@ -66,7 +74,8 @@ def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_surrogates, op2_benchmark_leaks, op3_quality, op4_chat, op5_near_duplicates,
                                          op6_licenses, op7_packed_tokens,
-                                         op8_top_k, op9_mixture, op10_line_dedup, op13_exact_dedup)}
+                                         op8_top_k, op9_mixture, op10_line_dedup, op11_alignment, op12_whitening,
+                                         op13_exact_dedup)}
 _LOWER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 
 SQL: dict[str, str] = {
