@@ -12,10 +12,11 @@ space behind it, so both start afresh there and the pieces' tokens are those of
 from __future__ import annotations
 
 import hashlib
+import itertools
 import json
 import os
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -33,14 +34,16 @@ PIECE_VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 PIECE_CHARS = 32_768
 #: Fragments that one task composes at once.
 FAN = 8
-#: Words of a task's memory: distinct stretches of text between spaces whose tokens are kept.
-WORDS = 100_000
+#: Words that a worker keeps at least when it forgets those not in use, and characters of text it learns from at once.
+WORDS = 150_000
+LEARN_CHARS = 1 << 20
 #: A pair found in more than 1 / HOT_SHARE of all (document, pair) rows is hot; there are fewer than HOT_SHARE of them.
 HOT_SHARE = 1 << 18
 #: (pair, count) entries that a task sums up before it hands them on.
 HELD_PAIRS = 1 << 21
 
 _BREAK = re.compile(r"(?<=\S) (?=\S)")
+_NOT_ALONE = re.compile(r"^\s|\s\s|\s\Z")
 _I64 = np.int64
 
 
@@ -152,6 +155,11 @@ def _joined(*texts: bytes) -> bytes:
 
 def _text(a: Tokens, b: Tokens) -> bytes:
     """``a1,a2|b1;a3|b2,b3``: decimal ids, put together on bytes."""
+    return _texts(a, b, a.ends[-1:])[0]
+
+
+def _texts(a: Tokens, b: Tokens, borders: np.ndarray) -> list[bytes]:
+    """The text of the groups up to each border, from the border before it; borders are cuts."""
     common = np.intersect1d(a.ends, b.ends, assume_unique=True)
     of_a, of_b = np.searchsorted(common, a.ends), np.searchsorted(common, b.ends)
     group = np.concatenate((of_a, of_b))
@@ -160,11 +168,17 @@ def _text(a: Tokens, b: Tokens) -> bytes:
     side, group = order >= len(of_a), group[order]
     last = np.concatenate((side[1:] != side[:-1], [True])) | np.concatenate((group[1:] != group[:-1], [True]))
     separator = np.where(last, np.where(side, ord(";"), ord("|")), ord(",")).astype(np.uint8)
-    return _decimal(ids, separator).tobytes()[:-1]
+    written, lengths = _decimal(ids, separator)
+    stops = np.concatenate(([0], np.cumsum(lengths)))[np.searchsorted(group, np.searchsorted(common, borders), "right")]
+    out, start = [], 0
+    for stop in stops.tolist():
+        out.append(written[start:stop - 1])
+        start = stop
+    return out
 
 
-def _decimal(ids: np.ndarray, after: np.ndarray) -> np.ndarray:
-    """The bytes of all ids in decimal, each followed by its own byte."""
+def _decimal(ids: np.ndarray, after: np.ndarray) -> tuple[bytes, np.ndarray]:
+    """All ids in decimal, each followed by its own byte, and how many bytes each takes."""
     width = len(str(int(ids.max())))
     out = np.zeros((len(ids), width + 1), np.uint8)
     shown = np.zeros(out.shape, bool)
@@ -173,11 +187,21 @@ def _decimal(ids: np.ndarray, after: np.ndarray) -> np.ndarray:
         out[:, k] = ids // power % 10 + 48
         shown[:, k] = (ids >= power) | (k == width - 1)
     out[:, -1], shown[:, -1] = after, True
-    return out[shown]
+    return out[shown].tobytes(), shown.sum(axis=1)
+
+
+def words_of(text: str) -> list[str]:
+    """The stretches of text between breaks."""
+    return _BREAK.split(text) if _NOT_ALONE.search(text) else text.split(" ")
 
 
 class Pair:
-    """The two tokenizers of one Python worker, with the tokens of words already met."""
+    """The two tokenizers of one Python worker, with what is known of words already met.
+
+    A word is a stretch of text between breaks with the space before it, and begins and ends at a cut, so its groups
+    and links are its own. Of each: A tokens, B tokens, groups (0: its tokens do not give it back), the text of its groups,
+    and the id pairs of its links.
+    """
 
     def __init__(self, byte_vocabulary: str, piece_vocabulary: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -198,52 +222,97 @@ class Pair:
         self.bytes_b = [_piece_bytes(self.b.id_to_piece(i)) for i in range(self.b.get_piece_size())]
         self.length_a = np.array([len(t) for t in self.bytes_a], _I64)
         self.length_b = np.array([len(t) for t in self.bytes_b], _I64)
-        self.known: dict[str, tuple | None] = {}
-
-    def words(self, text: str) -> list[tuple | None]:
-        """For each stretch of the text between breaks (A ids, A ends, B ids, B ends, groups, n_groups, pairs); None where
-        the tokens do not give the text back. Ends count from the space before the stretch, which stands for the
-        break or for the space put before a text.
-        """
-        parts = _BREAK.split(text)
-        if len(self.known) > WORDS:
-            self.known = {}
-        new = [w for w in set(parts) if w not in self.known]
-        if new:
-            encoded = self.a.encode_batch_fast([" " + w for w in new], add_special_tokens=False)
-            for w, a, b in zip(new, encoded, self.b.encode(new, num_threads=1), strict=True):
-                self.known[w] = self._word(w, a.ids, b)
-        return [self.known[w] for w in parts]
-
-    def _word(self, word: str, a: list[int], b: list[int]) -> tuple | None:
-        want = (" " + word).encode()
+        self.known: dict[str, tuple] = {}
+        self.older: dict[str, tuple] = {}
+        #: Documents of a batch: their number, A's ids and B's ids go into one 64-bit sort key.
+        self.doc_bits = 32 + len(self.bytes_a).bit_length()
+        self.most_docs = 1 << (63 - self.doc_bits)
+
+    def encode(self, text: str) -> tuple[Tokens, Tokens] | None:
+        """Both tokenizers' tokens of a space and the text; None where they do not give it back."""
+        want = (" " + text).encode()
+        a = self.a.encode_batch_fast([" " + text], add_special_tokens=False)[0].ids
+        b = self.b.encode(text)
         if b"".join([self.bytes_a[i] for i in a]) != want or b"".join([self.bytes_b[i] for i in b]) != want:
             return None
         a, b = np.array(a, np.int32), np.array(b, np.int32)
-        one, two = Tokens(a, np.cumsum(self.length_a[a])), Tokens(b, np.cumsum(self.length_b[b]))
-        text = _text(one, two)
-        return one, two, text, text.count(b";") + 1, links(one, two), len(want)
-
-    def fragment(self, text: str, start: int) -> tuple[Fragment, bool]:
-        """The fragment of a piece of text whose space is at byte ``start``, and whether its tokens give it back."""
-        words = self.words(text)
-        if any(w is None for w in words):
+        return Tokens(a, np.cumsum(self.length_a[a])), Tokens(b, np.cumsum(self.length_b[b]))
+
+    def learn(self, words: Iterable[str]) -> None:
+        """Makes all these words known. New ones are encoded as one text; words in use stay, others are forgotten in time."""
+        if len(self.known) > WORDS:
+            self.older, self.known = self.known, {}
+        new, single = [], []
+        for w in words:
+            if w not in self.known:
+                if w in self.older:
+                    self.known[w] = self.older[w]
+                else:
+                    (single if w[0].isspace() or w[-1].isspace() else new).append(w)
+        together = self.encode(" ".join(new)) if new else None
+        if together:
+            self._keep(new, *together)
+        else:
+            single += new
+        for w in single:
+            alone = self.encode(w)
+            if alone:
+                self._keep([w], *alone)
+            else:
+                self.known[w] = (0, 0, 0, b"", np.zeros(0, _I64))
+
+    def _keep(self, words: list[str], a: Tokens, b: Tokens) -> None:
+        borders = np.cumsum([1 + len(w.encode()) for w in words])
+        texts, pairs = _texts(a, b, borders), links(a, b)
+        ends = np.searchsorted(np.union1d(a.ends, b.ends), borders, "right").tolist()
+        n_a, n_b, n_groups = (np.diff(np.searchsorted(x, borders, "right"), prepend=0).tolist()
+                              for x in (a.ends, b.ends, np.intersect1d(a.ends, b.ends, assume_unique=True)))
+        start = 0
+        for w, text, stop, *n in zip(words, texts, ends, n_a, n_b, n_groups, strict=True):
+            self.known[w] = (*n, text, pairs[start:stop])
+            start = stop
+
+    def documents(self, texts: list[str]) -> dict[str, list | np.ndarray]:
+        """Whole documents, put together from their words: counts and digests, and each one's id pairs with their number
+        of occurrences, from ``first`` of the document to that of the next. Without tokens all is 0 and ''.
+        """
+        split = [words_of(t) for t in texts]
+        words = list(dict.fromkeys(itertools.chain.from_iterable(split)))
+        self.learn(words)
+        found = [self.known[w] for w in words]
+        number = dict(zip(words, range(len(words)), strict=True))
+        at = np.fromiter(map(number.__getitem__, itertools.chain.from_iterable(split)), _I64)
+        counts = np.array([len(w) for w in split])
+        first, doc = np.concatenate(([0], np.cumsum(counts)))[:-1], np.repeat(np.arange(len(split)), counts)
+        numbers = np.array([w[:3] for w in found], _I64)
+        use = np.logical_and.reduceat(numbers[at, 2] > 0, first)
+        n_a, n_b, n_groups = np.where(use, np.add.reduceat(numbers[at], first).T, 0)
+        written = [w[3] for w in found]
+        ends = (first + counts).tolist()
+        digests = [hashlib.sha256(b";".join([written[k] for k in at[low:high].tolist()])).hexdigest() if ok else ""
+                   for low, high, ok in zip(first.tolist(), ends, use.tolist(), strict=True)]
+        # Each word of a document once, then its pairs, as often as the word occurs.
+        once, times = np.unique(doc[use[doc]] * len(words) + at[use[doc]], return_counts=True)
+        doc, word = np.divmod(once, len(words))
+        n_pairs = np.array([len(w[4]) for w in found])
+        begin = np.cumsum(n_pairs) - n_pairs
+        reps = n_pairs[word]
+        place = np.repeat(begin[word] - (np.cumsum(reps) - reps), reps) + np.arange(reps.sum())
+        key = (np.repeat(doc, reps) << self.doc_bits) | np.concatenate([w[4] for w in found])[place]
+        order = np.argsort(key)
+        key, times = key[order], np.repeat(times, reps)[order]
+        new = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, _I64)
+        times = np.add.reduceat(times, new) if len(key) else times
+        doc, pairs = key[new] >> self.doc_bits, key[new] & ((1 << self.doc_bits) - 1)
+        return {"n_a": n_a, "n_b": n_b, "n_groups": n_groups, "digests": digests, "pairs": pairs, "times": times,
+                "first": np.searchsorted(doc, np.arange(len(split) + 1))}
+
+    def piece(self, text: str, start: int) -> tuple[Fragment, bool]:
+        """The fragment of a piece of a document whose space is at byte ``start``, and whether its tokens give it back."""
+        found = self.encode(text)
+        if found is None:
             return EMPTY, False
-        at = start + np.concatenate(([0], np.cumsum([w[5] for w in words])))[:-1]
-        sides = [Tokens(np.concatenate([w[k].ids for w in words]),
-                        np.concatenate([w[k].ends for w in words]) + np.repeat(at, [len(w[k].ids) for w in words]))
-                 for k in (0, 1)]
-        return fragment(*sides), True
-
-    def document(self, text: str) -> Fragment | None:
-        """A whole document, from its words' own groups; None where the tokens do not give it back."""
-        words = self.words(text)
-        if any(w is None for w in words):
-            return None
-        pairs, times = summed(np.concatenate([w[4] for w in words]))
-        return Fragment(cut=True, closed=b";".join([w[2] for w in words]), n_groups=sum(w[3] for w in words),
-                        n_a=sum(len(w[0].ids) for w in words), n_b=sum(len(w[1].ids) for w in words),
-                        pairs=pairs, times=times)
+        return fragment(*[Tokens(t.ids, t.ends + start) for t in found]), True
 
 
 def _byte_level() -> dict[str, int]:
@@ -325,26 +394,44 @@ def _batched(rows: Iterator[dict], schema: pa.Schema, weight: int) -> Iterator[p
         yield _batch(held, schema)
 
 
-def _first_pass(paths: tuple[str, str], piece_chars: int):
+def _first_pass(paths: tuple[str, str], piece_chars: int) -> Callable:
+    """Finishes documents of ordinary length and cuts the others."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def rows() -> Iterator[dict]:
-            for batch in batches:
-                for at, doc_id, text in zip(*(batch.column(c) for c in ("at", "doc_id", "text")), strict=True):
-                    at, doc_id, text = at.as_py(), doc_id.as_py(), text.as_py()
-                    if not text:
-                        yield _document_row(at, doc_id, None)
-                    elif len(text) <= piece_chars:
-                        yield _document_row(at, doc_id, _pair(paths).document(text))
-                    else:
-                        for part, (place, piece) in enumerate(pieces(text, piece_chars)):
-                            yield dict.fromkeys(_DOCUMENT.names) | {"at": at, "doc_id": doc_id, "part": part,
-                                                                    "place": place, "piece": piece}
-
-        yield from _batched(rows(), _DOCUMENT, 1 << 20)
+        for batch in batches:
+            short, chars, other = [], 0, []
+            for at, doc_id, text in zip(*(batch.column(c).to_pylist() for c in ("at", "doc_id", "text")), strict=True):
+                if not text:
+                    other.append(_document_row(at, doc_id, None))
+                elif len(text) > piece_chars:
+                    other += [dict.fromkeys(_DOCUMENT.names) | {"at": at, "doc_id": doc_id, "part": part, "place": place,
+                                                                "piece": piece}
+                              for part, (place, piece) in enumerate(pieces(text, piece_chars))]
+                else:
+                    short.append((at, doc_id, text))
+                    chars += len(text)
+                    if chars >= LEARN_CHARS or len(short) == _pair(paths).most_docs:
+                        yield _finished(short, paths)
+                        short, chars = [], 0
+            if short:
+                yield _finished(short, paths)
+            yield from _batched(iter(other), _DOCUMENT, 1 << 20)
 
     return run
 
 
+def _finished(short: list[tuple], paths: tuple[str, str]) -> pa.RecordBatch:
+    at, doc_ids, texts = zip(*short, strict=True)
+    one = _pair(paths).documents(list(texts))
+    first = pa.array(one["first"], pa.int32())
+    nothing = {c: pa.nulls(len(short), _DOCUMENT.field(c).type) for c in ("part", "place", "piece")}
+    total = np.concatenate(([0], np.cumsum(one["times"])))[one["first"]]
+    columns = nothing | {"at": pa.array(at, pa.int64()), "doc_id": pa.array(doc_ids, pa.int64()),
+                         "n_links": pa.array(np.diff(total)), "groups_sha256": pa.array(one["digests"], pa.string()),
+                         **{c: pa.array(one[c]) for c in ("n_a", "n_b", "n_groups")},
+                         **{c: pa.ListArray.from_arrays(first, pa.array(one[c])) for c in ("pairs", "times")}}
+    return pa.RecordBatch.from_arrays([columns[c] for c in _DOCUMENT.names], schema=_DOCUMENT)
+
+
 def _fragment_row(at: int, doc_id: int | None, part: int, one: Fragment, faithful: bool) -> dict:
     ends = dict(zip(_OPEN, [x for two in (one.prefix, one.suffix) for t in two for x in (t.ids, t.ends)], strict=True))
     return {"at": at, "doc_id": doc_id, "part": part, "faithful": faithful, "cut": one.cut, "closed": one.closed,
@@ -365,7 +452,7 @@ def _encode_pieces(paths: tuple[str, str]):
         def rows() -> Iterator[dict]:
             for batch in batches:
                 for r in batch.to_pylist():
-                    yield _fragment_row(r["at"], r["doc_id"], r["part"], *_pair(paths).fragment(r["piece"], r["place"]))
+                    yield _fragment_row(r["at"], r["doc_id"], r["part"], *_pair(paths).piece(r["piece"], r["place"]))
 
         yield from _batched(rows(), _FRAGMENT, 1 << 20)
 
