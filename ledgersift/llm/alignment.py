@@ -13,7 +13,6 @@ from __future__ import annotations
 
 import hashlib
 import itertools
-import json
 import os
 import re
 from collections.abc import Callable, Iterable, Iterator
@@ -36,7 +35,9 @@ PIECE_CHARS = 32_768
 FAN = 8
 #: Words that a worker keeps at least when it forgets those not in use, and characters of text it learns from at once.
 WORDS = 150_000
-LEARN_CHARS = 1 << 20
+LEARN_CHARS = 1 << 19
+#: Rows whose texts are Python strings at a time.
+ROWS = 256
 #: A pair found in more than 1 / HOT_SHARE of all (document, pair) rows is hot; there are fewer than HOT_SHARE of them.
 HOT_SHARE = 1 << 18
 #: (pair, count) entries that a task sums up before it hands them on.
@@ -135,9 +136,16 @@ def close(a: Tokens, b: Tokens) -> tuple[bytes, np.ndarray, np.ndarray]:
     return _text(a, b), *summed(links(a, b))
 
 
+def _either(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The values of two ascending arrays, each once, ascending; a stable sort merges two runs."""
+    both = np.concatenate((a, b))
+    both.sort(kind="stable")
+    return both[np.concatenate(([True], both[1:] != both[:-1]))] if len(both) else both
+
+
 def links(a: Tokens, b: Tokens) -> np.ndarray:
     """The id pair of each pair of overlapping tokens: between two ends lie one token of A and one of B."""
-    ends = np.union1d(a.ends, b.ends)
+    ends = _either(a.ends, b.ends)
     return (a.ids[np.searchsorted(a.ends, ends)].astype(_I64) << 32) | b.ids[np.searchsorted(b.ends, ends)]
 
 
@@ -199,8 +207,8 @@ class Pair:
     """The two tokenizers of one Python worker, with what is known of words already met.
 
     A word is a stretch of text between breaks with the space before it, and begins and ends at a cut, so its groups
-    and links are its own. Of each: A tokens, B tokens, groups (0: its tokens do not give it back), the text of its groups,
-    and the id pairs of its links.
+    and links are its own. Of each: A tokens, B tokens, groups (0: its tokens do not give it back), the text of its groups
+    and the id pairs of its links, these as bytes.
     """
 
     def __init__(self, byte_vocabulary: str, piece_vocabulary: str):
@@ -211,13 +219,10 @@ class Pair:
         self.a = Tokenizer.from_file(byte_vocabulary)
         self.a.encode_special_tokens = True
         self.b = sentencepiece.SentencePieceProcessor(model_file=piece_vocabulary)
-        with open(byte_vocabulary, encoding="utf-8") as f:
-            vocabulary = json.load(f)
         decoded = _byte_level()
         tokens = {i: bytes(decoded[c] for c in t) if all(c in decoded for c in t) else t.encode()
                   for t, i in self.a.get_vocab().items()}
-        for special in vocabulary.get("added_tokens", []):
-            tokens[special["id"]] = special["content"].encode()
+        tokens |= {i: added.content.encode() for i, added in self.a.get_added_tokens_decoder().items()}
         self.bytes_a = [tokens.get(i, b"") for i in range(max(tokens) + 1)]
         self.bytes_b = [_piece_bytes(self.b.id_to_piece(i)) for i in range(self.b.get_piece_size())]
         self.length_a = np.array([len(t) for t in self.bytes_a], _I64)
@@ -259,17 +264,17 @@ class Pair:
             if alone:
                 self._keep([w], *alone)
             else:
-                self.known[w] = (0, 0, 0, b"", np.zeros(0, _I64))
+                self.known[w] = (0, 0, 0, b"", b"")
 
     def _keep(self, words: list[str], a: Tokens, b: Tokens) -> None:
         borders = np.cumsum([1 + len(w.encode()) for w in words])
         texts, pairs = _texts(a, b, borders), links(a, b)
-        ends = np.searchsorted(np.union1d(a.ends, b.ends), borders, "right").tolist()
+        ends = np.searchsorted(_either(a.ends, b.ends), borders, "right").tolist()
         n_a, n_b, n_groups = (np.diff(np.searchsorted(x, borders, "right"), prepend=0).tolist()
                               for x in (a.ends, b.ends, np.intersect1d(a.ends, b.ends, assume_unique=True)))
         start = 0
         for w, text, stop, *n in zip(words, texts, ends, n_a, n_b, n_groups, strict=True):
-            self.known[w] = (*n, text, pairs[start:stop])
+            self.known[w] = (*n, text, pairs[start:stop].tobytes())
             start = stop
 
     def documents(self, texts: list[str]) -> dict[str, list | np.ndarray]:
@@ -294,11 +299,11 @@ class Pair:
         # Each word of a document once, then its pairs, as often as the word occurs.
         once, times = np.unique(doc[use[doc]] * len(words) + at[use[doc]], return_counts=True)
         doc, word = np.divmod(once, len(words))
-        n_pairs = np.array([len(w[4]) for w in found])
+        n_pairs = np.array([len(w[4]) // 8 for w in found])
         begin = np.cumsum(n_pairs) - n_pairs
         reps = n_pairs[word]
         place = np.repeat(begin[word] - (np.cumsum(reps) - reps), reps) + np.arange(reps.sum())
-        key = (np.repeat(doc, reps) << self.doc_bits) | np.concatenate([w[4] for w in found])[place]
+        key = (np.repeat(doc, reps) << self.doc_bits) | np.frombuffer(b"".join([w[4] for w in found]), _I64)[place]
         order = np.argsort(key)
         key, times = key[order], np.repeat(times, reps)[order]
         new = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, _I64)
@@ -397,15 +402,21 @@ def _batched(rows: Iterator[dict], schema: pa.Schema, weight: int) -> Iterator[p
 def _first_pass(paths: tuple[str, str], piece_chars: int) -> Callable:
     """Finishes documents of ordinary length and cuts the others."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows(batch: pa.RecordBatch) -> Iterator[tuple]:
+            for k in range(0, batch.num_rows, ROWS):
+                part = batch.slice(k, ROWS)
+                yield from zip(*(part.column(c).to_pylist() for c in ("at", "doc_id", "text")), strict=True)
+
         for batch in batches:
-            short, chars, other = [], 0, []
-            for at, doc_id, text in zip(*(batch.column(c).to_pylist() for c in ("at", "doc_id", "text")), strict=True):
+            short, chars, without = [], 0, []
+            for at, doc_id, text in rows(batch):
                 if not text:
-                    other.append(_document_row(at, doc_id, None))
+                    without.append(_document_row(at, doc_id, None))
                 elif len(text) > piece_chars:
-                    other += [dict.fromkeys(_DOCUMENT.names) | {"at": at, "doc_id": doc_id, "part": part, "place": place,
-                                                                "piece": piece}
-                              for part, (place, piece) in enumerate(pieces(text, piece_chars))]
+                    cut = (dict.fromkeys(_DOCUMENT.names) | {"at": at, "doc_id": doc_id, "part": part, "place": place,
+                                                             "piece": piece}
+                           for part, (place, piece) in enumerate(pieces(text, piece_chars)))
+                    yield from _batched(cut, _DOCUMENT, 1 << 20)
                 else:
                     short.append((at, doc_id, text))
                     chars += len(text)
@@ -414,7 +425,8 @@ def _first_pass(paths: tuple[str, str], piece_chars: int) -> Callable:
                         short, chars = [], 0
             if short:
                 yield _finished(short, paths)
-            yield from _batched(iter(other), _DOCUMENT, 1 << 20)
+            if without:
+                yield _batch(without, _DOCUMENT)
 
     return run
 
