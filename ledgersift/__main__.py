@@ -9,11 +9,12 @@ from __future__ import annotations
 import argparse
 import sys
 from collections.abc import Sequence
+from datetime import datetime
 
 from pyspark.sql import SparkSession
 
 from ledgersift.model import Ledger
-from ledgersift.plans.report import sectioned_report
+from ledgersift.plans.report import full_report
 from ledgersift.sinks.runner import failed, run_all
 from ledgersift.sources.readers import (
     JdbcSource,
@@ -60,9 +61,12 @@ def main(argv: Sequence[str] | None = None, spark: SparkSession | None = None) -
     """0 when everything was written or printed, 1 when an export failed."""
     args = arguments(argv)
     spark = spark or SparkSession.builder.appName("ledgersift").getOrCreate()
-    ledger = source_of(spark, args).measured()
+    ledger = source_of(spark, args)
     if args.command == "report":
-        sectioned_report(ledger).select("section", "title", "metric", "value_text").show(100, truncate=False)
+        lines = full_report(ledger, datetime.now())
+        lines.where("kind <> 'detail'").select("section", "title", "metric", "value_text").show(200, truncate=False)
+        for line in lines.where("kind = 'detail'").orderBy("metric").toLocalIterator():
+            print(f"{line.title}: {line.metric} ({line.value_num:.0f}): {line.value_text}")
         return 0
     done = run_all(spark, ledger, args.out, kind=args.kind, share=not args.no_share, sort_details=args.sort_details)
     done.show(100, truncate=False)

@@ -79,6 +79,7 @@ class Ledger:
     ``settled`` optionally holds ``facts.settlements`` of this ledger, already written out; the
     checks that reconcile orders with payments then filter it instead of joining again.
     ``lost_customers`` likewise holds the customer ids that orders name in vain.
+    ``paid`` likewise holds ``consolidated.paid_orders`` of all orders.
     ``counted`` likewise holds hot keys already found (see ``facts.share_facts``), and ``sizes``
     the row counts of ``measured``.
     """
@@ -91,6 +92,7 @@ class Ledger:
     skew: SkewPolicy = field(default_factory=SkewPolicy)
     settled: DataFrame | None = None
     lost_customers: DataFrame | None = None
+    paid: DataFrame | None = None
     counted: Mapping[tuple[str, str], HotKeys] = field(default_factory=dict)
     sizes: Mapping[str, int] = field(default_factory=dict)
 

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql import Window as W
 
 from ledgersift.functions.expressions import percent, rows
 from ledgersift.operators.skew import SkewPolicy, largest, match
+from ledgersift.session import shared_dir
 
 
 def key_counts(df: DataFrame, key: str) -> DataFrame:
@@ -16,21 +20,14 @@ def key_counts(df: DataFrame, key: str) -> DataFrame:
     return df.groupBy(key).agg(rows().alias("n"))
 
 
-def duplicate_groups(df: DataFrame, key: str, id: str | None = None, label: str | None = None, ts: str | None = None,
-                     *, listed: bool = False, separator: str = ", ") -> DataFrame:
+def duplicate_groups(df: DataFrame, key: str, ts: str | None = None) -> DataFrame:
     """Non-NULL key values held by more than one row, one row each whatever the group's size.
 
     Columns: key, n, n_extra, first_seen and last_seen (with ``ts``). Combined before the shuffle, so no value is
-    hot. With ``listed`` also ids and names (with ``label``): all members' values as one text in id order, NULL names
-    skipped. That text is as long as the group, in one task, so it is for reports on tables whose groups are known
-    to be small; ``duplicate_members`` gives the same members as rows at any size.
+    hot. ``duplicate_members`` gives the members as rows, ``listing_blocks`` as text.
     """
     seen = [F.min(ts).alias("first_seen"), F.max(ts).alias("last_seen")] if ts else []
-    texts = [_listing(f"CAST(`{id}` AS STRING)", id, separator).alias("ids")] if listed else []
-    if listed and label:
-        texts.append(_listing(f"`{label}`", id, separator).alias("names"))
-    groups = (df.where(F.col(key).isNotNull()).groupBy(key).agg(rows().alias("n"), *texts, *seen)
-              .where(F.col("n") > 1))
+    groups = df.where(F.col(key).isNotNull()).groupBy(key).agg(rows().alias("n"), *seen).where(F.col("n") > 1)
     return groups.withColumn("n_extra", F.col("n") - 1).select(
         key, "n", "n_extra", *[c for c in groups.columns if c not in (key, "n")])
 
@@ -50,6 +47,41 @@ def duplicate_members(df: DataFrame, key: str, id: str, label: str | None = None
     return match(present.select(*carried), groups, key, "group_key", values={}, hot=hot, unique_parent=True)
 
 
+def listing_blocks(df: DataFrame, key: str, id: str, label: str | None = None, ts: str | None = None, *,
+                   block_rows: int = 10_000, separator: str = ", ", policy: SkewPolicy | None = None,
+                   folder: str | None = None) -> DataFrame:
+    """The members of ``duplicate_groups`` as text, in blocks of at most ``block_rows``: key, n, n_extra, block, first_id,
+    last_id, ids, names (with ``label``), first_seen and last_seen (with ``ts``).
+
+    A group of ordinary size is one block, so its row is the group. A larger one is several rows, numbered from 0 in
+    id order. Members are dealt by ranges of key and id, so the largest group fills many ranges; blocks are cut within a
+    range and numbered through by the few ranges of their group. No task gathers a group, and no text exceeds a block.
+    NULL labels are skipped. The ranges are written to ``folder`` (by default in the shared folder), since both the blocks and
+    their numbers depend on them; the folder is the caller's to remove.
+    """
+    spark = df.sparkSession
+    folder = folder or f"{shared_dir(spark)}/listing-{uuid.uuid4().hex}"
+    members = duplicate_members(df, key, id, label, policy)
+    (members.repartitionByRange(F.col(key), F.col(id)).withColumn("_range", F.spark_partition_id())
+     .write.mode("overwrite").parquet(folder))
+    rows_ = spark.read.schema(T.StructType([*members.schema, T.StructField("_range", T.IntegerType())])).parquet(folder)
+    in_range = W.partitionBy("_range", key).orderBy(id)
+    texts = [_listing(f"CAST(`{id}` AS STRING)", id, separator).alias("ids")]
+    if label:
+        texts.append(_listing(f"`{label}`", id, separator).alias("names"))
+    blocks = (rows_.withColumn("_local", F.floor((F.row_number().over(in_range) - 1) / block_rows))
+              .groupBy("_range", key, "_local").agg(F.min(id).alias("first_id"), F.max(id).alias("last_id"), *texts))
+    per_range = rows_.groupBy(F.col(key).alias("_key"), F.col("_range").alias("_of")).agg(
+        F.ceil(rows() / block_rows).alias("_blocks"))
+    before = F.sum("_blocks").over(W.partitionBy("_key").orderBy("_of")) - F.col("_blocks")
+    groups = duplicate_groups(df, key, ts=ts)
+    numbers = (per_range.withColumn("_before", before)
+               .join(groups.withColumnRenamed(key, "_group"), F.col("_key") == F.col("_group")))
+    return (blocks.join(numbers, (F.col("_range") == F.col("_of")) & (F.col(key) == F.col("_key")))
+            .select(key, "n", "n_extra", (F.col("_before") + F.col("_local")).alias("block"), "first_id", "last_id",
+                    "ids", *(["names"] if label else []), *(["first_seen", "last_seen"] if ts else [])))
+
+
 def _listing(value: str, id: str, separator: str) -> Column:
     """Values joined in id order; NULL values are skipped."""
     quoted = separator.replace("\\", "\\\\").replace("'", "\\'")

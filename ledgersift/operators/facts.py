@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from ledgersift.functions.expressions import keep, rows, tally
 from ledgersift.model import COMPLETED, FOREIGN_KEYS, PAID, Ledger
 from ledgersift.operators.references import lost_keys
-from ledgersift.operators.skew import HotKeys, expand, key_set, resolve
+from ledgersift.operators.skew import HotKeys, expand, key_set, largest, resolve
 
 PARENT_KEYS = {"customers": "customer_id", "products": "product_id"}
 
@@ -43,11 +43,27 @@ def settlements(ledger: Ledger) -> DataFrame:
             .withColumnRenamed("child_found", "payment_found"))
 
 
+def count_hot_keys(ledger: Ledger, folder: str) -> Ledger:
+    """The ledger with its hot keys counted once and written to a shared folder: one scan of orders, for both of their
+    foreign keys, and one of payments. Plans made of it count nothing; the folder is the caller's to remove."""
+    schema = "hot_key long, n_salts int, role string, key string"
+    for role in dict.fromkeys(role for role, _ in FOREIGN_KEYS):
+        keys = [key for r, key in FOREIGN_KEYS if r == role]
+        each = getattr(ledger, role).select(F.inline(F.array(*[
+            F.struct(F.lit(key).alias("key"), F.col(key).alias("hot_key")) for key in keys])))
+        counts = each.where(F.col("hot_key").isNotNull()).groupBy("key", "hot_key").agg(rows().alias("key_rows"))
+        (largest(counts, ledger.skew, "key").write.mode("overwrite").partitionBy("key")
+         .parquet(f"{folder}/hot_keys/role={role}"))
+    kept = ledger.orders.sparkSession.read.schema(schema).parquet(f"{folder}/hot_keys")
+    return replace(ledger, counted={
+        (role, key): kept.where((F.col("role") == role) & (F.col("key") == key)).select("hot_key", "n_salts")
+        for role, key in FOREIGN_KEYS})
+
+
 def share_facts(ledger: Ledger, folder: str) -> Ledger:
     """The ledger with facts that many checks need written to a shared folder.
 
-    Hot keys are three tables of at most ``max_hot_keys`` rows, so later checks count nothing
-    again; unknown customer ids are a key list; settlements are partitioned by what was found, so
+    Hot keys are small tables, so later checks count nothing again; unknown customer ids are a key list; settlements are partitioned by what was found, so
     orders without payment and payments without order are read alone. Being tables, they have a
     known size and survive the loss of executors; the folder is the caller's to remove.
     """
@@ -55,10 +71,7 @@ def share_facts(ledger: Ledger, folder: str) -> Ledger:
         df.write.mode("overwrite").parquet(f"{folder}/{name}")
         return df.sparkSession.read.schema(df.schema).parquet(f"{folder}/{name}")
 
-    hot = {(role, key): ledger.hot(role, key) for role, key in FOREIGN_KEYS}
-    ledger = replace(ledger, counted={
-        at: keys if isinstance(keys, str) else stored(keys.coalesce(1), "hot_{}_{}".format(*at))
-        for at, keys in hot.items()})
+    ledger = count_hot_keys(ledger, folder)
     lost = lost_keys(ledger.orders, ledger.customers, "customer_id", "customer_id")
     ledger = replace(ledger, lost_customers=stored(lost, "lost_customers"))
     side = (F.when(~F.col("payment_found"), F.lit("order_only"))

@@ -20,6 +20,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 
 @dataclass(frozen=True)
@@ -27,14 +28,14 @@ class SkewPolicy:
     """When a key counts as hot.
 
     ``rows_per_task``: more rows than this under one key are worth splitting, and a split holds
-    about this many. ``max_hot_keys`` bounds the broadcast table of hot keys; if more keys
-    qualify, the largest ones are split and the rest, each below ``1 / max_hot_keys`` of the
-    rows, go through the ordinary shuffle. A parent of at most ``broadcast_rows`` counted rows
-    may be broadcast.
+    about this many. All such keys are split; there are fewer of them than rows divided by
+    ``rows_per_task``, which bounds the broadcast table of hot keys (a hundred thousand for 10^11
+    rows). ``max_hot_keys`` may bound it further; then the largest are split. A parent of at most
+    ``broadcast_rows`` counted rows may be broadcast.
     """
 
     rows_per_task: int = 1_000_000
-    max_hot_keys: int = 10_000
+    max_hot_keys: int | None = None
     broadcast_rows: int = 100_000
 
 
@@ -51,19 +52,20 @@ def key_set(df: DataFrame, key: str, name: str | None = None) -> DataFrame:
 
 
 def hot_keys(df: DataFrame, key: str, policy: SkewPolicy) -> DataFrame:
-    """At most ``max_hot_keys`` rows (hot_key, n_salts): the keys with too many rows for one task."""
+    """(hot_key, n_salts): the keys with too many rows for one task."""
     counts = (df.where(F.col(key).isNotNull())
               .groupBy(F.col(key).alias("hot_key"))
               .agg(F.count(F.lit(1)).alias("key_rows")))
     return largest(counts, policy)
 
 
-def largest(counts: DataFrame, policy: SkewPolicy) -> DataFrame:
-    """The hot part of an existing (hot_key, key_rows) count."""
-    return (counts.where(F.col("key_rows") > policy.rows_per_task)
-            .orderBy(F.desc("key_rows"), F.asc("hot_key"))
-            .limit(policy.max_hot_keys)
-            .select("hot_key", F.ceil(F.col("key_rows") / policy.rows_per_task).cast("int").alias("n_salts")))
+def largest(counts: DataFrame, policy: SkewPolicy, *by: str) -> DataFrame:
+    """The hot part of an existing (hot_key, key_rows) count, of each ``by`` on its own."""
+    hot = counts.where(F.col("key_rows") > policy.rows_per_task)
+    if policy.max_hot_keys is not None:
+        place = F.row_number().over(W.partitionBy(*by).orderBy(F.desc("key_rows"), F.asc("hot_key")))
+        hot = hot.withColumn("_place", place).where(F.col("_place") <= policy.max_hot_keys)
+    return hot.select(*by, "hot_key", F.ceil(F.col("key_rows") / policy.rows_per_task).cast("int").alias("n_salts"))
 
 
 def _hot(child: DataFrame, fk: str, policy: SkewPolicy | None, hot: HotKeys) -> DataFrame | None:
@@ -128,7 +130,7 @@ def resolve(child: DataFrame, parent: DataFrame, fk: str, pk: str, *, found: str
 
     staged, cold, near = child, F.col(fk), None
     if hot is not None:
-        # At most max_hot_keys rows each, so both broadcasts have a fixed bound.
+        # A row for each hot key, of which there are few (see SkewPolicy).
         hot = F.broadcast(hot.select("hot_key"))
         near = F.broadcast(_hot_parents(parent, pk, list(values), hot, unique_parent))
         staged = (child.join(hot, F.col(fk) == F.col("hot_key"), "left")

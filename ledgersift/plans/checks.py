@@ -13,7 +13,7 @@ from ledgersift.functions.expressions import money, rows
 from ledgersift.model import COMPLETED, PAID, Ledger
 from ledgersift.operators import amounts, duplicates, nulls, references
 from ledgersift.operators.facts import look_up
-from ledgersift.operators.skew import HotKeys, key_set, match
+from ledgersift.operators.skew import HotKeys, key_set, resolve
 
 
 def with_customer_name(ledger: Ledger, df: DataFrame, hot: HotKeys | None = None) -> DataFrame:
@@ -32,8 +32,7 @@ def _hot_payers(ledger: Ledger) -> HotKeys:
               .join(F.broadcast(paid_orders), F.col("order_id") == F.col("hot_key"))
               .select(F.col("customer_id").alias("hot_key"), "n_salts"))
     either = payers if isinstance(buyers, str) else buyers.select("hot_key", "n_salts").unionByName(payers)
-    return (either.groupBy("hot_key").agg(F.sum("n_salts").alias("n_salts"))
-            .orderBy(F.desc("n_salts"), "hot_key").limit(2 * ledger.skew.max_hot_keys))
+    return either.groupBy("hot_key").agg(F.sum("n_salts").alias("n_salts"))
 
 
 def duplicate_emails(ledger: Ledger) -> DataFrame:
@@ -45,8 +44,9 @@ def duplicate_email_members(ledger: Ledger) -> DataFrame:
 
 
 def duplicate_email_listing(ledger: Ledger) -> DataFrame:
-    """The groups with their customers' ids as text, as the published export has them."""
-    return duplicates.duplicate_groups(ledger.customers, "email", "customer_id", ts="created_at", listed=True)
+    """The groups with their customers' ids as text, as the published export has them; a very large group takes
+    several rows."""
+    return duplicates.listing_blocks(ledger.customers, "email", "customer_id", ts="created_at", policy=ledger.skew)
 
 
 def duplicate_email_rate(ledger: Ledger) -> DataFrame:
@@ -151,10 +151,10 @@ def null_census(ledger: Ledger, full: bool = True) -> DataFrame:
 
 def inactive_product_orders(ledger: Ledger) -> DataFrame:
     inactive = ledger.products.where(F.col("active") == F.lit(False))
-    sold = match(ledger.orders, inactive, "product_id", "product_id",
-                 values={"product_name": "product_name", "price": "product_price", "active": "active"},
-                 hot=ledger.hot("orders", "product_id"), small_parent=ledger.small("products"))
-    return with_customer_name(ledger, sold).select(
+    met = resolve(ledger.orders, inactive, "product_id", "product_id", found="_sold", spread_by=["order_id"],
+                  values={"product_name": "product_name", "price": "product_price", "active": "active"},
+                  hot=ledger.hot("orders", "product_id"), small_parent=ledger.small("products"))
+    return with_customer_name(ledger, met.where("_sold").drop("_sold")).select(
         "order_id", "customer_id", "customer_name", "order_date", "status", "total_amount",
         "product_id", "product_name", "product_price", "active",
         F.lit(ledger.labels.inactive_product).alias("problem"))

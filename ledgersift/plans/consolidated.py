@@ -51,12 +51,14 @@ def _paid_amount():
 def consolidated_view(ledger: Ledger) -> DataFrame:
     """Order, customer name, paid amount, product, five 0/1 flags and the difference.
 
-    Names are looked up per order, before payments multiply the rows.
+    Names are looked up per order, before payments multiply the rows, unless orders and payments are joined already.
     """
-    named = look_up(ledger, ledger.orders, "customers", found="customer_found", values={"name": "customer_name"})
+    named = look_up(ledger, ledger.orders if ledger.paid is None else ledger.paid, "customers", found="customer_found",
+                    values={"name": "customer_name"})
     described = look_up(ledger, named, "products", found="product_found",
                         values={"product_name": "product_name", "active": "product_active"})
-    return paid_orders(ledger, described).select(
+    paired = paid_orders(ledger, described) if ledger.paid is None else described
+    return paired.select(
         "order_id", "customer_id", "customer_name", "order_date", "status", "total_amount",
         _paid_amount().alias("paid_amount"), "product_name", "product_active",
         flag(~F.col("customer_found")).alias("no_customer"),
@@ -69,7 +71,8 @@ def consolidated_view(ledger: Ledger) -> DataFrame:
 
 def order_vs_paid(ledger: Ledger) -> DataFrame:
     """Order amount beside paid amount; needs neither customers nor products."""
-    return paid_orders(ledger, ledger.orders).select("order_id", "total_amount", _paid_amount().alias("paid_amount"),
+    paired = paid_orders(ledger, ledger.orders) if ledger.paid is None else ledger.paid
+    return paired.select("order_id", "total_amount", _paid_amount().alias("paid_amount"),
                                       _diff().alias("diff"))
 
 

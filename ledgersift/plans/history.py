@@ -46,4 +46,4 @@ def as_of(ledger: Ledger, moment: str) -> Ledger:
 
     return replace(ledger, customers=before(ledger.customers, "created_at"),
                    orders=before(ledger.orders, "order_date"), payments=before(ledger.payments, "payment_date"),
-                   settled=None, lost_customers=None, counted={})
+                   settled=None, lost_customers=None, paid=None, counted={})

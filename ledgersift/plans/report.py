@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from datetime import datetime
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ledgersift.functions.expressions import MONEY_SUM, money, ratio, rows
 from ledgersift.model import Ledger
+from ledgersift.operators.duplicates import listing_blocks
 from ledgersift.operators.facts import identity_facts, order_book, order_measures, settlement_totals
 from ledgersift.plans.checks import inactive_product_summary
 
@@ -126,3 +128,25 @@ def sectioned_report(ledger: Ledger) -> DataFrame:
             .when(F.col("kind") == "percent", F.concat(value.cast("decimal(24,2)").cast("string"), F.lit("%")))
             .otherwise(F.concat(F.lit("$ "), F.format_number(F.round(value, 0), 0), F.lit(f" {words.currency}"))))
     return audit_totals(ledger).select(F.inline(F.array(*lines))).withColumn("value_text", text)
+
+
+def full_report(ledger: Ledger, generated: datetime) -> DataFrame:
+    """The whole report: its head (section 0: when it was made, what it covers, the first and last day of order), the
+    figures of ``sectioned_report``, and a line for each shared email (its count and its customers' names; a very large group
+    takes several lines).
+    """
+    def head(metric: str, text: Column) -> Column:
+        return F.struct(F.lit(0).alias("section"), F.lit("Audit report").alias("title"), F.lit(metric).alias("metric"),
+                        F.lit("text").alias("kind"), F.lit(None).cast(MONEY_SUM).alias("value_num"),
+                        text.alias("value_text"))
+
+    days = ledger.orders.agg(*[F.date_format(f("order_date"), "yyyy-MM-dd").alias(name)
+                               for f, name in ((F.min, "first"), (F.max, "last"))])
+    lines = days.select(F.inline(F.array(
+        head("generated", F.lit(f"{generated:%Y-%m-%d %H:%M:%S}")),
+        head("scope", F.lit("Customers, Products, Orders, Payments")),
+        head("period from", F.coalesce("first", F.lit("N/A"))), head("period to", F.coalesce("last", F.lit("N/A"))))))
+    shared = listing_blocks(ledger.customers, "email", "customer_id", "name", separator=" | ", policy=ledger.skew).select(
+        F.lit(2).alias("section"), F.lit("Duplicate emails").alias("title"), F.col("email").alias("metric"),
+        F.lit("detail").alias("kind"), _number(F.col("n")).alias("value_num"), F.col("names").alias("value_text"))
+    return lines.unionByName(sectioned_report(ledger)).unionByName(shared)

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import logging
 import os
 import tempfile
 
 from pyspark.sql import SparkSession
 
+logger = logging.getLogger(__name__)
+
 CHECKPOINT_DIR = "spark.checkpoint.dir"
 LOCAL_DIR = "spark.ledgersift.local.dir"
 
@@ -40,3 +43,12 @@ def shared_dir(spark: SparkSession) -> str:
     folder = tempfile.mkdtemp(prefix="ledgersift-")
     spark.conf.set(LOCAL_DIR, folder)
     return folder
+
+
+def remove_folder(spark: SparkSession, folder: str) -> None:
+    """Removes a folder of this library's own making; what cannot be removed is only logged."""
+    try:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    except Exception as error:  # noqa: BLE001 - results do not depend on it
+        logger.warning("%s is still there: %s", folder, error)

@@ -12,18 +12,21 @@ from pyspark.sql import DataFrame, SparkSession
 from ledgersift.model import Ledger
 from ledgersift.operators.facts import share_facts
 from ledgersift.plans.catalogue import EXPORTS, Check, Export
-from ledgersift.session import shared_dir
-from ledgersift.sinks.writers import dated_path, write_result
+from ledgersift.session import remove_folder, shared_dir
+from ledgersift.sinks.verified import Written, write_manifest, write_verified
+from ledgersift.sinks.writers import dated_path
 
 logger = logging.getLogger(__name__)
 
-RESULT_SCHEMA = "name string, rows long, path string, status string"
+RESULT_SCHEMA = "name string, rows long, path string, status string, digest string"
 
 
 def run_all(spark: SparkSession, ledger: Ledger, folder: str, *, day: date | None = None, kind: str = "csv",
             exports: Mapping[str, Export | Check] = EXPORTS, share: bool = False,
             sort_details: str = "all") -> DataFrame:
-    """Write every export; result: name, rows, path, status ("OK" or "ERROR: ...") per export.
+    """Write every export; result: name, rows, path, status ("OK" or "ERROR: ...") and digest per export.
+
+    The run leaves a manifest of its files beside them, with which ``verified.verify`` checks them later.
 
     ``share`` counts hot keys and joins orders with payments once, into the shared folder, lets
     the exports read those tables, and removes them when the run ends. ``sort_details`` puts detail files in report order
@@ -44,24 +47,15 @@ def run_all(spark: SparkSession, ledger: Ledger, folder: str, *, day: date | Non
             path = dated_path(folder, name, day, kind)
             try:
                 result = export.sorted(ledger, "all" if export.summary else sort_details)
-                rows = write_result(result, path, kind, single_file=export.summary)
-                results.append((name, rows, path, "OK"))
+                results.append(write_verified(result, name, path, kind, single_file=export.summary))
             except Exception as error:  # noqa: BLE001 - one broken export must not stop the rest
                 logger.error("%s failed: %s", name, error)
-                results.append((name, 0, None, f"ERROR: {error}"))
+                results.append(Written(name, None, kind, None, 0, None, f"ERROR: {error}"))
     finally:
         if facts:
-            _remove(spark, facts)
-    return spark.createDataFrame(results, RESULT_SCHEMA)
-
-
-def _remove(spark: SparkSession, folder: str) -> None:
-    """Removes the run's own shared facts; what cannot be removed is only logged."""
-    try:
-        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-    except Exception as error:  # noqa: BLE001 - the exports are written already
-        logger.warning("%s is still there: %s", folder, error)
+            remove_folder(spark, facts)
+    write_manifest(spark, results, folder, day)
+    return spark.createDataFrame([(w.name, w.rows, w.path, w.status, w.digest) for w in results], RESULT_SCHEMA)
 
 
 def failed(results: DataFrame) -> DataFrame:

@@ -190,17 +190,28 @@ REPORT_LINES = [
 ]
 
 
-def _report() -> str:
+def _report(more: str = "") -> str:
     parts = [f"SELECT CAST({s} AS INTEGER) AS section, '{title}' AS title, '{metric}' AS metric, "
              f"'{kind}' AS kind, {money(f'({value})')} AS value_num" for s, title, metric, kind, value in REPORT_LINES]
     lines = "lines AS (" + "\nUNION ALL ".join(parts) + ")"
     return audit("""SELECT *, CASE WHEN value_num IS NULL THEN 'N/A'
         WHEN kind = 'count' THEN CAST(CAST(value_num AS BIGINT) AS VARCHAR)
         WHEN kind = 'percent' THEN CAST(value_num AS VARCHAR) || '%'
-        ELSE '$ ' || format('{:,}', CAST(round(value_num) AS BIGINT)) || ' COP' END AS value_text FROM lines""",
+        ELSE '$ ' || format('{:,}', CAST(round(value_num) AS BIGINT)) || ' COP' END AS value_text FROM lines""" + more,
                  SCORES, lines)
 
 
+# The head and the list of shared emails around the figures.
+REPORT_REST = f"""
+    UNION ALL SELECT 0, 'Audit report', metric, 'text', NULL, value FROM (VALUES
+      ('generated', '2024-01-15 06:30:00'), ('scope', 'Customers, Products, Orders, Payments'),
+      ('period from', (SELECT strftime(min(order_date), '%Y-%m-%d') FROM a_orders)),
+      ('period to', (SELECT strftime(max(order_date), '%Y-%m-%d') FROM a_orders))) v(metric, value)
+    UNION ALL SELECT 2, 'Duplicate emails', email, 'detail', {money('count(*)')},
+      string_agg(name, ' | ' ORDER BY customer_id)
+      FROM a_customers WHERE email IS NOT NULL GROUP BY email HAVING count(*) > 1"""
+
+
 EXPORT_SOURCES = {
     "01_emails_duplicados": "dup_emails", "02_ordenes_sin_cliente": "no_customer",
     "03_completadas_sin_pago": "unpaid", "04_pagos_huerfanos": "lost", "05_diferencia_monetaria": "mismatch",
@@ -208,6 +219,60 @@ EXPORT_SOURCES = {
     "08_campos_nulos_criticos": "(VALUES (1), (2), (3)) v(i)",
     "09_ordenes_producto_inactivo": "inactive", "10_auditoria_consolidada": "wide"}
 
+# Headers and wording of the ten published files, each with the columns its rows are read from.
+EXPORT_FILES = {
+    "01_emails_duplicados": ("email,total_ocurrencias,duplicados_extra,customer_ids,primer_registro,ultimo_duplicado",
+        """SELECT email, count(*), count(*) - 1, string_agg(CAST(customer_id AS VARCHAR), ', ' ORDER BY customer_id),
+           min(created_at), max(created_at) FROM a_customers WHERE email IS NOT NULL GROUP BY email
+           HAVING count(*) > 1"""),
+    "02_ordenes_sin_cliente": (
+        "order_id,customer_id_referenciado,order_date,status,total_amount,descripcion_problema",
+        "SELECT order_id, customer_id, order_date, status, total_amount, 'Cliente no existe' FROM no_customer"),
+    "03_completadas_sin_pago": ("order_id,customer_id,nombre_cliente,order_date,total_amount,descripcion_problema",
+        """SELECT u.order_id, u.customer_id, c.name, u.order_date, u.total_amount, 'Completada sin pago'
+           FROM unpaid u LEFT JOIN a_customers c ON c.customer_id = u.customer_id"""),
+    "04_pagos_huerfanos": (
+        "payment_id,order_id_referenciado,payment_date,payment_amount,payment_status,descripcion_problema",
+        "SELECT payment_id, order_id, payment_date, payment_amount, payment_status, 'Orden no existe' FROM lost"),
+    "05_diferencia_monetaria": ("order_id,customer_id,nombre_cliente,order_date,monto_orden,monto_pagado,"
+        "discrepancia_cop,tipo_discrepancia,discrepancia_pct",
+        """SELECT m.order_id, m.customer_id, c.name, m.order_date, total_amount, payment_amount,
+           CAST(diff AS DECIMAL(13,2)), CASE WHEN diff > 0 THEN 'Overpaid' ELSE 'Underpaid' END, {pct}
+           FROM mismatch m LEFT JOIN a_customers c ON c.customer_id = m.customer_id"""),
+    "06_revenue_at_risk": ("categoria_riesgo,registros_afectados,monto_riesgo_cop",
+        """SELECT CASE category WHEN 'Completed orders without payment' THEN 'Completadas sin pago'
+             WHEN 'Underpaid orders' THEN 'Underpaid (deficit cobro)'
+             WHEN 'Overpaid orders' THEN 'Overpaid (pasivo devolucion)' ELSE 'Pagos huerfanos no conciliados' END,
+           CAST(n AS BIGINT), CAST(amount AS DECIMAL(24,2)) FROM risk"""),
+    "07_data_quality_score": ("nombre_tabla,total_registros,registros_con_problemas,pct_con_problemas,quality_score",
+        "SELECT table_name, total, bad, pct, score FROM scores"),
+    "08_campos_nulos_criticos": ("verificacion,registros_afectados",
+        """SELECT 'customers.name nulo', count(*) FROM a_customers WHERE name IS NULL
+           UNION ALL SELECT 'customers.email nulo', count(*) FROM a_customers WHERE email IS NULL
+           UNION ALL SELECT 'orders.total_amount nulo', count(*) FROM a_orders WHERE total_amount IS NULL"""),
+    "09_ordenes_producto_inactivo": ("order_id,customer_id,nombre_cliente,order_date,status,total_amount,product_id,"
+        "product_name,precio_producto,descripcion_problema",
+        """SELECT i.order_id, i.customer_id, c.name, i.order_date, i.status, i.total_amount, i.product_id,
+           i.product_name, i.price, 'Producto descontinuado'
+           FROM inactive i LEFT JOIN a_customers c ON c.customer_id = i.customer_id"""),
+    "10_auditoria_consolidada": ("order_id,customer_id,nombre_cliente,order_date,status,total_amount,monto_pagado,"
+        "product_name,producto_activo,flag_cliente_inexistente,flag_sin_pago,flag_monto_desajustado,flag_total_nulo,"
+        "flag_producto_inactivo,discrepancia_cop", "SELECT * FROM wide"),
+}
+
+
+def _export_gate() -> str:
+    """Header, rows and digest of each file: the sum of 48 bits of each row's MD5."""
+    parts = []
+    for name, (header, select) in EXPORT_FILES.items():
+        columns = [f"c{k}" for k in range(header.count(",") + 1)]
+        text = "concat_ws(chr(31), " + ", ".join(f"coalesce(CAST({c} AS VARCHAR), chr(30))" for c in columns) + ")"
+        parts.append(f"""SELECT '{name}' AS name, '{header}' AS header, {n('count(*)')} AS rows,
+            CAST(coalesce(sum(CAST('0x' || substr(md5({text}), 1, 12) AS BIGINT)), 0) AS VARCHAR) AS digest,
+            'OK' AS status FROM ({select.replace('{pct}', DIFF_PCT)}) f({', '.join(columns)})""")
+    return audit("\nUNION ALL ".join(parts), SCORES)
+
+
 RULES = """tagged AS (SELECT order_id, customer_id, status, total_amount,
     concat_ws(', ',
       CASE WHEN order_id IN (SELECT order_id FROM unpaid) THEN 'completed_without_payment' END,
@@ -216,6 +281,67 @@ RULES = """tagged AS (SELECT order_id, customer_id, status, total_amount,
       CASE WHEN total_amount IS NULL THEN 'null_total' END) AS broken
     FROM a_orders)"""
 
+# The rule table's rules: (rule, table, kind, condition under which a row breaks it).
+RULE_FAULTS = [
+    ("customer has a name", "a_customers", "not_null", "name IS NULL"),
+    ("email is unique", "a_customers", "unique", "email IN (SELECT email FROM dup_emails)"),
+    ("price is positive", "a_products", "condition", "NOT price > 0"),
+    ("product state is known", "a_products", "not_null", "active IS NULL"),
+    ("product was sold", "a_products", "has_child",
+     "NOT EXISTS (SELECT 1 FROM a_orders x WHERE x.product_id = t.product_id)"),
+    ("order has a total", "a_orders", "not_null", "total_amount IS NULL"),
+    ("order has a customer", "a_orders", "references", "order_id IN (SELECT order_id FROM no_customer)"),
+    ("order status is known", "a_orders", "domain", "status NOT IN ('Pending', 'Processing', 'Completed', 'Cancelled')"),
+    ("completed order has a payment", "a_orders", "has_child", "order_id IN (SELECT order_id FROM unpaid)"),
+    ("order in progress has a payment", "a_orders", "has_child",
+     "status = 'Processing' AND NOT EXISTS (SELECT 1 FROM a_payments x WHERE x.order_id = t.order_id)"),
+    ("ordered product exists", "a_orders", "foreign_key", "product_id IS NOT NULL AND "
+     "NOT EXISTS (SELECT 1 FROM a_products x WHERE x.product_id = t.product_id)"),
+    ("payment has an order", "a_payments", "references",
+     "NOT EXISTS (SELECT 1 FROM a_orders x WHERE x.order_id = t.order_id)"),
+    ("payment status is known", "a_payments", "domain", "payment_status NOT IN ('Paid', 'Failed', 'Pending')"),
+    ("confirmed payment is of 1000 at least", "a_payments", "condition",
+     "payment_status = 'Paid' AND NOT payment_amount >= 1000"),
+    ("line has a supplier", "lineitem", "references", "l_suppkey IS NULL OR l_suppkey NOT IN (SELECT s_suppkey FROM supplier)"),
+    ("line's product was ordered", "lineitem", "has_child",
+     "l_quantity > 10 AND NOT EXISTS (SELECT 1 FROM a_orders x WHERE x.product_id = t.l_partkey)"),
+    ("line is unique", "lineitem", "unique", "l_discount > 0.08 AND l_orderkey IN "
+     "(SELECT l_orderkey FROM lineitem GROUP BY l_orderkey HAVING count(*) > 1)"),
+]
+
+
+def _rule_tables() -> dict[str, list[tuple[str, str, str]]]:
+    by: dict[str, list] = {}
+    for rule, table, kind, fault in RULE_FAULTS:
+        by.setdefault(table, []).append((rule, kind, fault))
+    return by
+
+
+def _rule_scores() -> str:
+    parts = []
+    for table, own in _rule_tables().items():
+        any_fault = " OR ".join(f"coalesce({fault}, false)" for *_, fault in own)
+        parts.append(f"SELECT '{table.removeprefix('a_')}' AS table_name, count(*) AS total, "
+                     f"count(*) FILTER ({any_fault}) AS bad FROM {table} t")
+    ruled = "ruled AS (" + "\nUNION ALL ".join(parts) + ")"
+    return audit(f"""SELECT table_name, {n('total')} AS total, {n('bad')} AS bad, {pct('bad', 'total')} AS pct,
+        {score('bad', 'total')} AS score FROM ruled""", ruled)
+
+
+def _rule_counts() -> str:
+    parts = [f"SELECT '{table.removeprefix('a_')}' AS table_name, '{rule.replace(chr(39), chr(39) * 2)}' AS rule, "
+             f"'{kind}' AS kind, count(*) FILTER ({fault}) AS n, count(*) AS total FROM {table} t"
+             for rule, table, kind, fault in RULE_FAULTS]
+    return audit(f"SELECT table_name, rule, kind, {n('n')} AS n, {pct('n', 'total')} AS pct FROM ("
+                 + "\nUNION ALL ".join(parts) + ")")
+
+
+def _rule_violations() -> str:
+    names = ", ".join(f"CASE WHEN {fault} THEN '{rule}' END" for rule, _, fault in _rule_tables()["a_orders"])
+    return audit(f"SELECT * FROM (SELECT order_id, status, concat_ws(', ', {names}) AS broken FROM a_orders t) "
+                 "WHERE broken <> ''")
+
+
 CUT = "TIMESTAMP '1998-07-01 00:00:00'"
 
 
@@ -239,6 +365,45 @@ def _as_of(alias: str, cut: str | None) -> str:
     WHERE NOT EXISTS (SELECT 1 FROM {alias}_orders o WHERE o.order_id = p.order_id))))"""
 
 
+def _defects(alias: str, cut: str | None) -> str:
+    """Every defect of the ledger before a moment, with the text of the row that has it."""
+    def before(table: str, column: str) -> str:
+        where = f" WHERE {column} < {cut} OR {column} IS NULL" if cut else ""
+        return f"{alias}_{table} AS (SELECT * FROM a_{table}{where})"
+
+    def found(rule: str, table: str, key: str, fault: str) -> str:
+        return f"SELECT '{rule}' AS rule, {key} AS key, CAST(t AS VARCHAR) AS row FROM {alias}_{table} t WHERE {fault}"
+
+    c, o, p = f"{alias}_customers", f"{alias}_orders", f"{alias}_payments"
+    parts = [
+        found("email shared", "customers", "customer_id", f"email IN (SELECT email FROM {c} WHERE email IS NOT NULL "
+              "GROUP BY email HAVING count(*) > 1)"),
+        found("name missing", "customers", "customer_id", "name IS NULL"),
+        found("email missing", "customers", "customer_id", "email IS NULL"),
+        found("customer unknown", "orders", "order_id",
+              f"NOT EXISTS (SELECT 1 FROM {c} x WHERE x.customer_id = t.customer_id)"),
+        found("completed without payment", "orders", "order_id",
+              f"status = 'Completed' AND NOT EXISTS (SELECT 1 FROM {p} x WHERE x.order_id = t.order_id)"),
+        found("total missing", "orders", "order_id", "total_amount IS NULL"),
+        found("product inactive", "orders", "order_id",
+              "product_id IN (SELECT product_id FROM a_products WHERE active = FALSE)"),
+        found("order unknown", "payments", "payment_id",
+              f"NOT EXISTS (SELECT 1 FROM {o} x WHERE x.order_id = t.order_id)"),
+        found("amount differs", "payments", "payment_id", "payment_status = 'Paid' AND "
+              f"EXISTS (SELECT 1 FROM {o} x WHERE x.order_id = t.order_id AND x.total_amount <> t.payment_amount)")]
+    return f"""
+{before('customers', 'created_at')}, {before('orders', 'order_date')}, {before('payments', 'payment_date')},
+{alias}_defects AS ({' UNION ALL '.join(parts)})"""
+
+
+def _compared() -> tuple[str, ...]:
+    return (_defects("was", CUT), _defects("now", None), """compared AS (
+  SELECT coalesce(b.rule, a.rule) AS rule, coalesce(b.key, a.key) AS key,
+         CASE WHEN b.rule IS NULL THEN 'new' WHEN a.rule IS NULL THEN 'solved'
+              WHEN b.row = a.row THEN 'open' ELSE 'changed' END AS state
+  FROM was_defects b FULL JOIN now_defects a ON a.rule = b.rule AND a.key = b.key)""")
+
+
 ORDER_FLAGS = """per_order AS (
   SELECT order_id, any_value(order_date) AS order_date, max(no_customer) AS no_customer,
          max(no_payment) AS no_payment, max(amount_mismatch) AS amount_mismatch, max(null_total) AS null_total,
@@ -247,11 +412,37 @@ ORDER_FLAGS = """per_order AS (
 FLAG_NAMES = ("no_customer", "no_payment", "amount_mismatch", "null_total", "inactive_product")
 
 
+def _streams(confirmed: str) -> str:
+    """Orders and payments by day, and the watermark at which both streams end."""
+    return f"""
+days AS (SELECT order_id, CAST(date_trunc('day', payment_date) AS TIMESTAMP) AS d, count(*) AS n,
+    sum(payment_amount) AS paid, max(payment_date) AS latest FROM a_payments
+  WHERE order_id IS NOT NULL AND payment_date IS NOT NULL {confirmed} GROUP BY 1, 2),
+placed AS (SELECT *, CAST(date_trunc('day', order_date) AS TIMESTAMP) AS d FROM a_orders
+  WHERE order_id IS NOT NULL AND order_date IS NOT NULL),
+clock AS (SELECT least((SELECT max(d) FROM placed), (SELECT max(latest) FROM days)) - INTERVAL 1 DAY AS mark)"""
+
+
+DUE_DAYS = "p.d >= o.d AND p.d <= o.d + INTERVAL 30 DAY"
+
+
+#: The same results from tables laid out for their joins, or kept by day.
+LAID_OUT = {"a05_laid_out": "a05_completed_without_payment", "a07_laid_out": "a07_orphan_payments",
+            "a09_laid_out": "a09_amount_mismatch", "a18_laid_out": "a18_consolidated_view", "b09_trend_by_day": "b09_error_trend"}
+
+
 def oracles() -> dict[str, str]:
+    by_name = _oracles()
+    return by_name | {name: by_name[same] for name, same in LAID_OUT.items()}
+
+
+def _oracles() -> dict[str, str]:
     return {
         "a01_duplicate_groups": _groups(f"{GROUP_N}, {SEEN}"),
         "a01_duplicate_members": audit("""SELECT email, customer_id, name FROM a_customers
             WHERE email IN (SELECT email FROM dup_emails)"""),
+        "a01_duplicate_blocks": _groups(f"""{GROUP_N}, {n('0')} AS block, min(customer_id) AS first_id,
+            max(customer_id) AS last_id, {IDS}, string_agg(name, ', ' ORDER BY customer_id) AS names"""),
         "a01_duplicate_groups_export": _groups(f"{GROUP_N}, {IDS}, {SEEN}"),
         "a01_duplicate_names_report": _groups(
             f"email, {n('count(*)')} AS n, string_agg(name, ' | ' ORDER BY customer_id) AS names"),
@@ -286,6 +477,9 @@ def oracles() -> dict[str, str]:
             {money('sum(CASE WHEN diff < 0 THEN -diff ELSE 0 END)')} AS underpaid FROM mismatch"""),
         "a11_revenue_at_risk": audit(f"SELECT category, {n('n')} AS n, {money('amount')} AS amount FROM risk"),
         "a12_quality_score": audit("SELECT * FROM scores", SCORES),
+        "a12_quality_score_rules": _rule_scores(),
+        "a12_rule_counts": _rule_counts(),
+        "a12_rule_violations": _rule_violations(),
         "a13_customers_with_nulls": audit("""SELECT customer_id, name, email, created_at,
             CASE WHEN name IS NULL AND email IS NULL THEN 'Name and email missing'
                  WHEN name IS NULL THEN 'Name missing' ELSE 'Email missing' END AS null_fields
@@ -359,9 +553,11 @@ def oracles() -> dict[str, str]:
             FROM total_risk""", TOTAL_RISK),
         "c05_orphan_payments_by_status": audit(f"""SELECT payment_status, {n('count(*)')} AS n,
             {money('sum(payment_amount)')} AS amount FROM lost GROUP BY payment_status"""),
+        "d04_export_gate": _export_gate(),
         "d04_export_run": audit("\nUNION ALL ".join(
             f"SELECT '{name}' AS name, {n('count(*)')} AS rows, 'OK' AS status FROM {source}"
             for name, source in EXPORT_SOURCES.items())),
+        "d06_full_report": _report(REPORT_REST),
         "d06_sectioned_report": _report(),
         "f01_unique_email": _groups(GROUP_N),
         "f01_unique_line_key": f"""SELECT l_orderkey, l_linenumber, {n('count(*)')} AS n,
@@ -382,12 +578,40 @@ def oracles() -> dict[str, str]:
             FROM a_payments WHERE payment_status NOT IN ('Paid', 'Failed', 'Pending')"""),
         "f05_quarantine": audit("SELECT * FROM tagged WHERE broken <> ''", RULES),
         "f06_clean": audit("SELECT order_id, customer_id, status, total_amount FROM tagged WHERE broken = ''", RULES),
+        "f07_stream_reconciliation": audit(f"""SELECT order_id, customer_id, day, total_amount, {n('n')} AS n_payments,
+            {money('paid')} AS paid_total, {money('paid - total_amount')} AS diff,
+            CASE WHEN paid > total_amount THEN 'Overpaid' ELSE 'Underpaid' END AS diff_type FROM (
+              SELECT o.order_id, o.customer_id, o.d AS day, o.total_amount, o.status, coalesce(sum(p.n), 0) AS n,
+                CASE WHEN sum(p.n) IS NULL THEN 0 ELSE sum(p.paid) END AS paid
+              FROM placed o LEFT JOIN days p ON p.order_id = o.order_id AND {DUE_DAYS}
+              WHERE o.d + INTERVAL 31 DAY <= (SELECT mark FROM clock) GROUP BY ALL)
+            WHERE (n > 0 OR status = 'Completed') AND paid <> total_amount""",
+                                           _streams("AND payment_status = 'Paid'")),
         "f08_daily_scorecard": audit("SELECT *, DATE '2024-01-15' AS run_date FROM scores", SCORES),
+        "f08_incremental_scorecard": audit("SELECT * FROM scores", SCORES),
+        "f09_follow_up": audit("SELECT * FROM compared", *_compared()),
+        "f09_follow_up_summary": audit("SELECT rule, " + ", ".join(
+            f"{n(f"count(*) FILTER (state = '{s}')")} AS {s}" for s in ("new", "solved", "open", "changed"))
+            + " FROM compared GROUP BY rule", *_compared()),
         "f09_score_change": audit("""SELECT b.table_name, b.score AS score_before, a.score AS score_after,
             CAST(CAST(a.score AS DECIMAL(10,2)) - CAST(b.score AS DECIMAL(10,2)) AS DOUBLE) AS score_delta,
             b.bad AS bad_before, a.bad AS bad_after
             FROM old_scores b FULL JOIN now_scores a ON a.table_name = b.table_name""",
                                   _as_of("old", CUT), _as_of("now", None)),
+        "f10_stream_absences": audit(f"""
+            SELECT 'no payment in time' AS problem, order_id, d AS day, {n('0')} AS n_payments,
+              {money('total_amount')} AS amount FROM placed o WHERE status = 'Completed'
+              AND d + INTERVAL 31 DAY <= (SELECT mark FROM clock)
+              AND NOT EXISTS (SELECT 1 FROM days p WHERE p.order_id = o.order_id AND {DUE_DAYS})
+            UNION ALL SELECT 'no order in time', order_id, d, {n('n')}, {money('paid')} FROM days p
+            WHERE d + INTERVAL 1 DAY <= (SELECT mark FROM clock)
+              AND NOT EXISTS (SELECT 1 FROM placed o WHERE o.order_id = p.order_id AND {DUE_DAYS})
+            UNION ALL SELECT 'no payment in time', order_id, CAST(date_trunc('day', order_date) AS TIMESTAMP), 0,
+              {money('total_amount')} FROM a_orders
+            WHERE status = 'Completed' AND (order_id IS NULL OR order_date IS NULL)
+            UNION ALL SELECT 'no order in time', order_id, CAST(date_trunc('day', payment_date) AS TIMESTAMP), 1,
+              {money('payment_amount')} FROM a_payments WHERE order_id IS NULL OR payment_date IS NULL""",
+                                     _streams("")),
         "f10_stream_unpaid": audit("""SELECT order_id, customer_id, order_date, total_amount,
               'undated' AS reason FROM a_orders WHERE status = 'Completed' AND order_date IS NULL
             UNION ALL SELECT order_id, customer_id, order_date, total_amount, 'no payment in time' FROM a_orders o

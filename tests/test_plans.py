@@ -9,7 +9,9 @@ import pytest
 import __spark_entry__ as contract
 
 # Queries that run jobs and return what they wrote have no plan of interest.
-JOBS = {"d04_export_run", "f08_daily_scorecard", "f10_stream_unpaid"}
+JOBS = {"a05_laid_out", "a07_laid_out", "a09_laid_out", "a18_laid_out", "b09_trend_by_day",
+        "d04_export_gate", "d04_export_run", "f07_stream_reconciliation", "f08_daily_scorecard", "f08_incremental_scorecard",
+        "f10_stream_absences", "f10_stream_unpaid"}
 PLANNED = [name for name in contract.queries() if name not in JOBS and not name.startswith(("op", "pipeline"))]
 
 
@@ -58,6 +60,20 @@ def test_shuffles_are_few(spark, sf_small, name, most):
     assert len(re.findall(r"(?<!Broadcast)Exchange ", plan)) <= most
 
 
+@pytest.mark.parametrize("name, most", [("a09_amount_mismatch", 8), ("a16_inactive_product_orders", 9),
+                                        ("a18_consolidated_view", 13), ("b06_problem_rows", 13),
+                                        ("b09_error_trend", 11), ("f05_quarantine", 11), ("f06_clean", 11)])
+def test_counted_keys_leave_few_shuffles_and_one_scan_of_the_lines(spark, sf_small, name, most):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = plan_of(contract.queries()[name](spark, sf_small))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert len(re.findall(r"(?<!Broadcast)Exchange ", plan)) <= most
+    assert sum("l_partkey" in scan for scan in scans(plan)) <= 1
+
+
 def test_duplicate_rate_is_one_scan(spark, sf_small):
     assert len(scans(plan_of(contract.queries()["a02_duplicate_rate"](spark, sf_small)))) == 1
 

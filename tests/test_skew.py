@@ -7,7 +7,7 @@ import pytest
 from fixture import tuples
 from pyspark.sql import functions as F
 
-from ledgersift.operators.duplicates import duplicate_groups, duplicate_members
+from ledgersift.operators.duplicates import duplicate_groups, duplicate_members, listing_blocks
 from ledgersift.operators.skew import SkewPolicy, expand, hot_keys, match, resolve
 
 SPLIT = SkewPolicy(rows_per_task=20, max_hot_keys=3)
@@ -102,12 +102,48 @@ def test_members_of_a_hot_group_are_rows(spark):
 
 def test_a_group_has_one_row_at_any_size(spark):
     df = spark.range(10_011).selectExpr("id", "if(id < 10, 'small', 'large') AS k")
-    for listed in (False, True):
-        groups = duplicate_groups(df, "k", "id", listed=listed)
-        assert groups.columns == ["k", "n", "n_extra"] + (["ids"] if listed else [])
-        assert sorted(tuples(groups, "k", "n", "n_extra")) == [("large", 10_001, 10_000), ("small", 10, 9)]
-    text = tuples(duplicate_groups(df.where("k = 'small'"), "k", "id", listed=True), "ids")
-    assert text == [("0, 1, 2, 3, 4, 5, 6, 7, 8, 9",)]
+    groups = duplicate_groups(df, "k")
+    assert groups.columns == ["k", "n", "n_extra"]
+    assert sorted(tuples(groups)) == [("large", 10_001, 10_000), ("small", 10, 9)]
+
+
+def test_groups_as_text_in_blocks(spark):
+    """A hot group fills many blocks, in id order; an ordinary one is one row; NULL names are skipped."""
+    rows = [(i, "shared" if i % 3 == 0 else f"k{i // 4}", None if i % 5 == 0 else f"n{i}", i % 7) for i in range(900)]
+    df = spark.createDataFrame(rows, "id long, k string, name string, at int").repartition(5, "name")
+    members = {}
+    for i, k, name, moment in rows:
+        members.setdefault(k, []).append((i, name, moment))
+    blocks = {}
+    for r in listing_blocks(df, "k", "id", "name", "at", block_rows=50, separator="; ").collect():
+        blocks.setdefault(r.k, {})[r.block] = r
+    assert set(blocks) == {k for k, m in members.items() if len(m) > 1}
+    for k, found in blocks.items():
+        assert sorted(found) == list(range(len(found)))
+        ordered = [found[b] for b in range(len(found))]
+        assert "; ".join(r.ids for r in ordered) == "; ".join(str(i) for i, *_ in members[k])
+        names = [r.names for r in ordered if r.names is not None]
+        assert "; ".join(names) == "; ".join(name for _, name, _ in members[k] if name)
+        for r in ordered:
+            ids = [int(i) for i in r.ids.split("; ")]
+            assert (r.first_id, r.last_id) == (ids[0], ids[-1]) and len(ids) <= 50
+            assert (r.n, r.n_extra) == (len(members[k]), len(members[k]) - 1)
+            assert (r.first_seen, r.last_seen) == (min(m[2] for m in members[k]), max(m[2] for m in members[k]))
+    assert len(blocks["shared"]) >= 6 and all(len(b) == 1 for k, b in blocks.items() if k != "shared")
+
+
+def test_no_task_gathers_a_hot_group(spark, tmp_path):
+    """A third of all rows under one key: the ranges that blocks are cut in stay even."""
+    rows = [(i, "shared" if i % 3 == 0 else f"k{i // 6}") for i in range(6_000)]
+    df = spark.createDataFrame(rows, "id long, k string")
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        listing_blocks(df, "k", "id", block_rows=100, folder=str(tmp_path / "ranges"))
+        sizes = [n for _, n in tuples(spark.read.parquet(str(tmp_path / "ranges")).groupBy("_range").count())]
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+    assert len(sizes) > 2 and max(sizes) < 2 * sum(sizes) / len(sizes)
 
 
 @pytest.mark.parametrize("adaptive", ["true", "false"])
