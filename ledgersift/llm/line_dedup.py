@@ -1,12 +1,13 @@
 """Line dedup: lines that many documents share stay in one of them only.
 
-Each document's lines become keys (stripped, A-Z lower-cased, hashed to 128 bits). Distinct documents are counted
+Each document's lines become keys (stripped, A-Z lower-cased, digested to 128 bits). Distinct documents are counted
 for each key; a document then gets the keys it must lose, and its text is put together again from the other lines,
 in their order. Texts are shuffled once, to meet their document's keys.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,29 +16,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgersift.llm.tables import batches_of, stored
-from ledgersift.llm.words import NOT_SPACE, PIECE, U64, mix, slices, text_buffer
+from ledgersift.llm.words import LOWER, NOT_SPACE, slices, text_buffer
 
 LEAST_CHARS = 20
 LEAST_DOCS = 3
-_rng = np.random.default_rng(77)
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
-_TABLES = [(_rng.integers(1, 2**63, 256, dtype=U64) | U64(1))[_LOWER] for _ in range(2)]
-_BASES = [int(b) | 1 for b in _rng.integers(2**62, 2**63, 2)]
-
-
-def _powers(base: int, n: int) -> np.ndarray:
-    steps = np.full(n, base % 2**64, dtype=U64)
-    steps[:1] = 1
-    return np.cumprod(steps, dtype=U64)
-
-
-_POWERS = [_powers(b, 2 * PIECE) for b in _BASES]
-_INVERSES = [_powers(pow(b, -1, 2**64), 2 * PIECE) for b in _BASES]
 
 
 def line_keys(column: pa.Array) -> tuple[np.ndarray, ...]:
-    """For all lines in order: row, start and end in the bytes, code points of the key, and its two hashes."""
+    """For all lines in order: row, start and end in the bytes, start and end of the key, and the key's code points."""
     body, offsets = text_buffer(column)
     breaks = np.flatnonzero(body == 10)
     row_breaks = np.diff(np.searchsorted(breaks, offsets))
@@ -49,25 +35,17 @@ def line_keys(column: pa.Array) -> tuple[np.ndarray, ...]:
     some = high > low
     first, last = starts.copy(), starts.copy()
     first[some], last[some] = solid[low[some]], solid[high[some] - 1] + 1
-    points = np.zeros(len(starts), np.int64)
-    hashes = np.zeros((2, len(starts)), U64)
-    k = 0
-    while k < len(starts):
-        stop = max(k + 1, int(np.searchsorted(ends, starts[k] + PIECE, "right")))
-        a, b = starts[k], ends[stop - 1]
-        part, x, y = body[a:b], first[k:stop] - a, last[k:stop] - a
-        count = np.concatenate(([0], np.cumsum((part & 0xC0) != 0x80)))
-        points[k:stop] = count[y] - count[x]
-        for h in range(2):
-            power, inverse = _POWERS[h], _INVERSES[h]
-            if len(part) >= len(power):  # a very long line
-                power, inverse = _powers(_BASES[h], len(part) + 1), _powers(pow(_BASES[h], -1, 2**64), len(part) + 1)
-            total = np.zeros(len(part) + 1, U64)
-            with np.errstate(over="ignore"):
-                np.cumsum(_TABLES[h][part] * power[:len(part)], out=total[1:])
-                hashes[h, k:stop] = mix((total[y] - total[x]) * inverse[x], h + 20)
-        k = stop
-    return row, starts, ends, points, hashes[0], hashes[1]
+    heads = np.flatnonzero((body & 0xC0) != 0x80)  # first bytes of code points
+    points = np.searchsorted(heads, last) - np.searchsorted(heads, first)
+    return row, starts, ends, first, last, points
+
+
+def digests(column: pa.Array, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """BLAKE2 digests (128 bits, as two longs) of stretches of the column's bytes, A-Z lower-cased."""
+    small = LOWER[text_buffer(column)[0]]
+    found = [hashlib.blake2b(small[a:b], digest_size=16).digest()
+             for a, b in zip(first.tolist(), last.tolist(), strict=True)]
+    return np.frombuffer(b"".join(found), "<i8").reshape(-1, 2)
 
 
 def _keys(least_chars: int):
@@ -75,12 +53,13 @@ def _keys(least_chars: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
-                row, _, _, points, one, two = line_keys(part.column("text"))
+                text = part.column("text")
+                row, _, _, first, last, points = line_keys(text)
                 use = points >= least_chars
-                every = np.unique(np.stack((row[use].astype(U64), one[use], two[use]), 1), axis=0)
-                yield batches_of(["doc_id", "k1", "k2"],
-                                 [part.column("doc_id").take(pa.array(every[:, 0].astype(np.int64))),
-                                  every[:, 1].view(np.int64).copy(), every[:, 2].view(np.int64).copy()])
+                keys = digests(text, first[use], last[use])
+                every = np.unique(np.column_stack((row[use], keys)), axis=0)
+                yield batches_of(["doc_id", "k1", "k2"], [part.column("doc_id").take(pa.array(every[:, 0])),
+                                                          every[:, 1].copy(), every[:, 2].copy()])
     return run
 
 
@@ -89,25 +68,23 @@ def _rebuild(least_chars: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
-                body, _ = text_buffer(part.column("text"))
-                row, starts, ends, points, one, two = line_keys(part.column("text"))
-                lost = part.column("lost")
-                owner = np.repeat(np.arange(len(lost)), np.nan_to_num(lost.value_lengths().to_numpy(
-                    zero_copy_only=False)).astype(np.int64))
-                flat = lost.flatten()
-                dead = set(zip(owner.tolist(), flat.field("k1").to_pylist(), flat.field("k2").to_pylist(),
-                               strict=True))
+                text, lost = part.column("text"), part.column("lost")
+                body, _ = text_buffer(text)
+                row, starts, ends, first, last, points = line_keys(text)
+                n_lost = np.nan_to_num(lost.value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64)
+                owner, flat = np.repeat(np.arange(len(lost)), n_lost), lost.flatten()
                 drop = np.zeros(len(row), dtype=bool)
-                if dead:
-                    maybe = np.flatnonzero((points >= least_chars) & np.isin(row, np.unique(owner)))
-                    drop[maybe] = [key in dead for key in zip(row[maybe].tolist(), one[maybe].view(np.int64).tolist(),
-                                                              two[maybe].view(np.int64).tolist(), strict=True)]
+                if len(owner):
+                    maybe = np.flatnonzero((points >= least_chars) & (n_lost > 0)[row])
+                    dead = np.column_stack((owner, *(flat.field(k).to_numpy(zero_copy_only=False) for k in ("k1", "k2"))))
+                    have = np.column_stack((row[maybe], digests(text, first[maybe], last[maybe])))
+                    drop[maybe] = np.isin(_as_one(have), _as_one(dead))
                 n_lines = np.bincount(row, minlength=len(lost))
                 n_dropped = np.bincount(row[drop], minlength=len(lost))
-                first = np.concatenate(([0], np.cumsum(n_lines)))
+                begin = np.concatenate(([0], np.cumsum(n_lines)))
                 texts = []
                 for k in range(len(lost)):
-                    a, b = first[k], first[k + 1]
+                    a, b = begin[k], begin[k + 1]
                     if not n_dropped[k]:
                         texts.append(body[starts[a]:ends[b - 1]].tobytes())
                     else:
@@ -119,6 +96,11 @@ def _rebuild(least_chars: int):
     return run
 
 
+def _as_one(keys: np.ndarray) -> np.ndarray:
+    """Rows of three longs as one value each, all 24 bytes of it."""
+    return np.ascontiguousarray(keys.astype("<i8")).view("V24").ravel()
+
+
 def without_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                            least_chars: int = LEAST_CHARS, least_docs: int = LEAST_DOCS) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_lines, n_dropped, text (of the lines that stay).

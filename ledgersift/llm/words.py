@@ -1,11 +1,13 @@
 """Words of whole texts as 64-bit hashes, worked out on the bytes of Arrow string columns.
 
 A text is never turned into Python strings: word borders, lower case and hashes come from array operations
-over the column's bytes, in pieces of bounded size.
+over the column's bytes, in pieces of bounded size. A word's hash is a chain over its 8-byte blocks, each mixed into what
+came before; words of more than a few blocks take the first 64 bits of a BLAKE2 digest.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,13 +16,10 @@ import pyarrow as pa
 PIECE = 2 << 20  # bytes worked on at once
 U64 = np.uint64
 
-_rng = np.random.default_rng(20240115)
-_VALUE = _rng.integers(1, 2**63, 256, dtype=U64) * U64(2) + U64(1)
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
-_VALUE = _VALUE[_LOWER]  # A-Z count as a-z
-_BASE = int(_rng.integers(2**62, 2**63)) * 2 + 1
-_INVERSE = pow(_BASE, -1, 2**64)
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32  # A-Z count as a-z
+#: Blocks of 8 bytes that are chained; longer words are digested.
+CHAINED = 4
 
 #: Bytes of words: anything but ASCII white space, and ASCII letters and digits with all non-ASCII bytes.
 NOT_SPACE = np.ones(256, dtype=bool)
@@ -28,18 +27,6 @@ NOT_SPACE[[9, 10, 11, 12, 13, 32]] = False
 ALNUM = np.zeros(256, dtype=bool)
 ALNUM[48:58] = ALNUM[65:91] = ALNUM[97:123] = ALNUM[128:] = True
 
-_powers: dict[int, np.ndarray] = {}
-
-
-def _power_table(base: int, n: int) -> np.ndarray:
-    table = _powers.get(base)
-    if table is None or len(table) < n:
-        steps = np.full(max(n, PIECE + 4096), base, dtype=U64)
-        steps[0] = 1
-        table = _powers[base] = np.cumprod(steps, dtype=U64)
-    return table
-
-
 def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
     """Spreads 64-bit values over all bits (the public splitmix64 finaliser)."""
     with np.errstate(over="ignore"):
@@ -97,6 +84,28 @@ def word_spans(body: np.ndarray, offsets: np.ndarray, inside: np.ndarray) -> tup
     return starts, ends
 
 
+def span_hashes(body: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of stretches of bytes, A-Z taken as a-z."""
+    small = np.concatenate((LOWER[body], np.zeros(8, np.uint8)))
+    at_any_byte = np.ndarray((len(body) + 1,), "<u8", buffer=small, strides=(1,))
+    lengths = ends - starts
+    hashes = mix(lengths.astype(U64), 1)
+    with np.errstate(over="ignore"):
+        for k in range(CHAINED):
+            more = np.flatnonzero((lengths > 8 * k) & (lengths <= 8 * CHAINED))
+            if not len(more):
+                break
+            left = np.minimum(lengths[more] - 8 * k, 8)
+            block = at_any_byte[starts[more] + 8 * k] & (U64(2**64 - 1) >> (64 - 8 * left).astype(U64))
+            hashes[more] = mix(hashes[more] ^ mix(block, 2), 3 + k)
+    long = np.flatnonzero(lengths > 8 * CHAINED)
+    if len(long):
+        digests = [hashlib.blake2b(small[a:b], digest_size=8).digest()
+                   for a, b in zip(starts[long].tolist(), ends[long].tolist(), strict=True)]
+        hashes[long] = np.frombuffer(b"".join(digests), U64)
+    return hashes
+
+
 def _hashed(column: pa.Array, inside: np.ndarray, prefixes: tuple[int, ...]) -> tuple[list[np.ndarray], np.ndarray]:
     """For each prefix (0: the whole word) the hashes of all words, and the index of each row's first word."""
     body, offsets = text_buffer(column)
@@ -107,14 +116,8 @@ def _hashed(column: pa.Array, inside: np.ndarray, prefixes: tuple[int, ...]) ->
         starts, ends = word_spans(part, borders, inside)
         first.append(starts + a)
         if len(starts):
-            powers = _power_table(_BASE, len(part))[:len(part)]
-            scale = _power_table(_INVERSE, len(part))[starts]
-            total = np.zeros(len(part) + 1, dtype=U64)
-            with np.errstate(over="ignore"):
-                np.cumsum(_VALUE[part] * powers, out=total[1:])
-                for out, prefix in zip(found, prefixes, strict=True):
-                    to = np.minimum(ends, starts + prefix) if prefix else ends
-                    out.append(mix((total[to] - total[starts]) * scale, 1) ^ (to - starts).astype(U64))
+            for out, prefix in zip(found, prefixes, strict=True):
+                out.append(span_hashes(part, starts, np.minimum(ends, starts + prefix) if prefix else ends))
     return [np.concatenate(out) for out in found], np.searchsorted(np.concatenate(first), offsets)
 
 
