@@ -16,14 +16,12 @@ Everything is made of Spark's own expressions.
 from __future__ import annotations
 
 import math
-import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgersift.llm.tables import only, stored
-from ledgersift.session import shared_dir
+from ledgersift.llm.tables import new_folder, only, stored
 
 #: Bits of filter for each row, and bits that a row sets: a single row is taken for a copy with probability 0.014.
 BITS_PER_ROW = 16
@@ -117,7 +115,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     spark, n = docs.sparkSession, digests.count()
     slices, size = _slices(n, filter_bits)
     parts = max(LEAST_PARTS, math.ceil(n / ROWS_PER_TASK))
-    folder = f"{shared_dir(spark)}/llm-exact-{uuid.uuid4().hex}"
+    folder = new_folder(spark, "exact")
     for k in range(slices):
         own = digests.where(_slice_of(slices) == k)
         repeated = stored(repeated_bits(own, size), "bits")

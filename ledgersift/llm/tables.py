@@ -4,22 +4,44 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgersift.session import shared_dir
+from ledgersift.session import remove_folder, shared_dir
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_MADE: list[str] = []
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A folder of its own in the folder that all executors share."""
+    _MADE.append(f"{shared_dir(spark)}/llm-{name}-{uuid.uuid4().hex}")
+    return _MADE[-1]
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Removes at its end what operators stored within; their results must be written by then."""
+    before = len(_MADE)
+    try:
+        yield
+    finally:
+        for folder in _MADE[before:]:
+            remove_folder(spark, folder)
+        del _MADE[before:]
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """The frame written once to the folder that all executors share, and read back."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/llm-{name}-{uuid.uuid4().hex}"
+    path = new_folder(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

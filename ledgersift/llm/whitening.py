@@ -9,7 +9,6 @@ number of rows) is decomposed on the driver, and a second product with the white
 from __future__ import annotations
 
 import math
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -22,8 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from ledgersift.llm.tables import only, stored
-from ledgersift.session import shared_dir
+from ledgersift.llm.tables import new_folder, only, stored
 
 COMPONENTS = 16
 SCALE, SHIFT = 64, 1_000_000
@@ -119,7 +117,7 @@ def _blocks(rows: DataFrame, n: int, sums: np.ndarray, block_rows: int, ids: boo
     """Stored blocks (block, ids, deviation, matrix), numbered from 0 without gaps, the matrix in MLlib's type."""
     spark = rows.sparkSession
     plain = f"local long, ids array<long>, deviation array<long>, matrix {_MATRIX_DDL}"
-    path = f"{shared_dir(spark)}/llm-blocks-{uuid.uuid4().hex}"
+    path = new_folder(spark, "blocks")
     (rows.select("vec_id", "x").mapInArrow(_centred(n, sums, block_rows, ids), plain)
      .withColumn("part", F.spark_partition_id()).write.parquet(path))
     schema = T.StructType([*T._parse_datatype_string("local long, ids array<long>, deviation array<long>, part int"),
