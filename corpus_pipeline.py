@@ -11,8 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from ledgersift.llm import decontaminate, mixing, near_dups, packing, quality  # noqa: E402
-from ledgersift.llm.tables import table  # noqa: E402
-from ledgersift.session import shared_dir  # noqa: E402
+from ledgersift.llm.tables import scratch, table  # noqa: E402
+from ledgersift.session import remove_folder, shared_dir  # noqa: E402
 
 
 def classify_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,10 +54,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages on the documents; each result is written to the shared folder and read again."""
+    """All stages on the documents; each result is written to the shared folder and read again. What a stage stored on
+    its way, and the result before it, are removed when its own result is written."""
     folder = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
-        docs = spark.read.parquet(f"{folder}/{name}")
+        with scratch(spark):
+            stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
+        if before:
+            remove_folder(spark, before)
+        before = f"{folder}/{name}"
+        docs = spark.read.parquet(before)
     return docs
