@@ -86,7 +86,9 @@ def read_result(spark: SparkSession, path: str, kind: str) -> DataFrame:
     """A written result as text, under the header it was written with."""
     if kind == "parquet":
         return as_text(spark.read.parquet(path))
-    return spark.read.options(**CSV_OPTIONS).option("multiLine", "true").csv(path)
+    # In the file NULL is nothing and an empty text is a pair of quotes; read under these marks they stay apart.
+    return (spark.read.options(**CSV_OPTIONS).option("multiLine", "true").option("nullValue", NOTHING)
+            .option("emptyValue", "").csv(path))
 
 
 def verify(spark: SparkSession, folder: str, day: date) -> DataFrame:

@@ -20,7 +20,7 @@ CHECKS = {"a05": checks.completed_without_payment, "a07": checks.orphan_payments
 
 def random_ledger(spark, seed, policy):
     rows = random_rows(seed)
-    rows["orders"] += [(None, 3, 1, None, "Completed", None)]
+    rows["orders"] += [(3, 90, 1, None, "Completed", None)]  # a repeated id
     return ledger_of(spark, **rows, skew=policy)
 
 
