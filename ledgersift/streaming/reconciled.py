@@ -2,7 +2,8 @@
 
 Payments are summed up by order and day before they meet orders, so the state of an order holds at most one row for each
 day it may be paid on, however often it is paid. An order may be paid on its own day and the ``within`` days after it;
-it is closed, and told, once the watermark has passed the last of them.
+it is closed, and told, once the watermark is later than the end of the last of them, and a day's payments once it is later
+than the end of that day.
 
 Watermarks need zoned timestamps, so event times pass through the session's time zone.
 """

@@ -584,7 +584,7 @@ def _oracles() -> dict[str, str]:
               SELECT o.order_id, o.customer_id, o.d AS day, o.total_amount, o.status, coalesce(sum(p.n), 0) AS n,
                 CASE WHEN sum(p.n) IS NULL THEN 0 ELSE sum(p.paid) END AS paid
               FROM placed o LEFT JOIN days p ON p.order_id = o.order_id AND {DUE_DAYS}
-              WHERE o.d + INTERVAL 31 DAY <= (SELECT mark FROM clock) GROUP BY ALL)
+              WHERE o.d + INTERVAL 31 DAY < (SELECT mark FROM clock) GROUP BY ALL)
             WHERE (n > 0 OR status = 'Completed') AND paid <> total_amount""",
                                            _streams("AND payment_status = 'Paid'")),
         "f08_daily_scorecard": audit("SELECT *, DATE '2024-01-15' AS run_date FROM scores", SCORES),
@@ -601,10 +601,10 @@ def _oracles() -> dict[str, str]:
         "f10_stream_absences": audit(f"""
             SELECT 'no payment in time' AS problem, order_id, d AS day, {n('0')} AS n_payments,
               {money('total_amount')} AS amount FROM placed o WHERE status = 'Completed'
-              AND d + INTERVAL 31 DAY <= (SELECT mark FROM clock)
+              AND d + INTERVAL 31 DAY < (SELECT mark FROM clock)
               AND NOT EXISTS (SELECT 1 FROM days p WHERE p.order_id = o.order_id AND {DUE_DAYS})
             UNION ALL SELECT 'no order in time', order_id, d, {n('n')}, {money('paid')} FROM days p
-            WHERE d + INTERVAL 1 DAY <= (SELECT mark FROM clock)
+            WHERE d + INTERVAL 1 DAY < (SELECT mark FROM clock)
               AND NOT EXISTS (SELECT 1 FROM placed o WHERE o.order_id = p.order_id AND {DUE_DAYS})
             UNION ALL SELECT 'no payment in time', order_id, CAST(date_trunc('day', order_date) AS TIMESTAMP), 0,
               {money('total_amount')} FROM a_orders

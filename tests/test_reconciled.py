@@ -74,6 +74,17 @@ def test_orders_are_closed_at_their_deadline(spark, tmp_path):
                            (6, 0, D("0.00"), D("-10.00"), "Underpaid"), (7, 0, D("0.00"), D("-10.00"), "Underpaid")][:3]
 
 
+def test_nothing_is_told_before_the_watermark_is_later(spark, tmp_path):
+    """The watermark ends at day 90: an order's 30 days end there for day 59, a payment's day for day 89."""
+    orders = [(k, 1, 1, at(k), "Completed", D("5.00")) for k in (57, 58, 59, 60)]
+    arrive(spark, tmp_path / "in", [*orders, (91, 1, 1, at(91), "Pending", D("1.00"))],
+           [(k, 1_000 + k, at(k, 3), D("1.00"), "Paid") for k in (87, 88, 89, 90)] + [(200, 91, at(91), D("1.00"), "Paid")])
+    for plan, told in ((absences, {57, 58, 1_087, 1_088}), (closed_orders, {57, 58})):
+        out = str(tmp_path / plan.__name__)
+        append_rows(plan(*streams(spark, tmp_path / "in")), out, f"{out}-state").awaitTermination()
+        assert {r.order_id for r in spark.read.parquet(out).collect()} == told
+
+
 @pytest.mark.parametrize("plan", [absences, closed_orders])
 def test_an_order_paid_very_often_holds_a_row_a_day(spark, tmp_path, plan):
     n = 100_000
