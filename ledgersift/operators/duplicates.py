@@ -33,8 +33,8 @@ def duplicate_groups(df: DataFrame, key: str, ts: str | None = None) -> DataFram
 
 
 def duplicate_members(df: DataFrame, key: str, id: str, label: str | None = None,
-                      policy: SkewPolicy | None = None) -> DataFrame:
-    """The rows behind ``duplicate_groups``, one each: key, id and ``label``.
+                      policy: SkewPolicy | None = None, also: Sequence[str] = ()) -> DataFrame:
+    """The rows behind ``duplicate_groups``, one each: key, id, ``label`` and the columns of ``also``.
 
     Rows of a hot value meet it in a broadcast join and are not shuffled.
     """
@@ -43,7 +43,7 @@ def duplicate_members(df: DataFrame, key: str, id: str, label: str | None = None
               .where(F.col("group_n") > 1))
     hot = largest(groups.select(F.col("group_key").alias("hot_key"), F.col("group_n").alias("key_rows")),
                   policy or SkewPolicy())
-    carried = list(dict.fromkeys([key, id] + ([label] if label else [])))
+    carried = list(dict.fromkeys([key, id, *([label] if label else []), *also]))
     return match(present.select(*carried), groups, key, "group_key", values={}, hot=hot, unique_parent=True)
 
 
@@ -61,7 +61,7 @@ def listing_blocks(df: DataFrame, key: str, id: str, label: str | None = None, t
     """
     spark = df.sparkSession
     folder = folder or f"{shared_dir(spark)}/listing-{uuid.uuid4().hex}"
-    members = duplicate_members(df, key, id, label, policy)
+    members = duplicate_members(df, key, id, label, policy, [ts] if ts else [])
     (members.repartitionByRange(F.col(key), F.col(id)).withColumn("_range", F.spark_partition_id())
      .write.mode("overwrite").parquet(folder))
     rows_ = spark.read.schema(T.StructType([*members.schema, T.StructField("_range", T.IntegerType())])).parquet(folder)
@@ -71,15 +71,18 @@ def listing_blocks(df: DataFrame, key: str, id: str, label: str | None = None, t
         texts.append(_listing(f"`{label}`", id, separator).alias("names"))
     blocks = (rows_.withColumn("_local", F.floor((F.row_number().over(in_range) - 1) / block_rows))
               .groupBy("_range", key, "_local").agg(F.min(id).alias("first_id"), F.max(id).alias("last_id"), *texts))
-    per_range = rows_.groupBy(F.col(key).alias("_key"), F.col("_range").alias("_of")).agg(
-        F.ceil(rows() / block_rows).alias("_blocks"))
-    before = F.sum("_blocks").over(W.partitionBy("_key").orderBy("_of")) - F.col("_blocks")
-    groups = duplicate_groups(df, key, ts=ts)
-    numbers = (per_range.withColumn("_before", before)
-               .join(groups.withColumnRenamed(key, "_group"), F.col("_key") == F.col("_group")))
+    # A group's own figures add up over its ranges, of which there are few.
+    seen = [F.min(ts).alias("first_seen"), F.max(ts).alias("last_seen")] if ts else []
+    per_range = rows_.groupBy(F.col(key).alias("_key"), F.col("_range").alias("_of")).agg(rows().alias("_rows"), *seen)
+    group, before = W.partitionBy("_key"), W.partitionBy("_key").orderBy("_of").rowsBetween(W.unboundedPreceding, -1)
+    numbers = per_range.select(
+        "_key", "_of", F.sum("_rows").over(group).alias("n"),
+        F.coalesce(F.sum(F.ceil(F.col("_rows") / block_rows)).over(before), F.lit(0)).alias("_before"),
+        *[f(name).over(group).alias(name) for f, name in ((F.min, "first_seen"), (F.max, "last_seen")) if ts])
     return (blocks.join(numbers, (F.col("_range") == F.col("_of")) & (F.col(key) == F.col("_key")))
-            .select(key, "n", "n_extra", (F.col("_before") + F.col("_local")).alias("block"), "first_id", "last_id",
-                    "ids", *(["names"] if label else []), *(["first_seen", "last_seen"] if ts else [])))
+            .select(key, "n", (F.col("n") - 1).alias("n_extra"), (F.col("_before") + F.col("_local")).alias("block"),
+                    "first_id", "last_id", "ids", *(["names"] if label else []),
+                    *(["first_seen", "last_seen"] if ts else [])))
 
 
 def _listing(value: str, id: str, separator: str) -> Column:
