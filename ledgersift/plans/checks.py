@@ -46,7 +46,8 @@ def duplicate_email_members(ledger: Ledger) -> DataFrame:
 def duplicate_email_listing(ledger: Ledger) -> DataFrame:
     """The groups with their customers' ids as text, as the published export has them; a very large group takes
     several rows."""
-    return duplicates.listing_blocks(ledger.customers, "email", "customer_id", ts="created_at", policy=ledger.skew)
+    blocks = duplicates.listing_blocks(ledger.customers, "email", "customer_id", ts="created_at", policy=ledger.skew)
+    return blocks.select("email", "n", "n_extra", "ids", "first_seen", "last_seen")
 
 
 def duplicate_email_rate(ledger: Ledger) -> DataFrame:
