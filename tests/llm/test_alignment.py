@@ -4,6 +4,7 @@ import collections
 import hashlib
 import itertools
 import random
+import re
 
 import numpy as np
 import pytest
@@ -150,3 +151,9 @@ def test_pieces_cover_the_text():
         cut = list(alignment.pieces(text, size))
         assert " ".join(p for _, p in cut) == text
         assert [at for at, _ in cut] == [0, *itertools.accumulate(1 + len(p) for _, p in cut)][:-1]
+
+
+def test_no_piece_holds_a_space_behind_another_character(encoders):
+    """What makes a break a place where the piece vocabulary starts afresh."""
+    _, b = encoders
+    assert not [i for i in range(b.get_piece_size()) if re.search("[^▁]▁", b.id_to_piece(i))]
