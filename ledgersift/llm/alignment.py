@@ -42,6 +42,8 @@ ROWS = 256
 HOT_SHARE = 1 << 18
 #: (pair, count) entries that a task sums up before it hands them on.
 HELD_PAIRS = 1 << 21
+#: Id pairs of documents that a task works on at once, whatever the size of the batch they came in.
+STRETCH_PAIRS = 1 << 18
 
 _BREAK = re.compile(r"(?<=\S) (?=\S)")
 _NOT_ALONE = re.compile(r"^\s|\s\s|\s\Z")
@@ -399,6 +401,18 @@ def _batched(rows: Iterator[dict], schema: pa.Schema, weight: int) -> Iterator[p
         yield _batch(held, schema)
 
 
+def _lean(run: Callable) -> Callable:
+    """The same work; what Arrow's pool keeps of freed batches goes back to the system instead of staying with the worker."""
+    def lean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in run(batches):
+            yield batch
+            del batch
+            pa.default_memory_pool().release_unused()
+        pa.default_memory_pool().release_unused()
+
+    return lean
+
+
 def _first_pass(paths: tuple[str, str], piece_chars: int) -> Callable:
     """Finishes documents of ordinary length and cuts the others."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -471,13 +485,23 @@ def _encode_pieces(paths: tuple[str, str]):
     return run
 
 
-def _composed(table: pa.Table) -> pa.Table:
-    """The fragments of one stretch of a document, in order, as one fragment of the next level."""
+def _stretch(table: pa.Table) -> tuple[int, int | None, int, Fragment, bool]:
+    """The fragments of one stretch of a document, in order, as one."""
     rows = sorted(table.to_pylist(), key=lambda r: r["part"])
     faithful = all(r["faithful"] for r in rows)
     one = reduce(compose, [_fragment_of(r) for r in rows], EMPTY) if faithful else EMPTY
-    row = _fragment_row(rows[0]["at"], rows[0]["doc_id"], rows[0]["part"] // FAN, one, faithful)
-    return pa.Table.from_batches([_batch([row], _FRAGMENT)])
+    return rows[0]["at"], rows[0]["doc_id"], rows[0]["part"] // FAN, one, faithful
+
+
+def _composed(table: pa.Table) -> pa.Table:
+    """One stretch of a document as a fragment of the next level."""
+    return pa.Table.from_batches([_batch([_fragment_row(*_stretch(table))], _FRAGMENT)])
+
+
+def _composed_whole(table: pa.Table) -> pa.Table:
+    """All that is left of a document, finished."""
+    at, doc_id, _, one, faithful = _stretch(table)
+    return pa.Table.from_batches([_batch([_document_row(at, doc_id, whole(one) if faithful else None)], _DOCUMENT)])
 
 
 def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -490,15 +514,32 @@ def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _long_documents(parts: DataFrame, paths: tuple[str, str]) -> DataFrame:
-    """Documents in pieces: each piece becomes a fragment, and levels of groupings compose them."""
+    """Documents in pieces: each piece becomes a fragment, and levels of groupings compose them.
+
+    The last level also finishes them: a step of its own behind it would keep a second Python worker in each task.
+    """
     most = parts.agg(F.max("part")).first()[0]
     level = stored(parts.select("at", "doc_id", "part", "place", "piece").repartition("at", "part")
-                   .mapInArrow(_encode_pieces(paths), _FRAGMENT_DDL), "fragments")
-    left = 0 if most is None else most
-    while left:
-        level = level.groupBy("at", F.floor(F.col("part") / FAN).alias("stretch")).applyInArrow(_composed, _FRAGMENT_DDL)
+                   .mapInArrow(_lean(_encode_pieces(paths)), _FRAGMENT_DDL), "fragments")
+    if not most:
+        return level.mapInArrow(_finish, _DOCUMENT_DDL)
+    left = most
+    stretch = F.floor(F.col("part") / FAN).alias("stretch")
+    while left >= FAN:
+        level = level.groupBy("at", stretch).applyInArrow(_composed, _FRAGMENT_DDL)
         left //= FAN
-    return level.mapInArrow(_finish, _DOCUMENT_DDL)
+    return level.groupBy("at", stretch).applyInArrow(_composed_whole, _DOCUMENT_DDL)
+
+
+def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows in slices of at most ``STRETCH_PAIRS`` id pairs, or of one document."""
+    for batch in batches:
+        offsets = batch.column("pairs").offsets.to_numpy(zero_copy_only=False)
+        low = 0
+        while low < batch.num_rows:
+            high = max(low + 1, int(np.searchsorted(offsets, offsets[low] + STRETCH_PAIRS, "right")) - 1)
+            yield batch.slice(low, high - low)
+            low = high
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -506,20 +547,22 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def out(keys: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n)], names=["pair", "n"])
 
+    def added() -> tuple[np.ndarray, np.ndarray]:
+        new, times = summed(np.concatenate(fresh))
+        return summed(np.concatenate((keys, new)), np.concatenate((n, times)))
+
     keys, n, fresh, waiting = np.zeros(0, _I64), np.zeros(0, _I64), [], 0
-    for batch in batches:
-        fresh.append(batch.column("pairs").flatten().to_numpy(zero_copy_only=False))
+    for part in _stretches(batches):
+        fresh.append(part.column("pairs").flatten().to_numpy(zero_copy_only=False))
         waiting += len(fresh[-1])
-        if waiting >= HELD_PAIRS:
-            new = np.concatenate(fresh)
-            keys, n = summed(np.concatenate((keys, new)), np.concatenate((n, np.ones(len(new), _I64))))
+        if waiting >= max(STRETCH_PAIRS, len(keys)):
+            keys, n = added()
             fresh, waiting = [], 0
             if len(keys) >= HELD_PAIRS:
                 yield out(keys, n)
                 keys, n = keys[:0], n[:0]
     if waiting:
-        new = np.concatenate(fresh)
-        keys, n = summed(np.concatenate((keys, new)), np.concatenate((n, np.ones(len(new), _I64))))
+        keys, n = added()
     if len(keys):
         yield out(keys, n)
 
@@ -530,7 +573,7 @@ def pair_counts(documents: DataFrame, name: str = "pairs") -> DataFrame:
     Pairs are summed up in the tasks that read them. The highest counts are one row for each A id, so at most as many
     as the vocabulary has, and are broadcast.
     """
-    counts = stored(documents.select(name).mapInArrow(_counted, "pair long, n long").groupBy("pair")
+    counts = stored(documents.select(name).mapInArrow(_lean(_counted), "pair long, n long").groupBy("pair")
                     .agg(F.sum("n").alias("n")), "pair-counts")
     most = counts.groupBy(F.shiftright("pair", 32).alias("a")).agg(F.max("n").alias("most"))
     return counts.join(F.broadcast(most), F.shiftright("pair", 32) == F.col("a")).select(
@@ -540,9 +583,7 @@ def pair_counts(documents: DataFrame, name: str = "pairs") -> DataFrame:
 def _scored(keys: np.ndarray, n: np.ndarray, best: np.ndarray):
     """For each document the sums over its hot pairs, as a row under a number that is no pair, and its other pairs."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in _stretches(batches):
             at = batch.column("at").to_numpy(zero_copy_only=False)
             lengths = np.diff(batch.column("pairs").offsets.to_numpy(zero_copy_only=False))
             pairs = batch.column("pairs").flatten().to_numpy(zero_copy_only=False)
@@ -584,7 +625,7 @@ def aligned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *,
     """
     paths = (byte_vocabulary, piece_vocabulary)
     rows = only(docs, doc_id=id_col, text=text_col).select(F.monotonically_increasing_id().alias("at"), "doc_id", "text")
-    first = stored(rows.mapInArrow(_first_pass(paths, piece_chars), _DOCUMENT_DDL), "aligned")
+    first = stored(rows.mapInArrow(_lean(_first_pass(paths, piece_chars)), _DOCUMENT_DDL), "aligned")
     short = first.where("piece IS NULL")
     long = stored(_long_documents(first.where("piece IS NOT NULL"), paths), "aligned-long")
     done = short.unionByName(long)
@@ -593,7 +634,7 @@ def aligned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *,
     # Fewer than HOT_SHARE pairs can hold more than their share of all rows, so this table's size has a bound.
     hot = counts.where(F.col("n") > total / HOT_SHARE).orderBy("pair").toPandas()
     scored = done.select("at", "pairs", "times").mapInArrow(
-        _scored(hot["pair"].to_numpy(_I64), hot["n"].to_numpy(_I64), hot["best"].to_numpy(_I64)),
+        _lean(_scored(hot["pair"].to_numpy(_I64), hot["n"].to_numpy(_I64), hot["best"].to_numpy(_I64))),
         "at long, key long, times long, hot_best long, hot_sum long")
     per_document = (scored.join(counts, F.col("key") == F.col("pair"), "left")
                     .groupBy(F.col("at").alias("of"))

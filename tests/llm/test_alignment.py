@@ -5,8 +5,10 @@ import hashlib
 import itertools
 import random
 import re
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import sentencepiece
 from tokenizers import Tokenizer
@@ -157,3 +159,54 @@ def test_no_piece_holds_a_space_behind_another_character(encoders):
     """What makes a break a place where the piece vocabulary starts afresh."""
     _, b = encoders
     assert not [i for i in range(b.get_piece_size()) if re.search("[^▁]▁", b.id_to_piece(i))]
+
+
+def test_no_task_of_a_composing_level_runs_two_python_steps(spark):
+    """Each of them would keep a Python worker of its own, beside the first one's, on every core."""
+    parts = spark.createDataFrame([(0, 0, k, 0, "a b") for k in range(9)], "at long, doc_id long, part long, place long, piece string")
+    composed = alignment._long_documents(parts, (alignment.BYTE_VOCABULARY, alignment.PIECE_VOCABULARY))
+    steps = re.findall(r"\b(Exchange|MapInArrow|FlatMapGroupsInArrow)\b(?= )",
+                       composed._jdf.queryExecution().executedPlan().toString())
+    assert "FlatMapGroupsInArrow" in steps
+    assert not [two for two in itertools.pairwise(steps) if "Exchange" not in two]
+
+
+def pair_batches(documents, each):
+    """One batch of documents that link the same pairs."""
+    pairs = pa.ListArray.from_arrays(np.arange(0, documents * each + 1, each, dtype=np.int32),
+                                     np.tile(np.arange(each, dtype=np.int64), documents))
+    times = pa.ListArray.from_arrays(pairs.offsets, np.ones(documents * each, np.int64))
+    return pa.RecordBatch.from_arrays([pa.array(np.arange(documents)), pairs, times], names=["at", "pairs", "times"])
+
+
+def test_counting_takes_memory_by_stretches_of_a_batch():
+    batch = pair_batches(4000, 500)
+    tracemalloc.start()
+    out = list(alignment._counted(iter([batch])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert [(b.column("pair").to_pylist(), b.column("n").to_pylist()) for b in out] == [(list(range(500)), [4000] * 500)]
+    assert peak < 2 * batch.column("pairs").nbytes
+
+
+def test_scores_leave_a_batch_in_stretches():
+    none = np.zeros(0, np.int64)
+    batch = pair_batches(4000, 500)
+    out = list(alignment._scored(none, none, none)(iter([batch])))
+    assert max(b.num_rows for b in out) <= alignment.STRETCH_PAIRS + alignment.STRETCH_PAIRS // 500
+    assert sum(b.num_rows for b in out) == 4000 * 501
+    assert sorted(k for b in out for k in b.column("key").to_pylist() if k < 0) == list(range(-4000, 0))
+
+
+@pytest.mark.parametrize("stretch", [1, 7, 1 << 18])
+def test_stretches_hold_all_rows_and_do_not_change_counts(monkeypatch, stretch):
+    lists = [[1, 2, 3], [], [2], [2, 9], [], [], [1, 2, 4, 5, 6, 7, 8, 9, 10, 11]]
+    batch = pa.RecordBatch.from_arrays([pa.array(lists, pa.list_(pa.int64()))], names=["pairs"])
+    monkeypatch.setattr(alignment, "STRETCH_PAIRS", stretch)
+    cut = list(alignment._stretches(iter([batch.slice(0, 0), batch.slice(1), batch])))
+    assert [r for b in cut for r in b.column("pairs").to_pylist()] == lists[1:] + lists
+    assert all(b.num_rows == 1 or len(b.column("pairs").flatten()) <= stretch for b in cut)
+    counts = collections.Counter()
+    for b in alignment._counted(iter([batch, batch.slice(3)])):
+        counts.update(dict(zip(b.column("pair").to_pylist(), b.column("n").to_pylist(), strict=True)))
+    assert counts == collections.Counter(itertools.chain.from_iterable(lists + lists[3:]))
